@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maldadum.llm import queries_tables
+from maldadum.llm import queries_tables, queries_texts
 
-MODULES = (queries_tables,)
+MODULES = (queries_tables, queries_texts)
 
 
 def queries() -> dict:

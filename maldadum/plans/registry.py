@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maldadum.plans import problems
+from maldadum.plans import label_queries, mining_queries, problems
 
-MODULES = (problems,)
+MODULES = (problems, mining_queries, label_queries)
 FLAGSHIP = "p4_pairs"
 
 

@@ -35,44 +35,31 @@ _JAMO = re.compile(r"[ㄱ-ㅎㅏ-ㅣ]")
 _CHAT = re.compile(r"(?:([ㅋㅎㅠㅜㅇㄷㄱㄴ])\1*|ㅇㅋ|ㄱㅅ|ㅊㅋ|ㅅㄱ|ㅇㅈ|ㅁㄹ|ㅈㅅ|ㄹㅇ)[.!?~]*")
 _GARBLED = re.compile("[\u0080-¿À-ſˆ˜‘-›€�]")
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
-_usual: dict[str, bool] = {}
-
-
-def _unusual(text: str) -> int:
-    """Syllables outside the 2,350 of the KS X 1001 set."""
-    n = 0
-    for ch in text:
-        known = _usual.get(ch)
-        if known is None:
-            try:
-                known = len(ch.encode("euc_kr")) == 2  # others are written in pieces
-            except UnicodeEncodeError:
-                known = False
-            _usual[ch] = known
-        n += not known
-    return n
+_SYMBOL = re.compile(r"[^\w\s]|_")
+#: Syllables outside the 2,350 of the KS X 1001 set, which the codec writes in pieces.
+_UNUSUAL = re.compile("[" + "".join(ch for ch in map(chr, range(0xAC00, 0xD7A4)) if len(ch.encode("euc_kr")) != 2) + "]")
 
 
 def _junk(line: str) -> bool:
     solid = "".join(line.split())
     n = len(solid)
-    rest = _TAG.sub(" ", line)
-    if len(rest.strip()) < 0.6 * len(line.strip()) and _TAG.search(line):
+    if "<" in line or "&" in line:
+        rest = _TAG.sub(" ", line)
+        if len(rest.strip()) < 0.6 * len(line.strip()):
+            return True
+    if ("://" in line or "www." in line or "@" in line) and sum(len(m.group()) for m in _URL.finditer(line)) > 0.5 * n:
         return True
-    if sum(len(m.group()) for m in _URL.finditer(line)) > 0.5 * n:
-        return True
-    if sum(ch.isalnum() for ch in solid) < 0.4 * n and n >= 4:
+    if n >= 4 and len(_SYMBOL.findall(solid)) > 0.6 * n:
         return True
     if len(_GARBLED.findall(solid)) > 0.3 * n:
         return True
     coded = sum(len(m.group()) for m in _CODE.finditer(line) if re.search(r"[A-Z]", m.group()) and re.search(r"[a-z]", m.group()))
     if coded > 0.5 * n:
         return True
-    jamo = sum(len(w) for w in line.split() if not _CHAT.fullmatch(w) and len(_JAMO.findall(w)) > 0.6 * len(w))
-    if jamo > 0.5 * n:
+    if _JAMO.search(line) and sum(len(w) for w in line.split() if not _CHAT.fullmatch(w) and len(_JAMO.findall(w)) > 0.6 * len(w)) > 0.5 * n:
         return True
-    hangul = _HANGUL.findall(solid)
-    return len(hangul) >= 4 and _unusual("".join(hangul)) > 0.25 * len(hangul)
+    unusual = len(_UNUSUAL.findall(solid))
+    return unusual > 0 and (hangul := len(_HANGUL.findall(solid))) >= 4 and unusual > 0.25 * hangul
 
 
 def _item(text: str) -> bool:
@@ -100,6 +87,8 @@ def _table_rows(lines: list[str]) -> list[bool]:
     """Which lines have at least two cells, as many as most lines with that separator, and a neighbour like them."""
     rows = [False] * len(lines)
     for separator in SEPARATORS:
+        if sum(separator in x for x in lines) < 2:
+            continue
         cut = [_cells(x, separator) for x in lines]
         widths = [len(c) if len(c) > 1 and sum(map(len, c)) / len(c) <= 15 and max(len(x.split()) for x in c) <= 5 else 0 for c in cut]
         usual = Counter(w for w in widths if w)
@@ -122,7 +111,7 @@ def _enumerated(line: str) -> bool:
     for separator in (", ", " / ", "/", " · ", "·", "; ", " | ", ",", "、"):
         items = line.split(separator)
         if len(items) >= 5:
-            short = sum(len(x.split()) <= 3 and len(x) <= 20 and not _SENTENCE.search(x.strip() + " ") or x.strip().endswith("하기") for x in items)
+            short = sum(len(x) <= 20 and len(x.split()) <= 3 and not _SENTENCE.search(x.strip() + " ") or x.strip().endswith("하기") for x in items)
             if short >= 0.8 * len(items):
                 return True
     return False
@@ -135,8 +124,10 @@ def _dominant(words: list[str], solid: int) -> float:
     if best:
         # an n-gram repeats only where all of its words do
         again = [times[w] > 1 for w in words]
+        starts = [i for i, more in enumerate(again) if more]
         for n in (2, 3, 4):
-            grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1) if all(again[i : i + n]))
+            starts = [i for i in starts if i + n <= len(words) and again[i + n - 1]]
+            grams = Counter(tuple(words[i : i + n]) for i in starts)
             best = max(best, max((t * sum(map(len, g)) for g, t in grams.items() if t > 1), default=0))
     return min(1.0, best / solid)
 
@@ -151,7 +142,7 @@ def statistics(text: str) -> dict:
         "n_words": len(words),
         "n_lines": len(lines),
         "mean_word_length": solid / len(words),
-        "symbol_ratio": sum(not ch.isalnum() and not ch.isspace() for ch in text) / solid,
+        "symbol_ratio": len(_SYMBOL.findall(text)) / solid,
         "punctuated_lines": sum(bool(_ENDED.search(x.rstrip())) for x in lines) / len(lines),
         "common_words": sum(w.strip(".,!?~…\"'()").lower() in COMMON_WORDS for w in words) / len(words),
         "duplicate_lines": 1 - len({x.strip() for x in lines}) / len(lines),
@@ -166,7 +157,7 @@ def statistics(text: str) -> dict:
     for line, row, mark in zip(lines, table, marked):
         weight = len("".join(line.split()))
         body = line[mark.end() :] if mark else line
-        if _TAG.search(line) and _junk(line):
+        if ("<" in line or "&" in line) and _TAG.search(line) and _junk(line):
             kinds["junk"] += weight
         elif row:
             kinds["table"] += weight

@@ -126,8 +126,8 @@ def _normalize_part(part: str) -> str:
     part = _SPACES.sub(" ", part)
     part = _WIDE.sub(_width, part)
     part = _JAMO_RUN.sub(_compose, part)
-    part = _PIECES.sub(lambda m: unicodedata.normalize("NFC", m.group()), part)
-    return _TOKEN.sub(_spell, part)
+    part = _TOKEN.sub(_spell, part)
+    return _PIECES.sub(lambda m: unicodedata.normalize("NFC", m.group()), part)
 
 
 def normalized(df: DataFrame, text: str, *keep: str) -> DataFrame:

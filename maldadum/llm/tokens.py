@@ -109,9 +109,6 @@ class TrieEncoder:
         """Encode words. In sorted order they are the leaves of their trie from left to right, so the path from the root to
         the current leaf is all of the trie that has to be kept: on it ``last[d]`` is the last token of the prefix of d bytes
         and ``begin[d]`` where that token begins."""
-        if len(self.words) + len(new) > CACHE_WORDS and self.words:
-            self.words.clear()
-            self.ids = []
         ends_with, may_follow = self.vocabulary.ends_with, self.vocabulary.may_follow
         last, begin, before = [-1], [0], b""
         for raw, word in sorted((w.encode("utf-8"), w) for w in new):
@@ -147,14 +144,13 @@ class TrieEncoder:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row of each word in ``ids``, encoding those not met before."""
-        get = self.words.get
-        rows = list(map(get, words))
+        rows = list(map(self.words.get, words))
         if None in rows:
-            self.add(list({w for w, r in zip(words, rows) if r is None}))
-            rows = list(map(get, words))
-            if None in rows:  # the memory was emptied meanwhile
-                self.add(list({w for w, r in zip(words, rows) if r is None}))
-                rows = list(map(get, words))
+            new = {w for w, r in zip(words, rows) if r is None}
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words, self.ids, new = {}, [], set(words)
+            self.add(list(new))
+            rows = list(map(self.words.get, words))
         return np.array(rows, np.int64)
 
 

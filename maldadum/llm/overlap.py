@@ -165,10 +165,13 @@ def _count_table(texts: DataFrame, short_limit: int) -> np.ndarray:
     return table
 
 
-def _seeds(texts: DataFrame, probing: bool, counts: np.ndarray, fair: int, percent: int, short_limit: int) -> DataFrame:
-    """Fingerprints of one side: ``key`` (gram and shard), ``id``, ``place``, ``length``, ``s0``, ``s1``, ``rank``."""
+def _seeds(texts: DataFrame, probing: bool, counts: np.ndarray, fair: int, percent: int, short_limit: int, probed: np.ndarray | None = None) -> DataFrame:
+    """Fingerprints of one side: ``key`` (gram and shard), ``bucket``, ``id``, ``place``, ``length``, ``s0``, ``s1``, ``rank``.
+
+    :param probed: whether any text probes with a gram of the bucket; the offering side leaves out grams of all other buckets."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(counts.astype(np.int32))  # COUNT_BUCKETS x 4 bytes
+    asked = spark.sparkContext.broadcast(probed)  # COUNT_BUCKETS x 1 byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -177,6 +180,9 @@ def _seeds(texts: DataFrame, probing: bool, counts: np.ndarray, fair: int, perce
             for part, forms in _slices(batch):
                 codes, lengths = _characters(forms)
                 t, place, h = _select(codes, lengths, table, percent) if probing else _offered(lengths, codes, short_limit)
+                if not probing:
+                    keep = asked.value[(h & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+                    t, place, h = t[keep], place[keep], h[keep]
                 if not len(t):
                     continue
                 signatures = _signatures(codes, lengths)
@@ -189,16 +195,17 @@ def _seeds(texts: DataFrame, probing: bool, counts: np.ndarray, fair: int, perce
                     t, place, h = t[again], place[again], h[again]
                 else:
                     shard = (ids[t] & 0x7FFFFFFF) % shards
+                bucket = (h & np.uint64(COUNT_BUCKETS - 1)).astype(np.int32)
                 with np.errstate(over="ignore"):
                     key = ((h ^ shard.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * _MIX).view(np.int64)
                 for lo in range(0, len(t), 200_000):
                     x = t[lo : lo + 200_000]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key[lo : lo + 200_000]), pa.array(ids[x]), pa.array(place[lo : lo + 200_000].astype(np.int32)), pa.array(lengths[x].astype(np.int32)),
-                        pa.array(signatures[x, 0]), pa.array(signatures[x, 1]), pa.array(ranks[x])], names=["key", "id", "place", "length", "s0", "s1", "rank"])
+                        pa.array(key[lo : lo + 200_000]), pa.array(bucket[lo : lo + 200_000]), pa.array(ids[x]), pa.array(place[lo : lo + 200_000].astype(np.int32)), pa.array(lengths[x].astype(np.int32)),
+                        pa.array(signatures[x, 0]), pa.array(signatures[x, 1]), pa.array(ranks[x])], names=["key", "bucket", "id", "place", "length", "s0", "s1", "rank"])
 
     side = texts.select("id", "form", F.col("low" if probing else "high").alias("rank"))
-    return side.mapInArrow(run, "key BIGINT, id BIGINT, place INT, length INT, s0 BIGINT, s1 BIGINT, rank INT")
+    return side.mapInArrow(run, "key BIGINT, bucket INT, id BIGINT, place INT, length INT, s0 BIGINT, s1 BIGINT, rank INT")
 
 
 def members(rows: DataFrame, key: str, split: str, fields: tuple[str, ...]) -> DataFrame:
@@ -220,8 +227,10 @@ def close_texts(held: DataFrame, percent: int = 15) -> DataFrame:
     counts = _count_table(offering, short_limit)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fair = max(2_000, int(counts.sum()) // (8 * slots))
-    a = _seeds(probing, True, counts, fair, percent, short_limit)
-    b = _seeds(offering, False, counts, fair, percent, short_limit).select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "place", "length", "s0", "s1", "rank")])
+    a = materialize(_seeds(probing, True, counts, fair, percent, short_limit), "probes")
+    probed = np.zeros(COUNT_BUCKETS, bool)
+    probed[a.select("bucket").distinct().toPandas()["bucket"].to_numpy(np.int64)] = True  # at most COUNT_BUCKETS rows
+    b = _seeds(offering, False, counts, fair, percent, short_limit, probed).select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "place", "length", "s0", "s1", "rank")])
     edits = F.expr(f"(greatest(length, o_length) * {percent}) div 100")
     lost = lambda x, y: F.bit_count(F.col(f"{x}s0").bitwiseAND(F.bitwise_not(f"{y}s0"))) + F.bit_count(F.col(f"{x}s1").bitwiseAND(F.bitwise_not(f"{y}s1")))
     near = (a["key"] == b["key"]) & (F.col("rank") < F.col("o_rank")) & (F.col("id") != F.col("o_id")) & (F.abs(F.col("place") - F.col("o_place")) <= edits) & (F.abs(F.col("length") - F.col("o_length")) <= edits) & (lost("", "o_") <= edits) & (lost("o_", "") <= edits)

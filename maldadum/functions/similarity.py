@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F, types as T
 from maldadum.functions.text import phrase, strip_noise
 
 
+def _both(a: Column, b: Column, value: Column) -> Column:
+    """``value`` where neither side is null; least and greatest pass over nulls."""
+    return F.when(a.isNotNull() & b.isNotNull(), value)
+
+
 def shared_prefix(a: Column, b: Column) -> Column:
     shorter = F.least(F.length(a), F.length(b))
     return F.size(F.filter(F.sequence(F.lit(0), shorter), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))) - 1
@@ -27,7 +32,7 @@ def preserved(a: Column, b: Column) -> Column:
     """Share of the longer string that common prefix and suffix keep; 1 if equal, 0 if either is empty."""
     p = shared_prefix(a, b)
     kept = (p + shared_suffix(a, b, p)) / F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(kept)
+    return _both(a, b, F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(kept))
 
 
 def edit_share(a: Column, b: Column) -> Column:
@@ -38,12 +43,12 @@ def edit_share(a: Column, b: Column) -> Column:
 def surface_similarity(a: Column, b: Column) -> Column:
     """Kept ends and edits together, on strings without noise."""
     x, y = strip_noise(a), strip_noise(b)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.round(0.55 * preserved(x, y) + 0.45 * edit_share(x, y), 4))
+    return _both(a, b, F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.round(0.55 * preserved(x, y) + 0.45 * edit_share(x, y), 4)))
 
 
 def phrase_similarity(a: Column, b: Column) -> Column:
     x, y = F.replace(phrase(a), F.lit(" ")), F.replace(phrase(b), F.lit(" "))
-    return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(F.round(edit_share(x, y), 4))
+    return _both(a, b, F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(F.round(edit_share(x, y), 4)))
 
 
 def syllable_parts(ch: Column) -> Column:
@@ -71,7 +76,7 @@ def typo_similarity(a: Column, b: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(wa, wb), F.lit(1))), F.lit(0.0), lambda acc, i: acc + char_similarity(F.substring(a, p + i, F.lit(1)), F.substring(b, p + i, F.lit(1))))
     core = F.when((wa < 1) | (wb < 1), 0.0).otherwise(total / wide)
     kept = (p + s) / F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.round(0.55 * kept + 0.45 * core, 4))
+    return _both(a, b, F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.round(0.55 * kept + 0.45 * core, 4)))
 
 
 @F.pandas_udf(T.DoubleType())

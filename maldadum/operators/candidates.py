@@ -8,6 +8,10 @@ the smaller replacement."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maldadum import vocab
@@ -76,7 +80,7 @@ def interface_score(stats: Column, channel: Column) -> Column:
     total = at("generic") + at("keyboard") + at("voice")
     g, k, v = (F.try_divide(at(x), total) for x in ("generic", "keyboard", "voice"))
     raw = F.when(channel == "generic", 0.92 * g + 0.82 * k + 0.22 * v).when(channel == "voice", 0.92 * v + 0.55 * g + 0.35 * k).otherwise(0.9 * k + 0.7 * g + 0.3 * v)
-    return F.round(F.coalesce(F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw)), F.lit(0.86)), 4)
+    return F.round(F.when(total > 0, F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw))).otherwise(0.86), 4)
 
 
 def source_prior(source: Column) -> Column:
@@ -117,3 +121,38 @@ def next_pairs(rows: DataFrame, key: str) -> DataFrame:
     at = F.sequence(F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1)))
     pairs = F.transform(F.filter(at, lambda i: (F.get("labels", i - 1) == "KEEP") & (F.get("labels", i) == "KEEP")), lambda i: F.struct((i - 1).alias("idx"), F.concat(F.get("tokens", i - 1), F.get("tokens", i)).alias("joined")))
     return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.idx", "p.joined")
+
+
+#: Labels of which prototypes are held by the driver.
+MAX_LABELS = 10_000
+
+
+def nearest_prototypes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """``key``, ``label`` and ``cosine`` (4 decimals) of the label whose mean vector is nearest; of equal ones the smaller label.
+
+    Null vectors and vectors of length zero have none. The prototypes, at most MAX_LABELS, go to the executors; vectors are not shuffled for the search."""
+    each = vectors.where(F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("i", "v")).groupBy(label, "i").agg(F.avg("v").alias("v"))
+    rows = each.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p")).orderBy(label).limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    names = [r[0] for r in rows]
+    matrix = np.array([[x.v for x in r.p] for r in rows])
+    if len(rows):
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(matrix) or not batch.num_rows:
+                continue
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            near = (x @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
+            best = near.argmax(axis=1)
+            ok = np.flatnonzero(norm > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array([names[i] for i in best[ok]], kind), pa.array(np.round(near[ok, best[ok]], 4))], names=[key, label, "cosine"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(vectors.schema[label].dataType)
+    schema = f"`{key}` {vectors.schema[key].dataType.simpleString()}, `{label}` {vectors.schema[label].dataType.simpleString()}, cosine DOUBLE"
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)

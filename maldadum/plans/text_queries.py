@@ -190,11 +190,7 @@ def recent_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector's nearest label prototype by cosine; a prototype is the mean vector of its label."""
-    vectors = table(spark, folder, "embeddings")
-    each = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
-    prototypes = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("prototype"))  # a row per label
-    near = vectors.select("vec_id", "embedding").join(prototypes, F.lit(True)).groupBy("vec_id").agg(F.max_by(F.struct("label", S.cosine(F.col("embedding"), F.col("prototype")).alias("cosine")), S.cosine(F.col("embedding"), F.col("prototype"))).alias("b"))
-    return near.select("vec_id", F.col("b.label").alias("label"), F.round("b.cosine", 4).alias("cosine"))
+    return C.nearest_prototypes(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,0 +1,26 @@
+"""Every query of the subpackage against its SQL, and that the others run."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import FOLDER, connection, same  # noqa: E402
+
+from maldadum.llm import registry  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connection()
+
+
+@pytest.mark.parametrize("name", sorted(registry.sql()))
+def test_same_rows_as_sql(spark, con, name):
+    assert same(spark, con, registry.queries()[name], registry.sql()[name]) == ({}, {})
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.sql())))
+def test_runs(spark, name):
+    assert registry.queries()[name](spark, FOLDER).count() >= 0

@@ -14,22 +14,25 @@ _SPAN = "array<struct<st:int,ed:int,kind:string,text:string>>"
 _EDIT = "array<struct<st:int,ed:int,src:string,dst:string,confidence:double>>"
 
 
-def find_all(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of a pattern from left to right, with offsets: what is between matches and the matches themselves add up to the text."""
+def find_all(text: Column, pattern: str, kind: str, sign: str | None = None) -> Column:
+    """All matches of a pattern from left to right, with offsets: what is between matches and the matches themselves add up to the text.
+
+    :param sign: a string that every match holds; texts without it are passed over before any pattern is tried."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")),
+        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),  # one gap more than hits
         F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, z: F.struct(
+        lambda acc, z: F.when(z["hit"].isNull(), acc).otherwise(F.struct(
             (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(z["gap"])).alias("st"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("ed"), F.lit(kind).alias("kind"), z["hit"].alias("text")))).alias("out")),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(z["gap"])).alias("st"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).alias("ed"), F.lit(kind).alias("kind"), z["hit"].alias("text")))).alias("out"))),
         lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast(_SPAN))
+    some = F.contains(text, F.lit(sign)) if sign else text != ""
+    return F.when(some, placed).otherwise(F.array().cast(_SPAN))
 
 
 def find_literal(text: Column, literal: str, kind: str) -> Column:
-    return find_all(text, r"\Q" + literal + r"\E" if "\\E" not in literal else re.escape(literal), kind)
+    return find_all(text, r"\Q" + literal + r"\E" if "\\E" not in literal else re.escape(literal), kind, literal)
 
 
 def merged(spans: Column, text: Column) -> Column:
@@ -46,7 +49,8 @@ def merged(spans: Column, text: Column) -> Column:
 
 def protected(text: Column) -> Column:
     """Spans that no edit may touch."""
-    scans = [find_all(text, pattern, kind) for kind, pattern in vocab.PROTECTED_PATTERNS]
+    sign = {"URL": "http", "EMAIL": "@", "MENTION": "@", "PHONE": "-", "HASHTAG": "#"}
+    scans = [find_all(text, pattern, kind, sign.get(kind)) for kind, pattern in vocab.PROTECTED_PATTERNS]
     scans += [find_literal(text, term, "ENTITY") for term in vocab.ENTITIES] + [find_literal(text, term, "USER_DICT") for term in vocab.USER_TERMS]
     return merged(F.concat(*scans), text)
 
@@ -69,8 +73,7 @@ def rule_edits(text: Column, rules: list[tuple[str, str, float]], spans: Column
     """Edits of literal rules (from, to, confidence) wherever they occur, outside of ``spans``, one per (start, end, replacement)."""
     found = []
     for src, dst, confidence in rules:
-        hits = find_literal(text, src, "RULE")
-        found.append(F.when(F.contains(text, F.lit(src)), F.transform(hits, lambda s: F.struct(s["st"].alias("st"), s["ed"].alias("ed"), s["text"].alias("src"), F.lit(dst).alias("dst"), F.lit(confidence).alias("confidence")))).otherwise(F.array().cast(_EDIT)))
+        found.append(F.transform(find_literal(text, src, "RULE"), lambda s: F.struct(s["st"].alias("st"), s["ed"].alias("ed"), s["text"].alias("src"), F.lit(dst).alias("dst"), F.lit(confidence).alias("confidence"))))
     edits = F.array_distinct(F.concat(*found))
     return F.filter(edits, lambda e: ~overlaps_any(e["st"], e["ed"], spans)) if spans is not None else edits
 

@@ -19,32 +19,36 @@ _TOKENS = "array<struct<tok:string,st:int,ed:int>>"
 
 def tokens(text: Column, pattern: str = vocab.TOKEN) -> Column:
     """``array<struct<tok, st, ed>>`` of tokens that only white space separates (``vocab.TOKEN`` or ``\\S+``)."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"\s*(?:{pattern})"), F.lit(0))
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(rf"\s*(?:{pattern})"), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.regexp_replace(p, r"^\s+", "").alias("tok")))
     grown = F.aggregate(
         pieces,
         F.struct(F.lit(0).alias("at"), F.array().cast(_TOKENS).alias("out")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                F.regexp_replace(piece, r"^\s+", "").alias("tok"),
-                (acc["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"^\s+", ""))).alias("st"),
-                (acc["at"] + F.length(piece)).alias("ed")))).alias("out")),
+        lambda acc, p: F.struct(
+            (acc["at"] + p["n"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(p["tok"].alias("tok"), (acc["at"] + p["n"] - F.length(p["tok"])).alias("st"), (acc["at"] + p["n"]).alias("ed")))).alias("out")),
         lambda acc: acc["out"])
     return F.when(text.isNotNull(), grown)
 
 
+def each(values: Column) -> Column:
+    """The elements of an array made by a costly expression. A plain explode makes Spark infer a filter that evaluates the array again."""
+    return F.explode_outer(values)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(vocab.WORD), F.lit(0))
 
 
-def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKEN) -> DataFrame:
-    """One row per token: ``key``, ``idx``, ``tok``, ``st``, ``ed``; linear in the length of the text, whatever it is."""
+def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKEN, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per token: ``key``, the columns ``keep``, ``idx``, ``tok``, ``st``, ``ed``; linear in the length of the text, whatever it is."""
+    carried = [key, *keep]
+    own = [pa.field("idx", pa.int32()), pa.field("tok", pa.string()), pa.field("st", pa.int32()), pa.field("ed", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
         for batch in batches:
             rows: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 for i, m in enumerate(find(t or "")):
                     rows.append((k, i, m.group(), m.start(), m.end()))
                     if len(rows) >= 50_000:
@@ -53,10 +57,12 @@ def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKE
             yield flush(rows, batch)
 
     def flush(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.types[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())], names=[key, "idx", "tok", "st", "ed"])
+        at, *columns = list(zip(*rows)) or [()] * 5
+        where = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(where) for i in range(len(carried))], *[pa.array(c, f.type) for c, f in zip(columns, own)]], names=[*carried, *[f.name for f in own]])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, idx INT, tok STRING, st INT, ed INT")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
+    return df.select(*[F.col(c) for c in carried], F.col(text).alias("_text")).mapInArrow(run, f"{schema}, idx INT, tok STRING, st INT, ed INT")
 
 
 def phrase(text: Column) -> Column:

@@ -80,7 +80,7 @@ def interface_score(stats: Column, channel: Column) -> Column:
     total = at("generic") + at("keyboard") + at("voice")
     g, k, v = (F.try_divide(at(x), total) for x in ("generic", "keyboard", "voice"))
     raw = F.when(channel == "generic", 0.92 * g + 0.82 * k + 0.22 * v).when(channel == "voice", 0.92 * v + 0.55 * g + 0.35 * k).otherwise(0.9 * k + 0.7 * g + 0.3 * v)
-    return F.round(F.when(total > 0, F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw))).otherwise(0.86), 4)
+    return F.round(F.when(total > 0, F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw))).otherwise(0.86), 6)
 
 
 def source_prior(source: Column) -> Column:

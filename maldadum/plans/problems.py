@@ -40,7 +40,31 @@ _ENTRIES = """
     e AS (SELECT id, upper(trim(source)) AS source, x.err_text, x.cor_text, x.edit_distance, x.err_details.kind AS kind
           FROM (SELECT id, source, unnest(errors) AS x FROM r))"""
 
+_VENDOR = """
+    f AS (SELECT file_id, j FROM (SELECT file_id, CASE WHEN json_valid(ltrim(payload, chr(65279))) THEN ltrim(payload, chr(65279))::JSON END AS j FROM vendor_files) WHERE json_type(j) = 'OBJECT'),
+    d AS (SELECT file_id, CASE json_type(j, '$.data') WHEN 'ARRAY' THEN json_extract(j, '$.data[*]') WHEN 'OBJECT' THEN [json_extract(j, '$.data')] END AS items FROM f),
+    i AS (SELECT file_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS item_pos FROM d),
+    l AS (SELECT file_id, item_pos, CASE json_type(item, '$.annotation.errors') WHEN 'ARRAY' THEN json_extract(item, '$.annotation.errors[*]') WHEN 'OBJECT' THEN [json_extract(item, '$.annotation.errors')] END AS errs FROM i),
+    e AS (SELECT file_id, item_pos, unnest(errs) AS err, generate_subscripts(errs, 1) - 1 AS err_pos FROM l)"""
+
 SQL = {
+    "p1_found": f"""
+        WITH {_VENDOR},
+        t AS (SELECT file_id, item_pos, err_pos, json_extract(err, '$.err_details') AS x, json_type(err, '$.err_details') AS k FROM e WHERE json_type(err) = 'OBJECT'),
+        o AS (SELECT file_id, item_pos, err_pos, json_extract(x, '$.*') AS vs, json_keys(x) AS ks FROM t WHERE k = 'OBJECT'),
+        p AS (SELECT file_id, item_pos, err_pos, unnest(ks) AS outer_key, unnest(vs) AS v FROM o),
+        r AS (SELECT file_id, item_pos, err_pos, 'tags' AS leaf_kind, unnest(json_extract_string(x, '$[*]')) AS leaf_key FROM t WHERE k = 'ARRAY'
+              UNION ALL SELECT file_id, item_pos, err_pos, 'counts', outer_key || '.' || unnest(json_keys(v)) FROM p WHERE json_type(v) = 'OBJECT'
+              UNION ALL SELECT file_id, item_pos, err_pos, 'raw', x->>'$' FROM t WHERE k NOT IN ('ARRAY', 'OBJECT', 'NULL') AND x->>'$' <> '')
+        SELECT file_id, item_pos::BIGINT AS item_pos, err_pos::BIGINT AS err_pos, leaf_kind, leaf_key FROM r
+        UNION ALL SELECT file_id, item_pos, err_pos, 'none', '' FROM t WHERE (file_id, item_pos, err_pos) NOT IN (SELECT (file_id, item_pos, err_pos) FROM r)""",
+    "p1_errors": f"""
+        WITH {_VENDOR}
+        SELECT file_id, item_pos::BIGINT AS item_pos, err_pos::BIGINT AS err_pos, err->>'$.err_idx' AS err_idx, err->>'$.err_location' AS err_location, err->>'$.err_text' AS err_text, err->>'$.cor_text' AS cor_text, err->>'$.edit_distance' AS edit_distance FROM e""",
+    "p1_items": f"""
+        WITH {_VENDOR}
+        SELECT file_id, item_pos::BIGINT AS item_pos, {", ".join(f"item->>'$.metadata_info.{c}' AS {c}" for c in ("id", "source", "interface", "keyboard", "date", "gender", "age"))},
+            {", ".join(f"item->>'$.annotation.{c}' AS {c}" for c in ("reg_date", "err_sentence", "cor_sentence", "err_sentence_spell", "cor_sentence_spell"))} FROM i""",
     "p4_found": f"""
         WITH {_ENTRIES}
         SELECT err_text, cor_text FROM e WHERE err_text <> '' AND cor_text <> ''

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maldadum import vocab
 from maldadum.functions import similarity as S, spans as P, text as T
 from maldadum.operators import candidates as C, decode as D, mining
+from maldadum.operators.rules import scan_rules
 from maldadum.plans import duck
+from maldadum.session import materialize, spread
 from maldadum.sources.tables import one_row_per_id, table
 from maldadum.streaming import requests as R
 
@@ -18,11 +20,11 @@ OVERLAPPING_RULES = [*PLAIN_RULES, ("역활을", "역할을", 0.97), ("희안하
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def tokenize_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "corpus_records").select("rec_no", F.posexplode(T.tokens(F.col("cor_sentence"))).alias("idx", "t"))
+    rows = table(spark, folder, "corpus_records").select("rec_no", F.posexplode_outer(T.tokens(F.col("cor_sentence"))).alias("idx", "t")).where("t is not null")
     return rows.select("rec_no", "idx", "t.tok", "t.st", "t.ed")
 
 
@@ -60,11 +62,11 @@ def literal_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses and names with their places."""
     t = F.col("text")
     spans = F.concat(P.find_all(t, r"https?://[^\s]+", "URL"), P.find_literal(t, "안내문", "TERM"))
-    return _documents(spark, folder).where("text is not null").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.st", "s.ed", "s.kind", "s.text")
+    return _documents(spark, folder).where("text is not null").select("doc_id", T.each(spans).alias("s")).where("s is not null").select("doc_id", "s.st", "s.ed", "s.kind", "s.text")
 
 
 def protected_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select("doc_id", F.explode(P.protected(F.col("text"))).alias("s")).select("doc_id", "s.st", "s.ed", "s.kind", "s.text")
+    return _documents(spark, folder).select("doc_id", T.each(P.protected(F.col("text"))).alias("s")).where("s is not null").select("doc_id", "s.st", "s.ed", "s.kind", "s.text")
 
 
 def masked_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,9 +82,8 @@ def apply_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_edits(spark: SparkSession, folder: str) -> DataFrame:
     """Edits that survive protected spans and overlaps."""
-    t = F.col("text")
-    rows = _documents(spark, folder).where("text is not null").withColumn("spans", P.protected(t)).withColumn("e", F.explode(P.non_overlapping(P.rule_edits(t, OVERLAPPING_RULES, F.col("spans")))))
-    return rows.select("doc_id", "e.st", "e.ed", "e.src", "e.dst", "e.confidence")
+    rows = _documents(spark, folder).where("text is not null").select("doc_id", "text", P.protected(F.col("text")).alias("spans"))
+    return scan_rules(rows, "text", OVERLAPPING_RULES, "spans").select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.st", "e.ed", "e.src", "e.dst", "e.confidence")
 
 
 def spacing_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,8 +168,8 @@ def joined_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """Beam-decoded proposals from mined edges on noisy sentences."""
-    edges = mining.confusion_edges(mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS))), 2, 3)
-    rows = table(spark, folder, "edit_tagger_v2_dataset").where("variant = 'noisy'").select("ex_no", "text", F.explode(T.tokens(F.col("text"), r"\S+")).alias("t"))
+    edges = materialize(mining.confusion_edges(mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS))), 2, 3), "edges")
+    rows = T.explode_tokens(table(spark, folder, "edit_tagger_v2_dataset").where("variant = 'noisy'").withColumn("sentence", F.col("text")), "ex_no", "text", r"\S+", ("sentence",)).select("ex_no", F.col("sentence").alias("text"), F.struct("tok", "st", "ed").alias("t"))
     options = F.sort_array(F.collect_list(F.struct("rank", "cor", "score")))
     found = rows.join(edges, F.col("t.tok") == F.col("err")).groupBy("ex_no", "text", "t").agg(options.alias("o"))
     keep = F.array(F.struct(F.col("t.tok").alias("replacement"), F.lit(0.2).alias("score"), F.lit(False).alias("apply")))

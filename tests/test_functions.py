@@ -120,6 +120,13 @@ def test_edits(spark):
         for a, b, d in kept:
             out, at = out + r.t[at:a] + d, b
         assert r.out == out + r.t[at:]
+    from maldadum.operators.rules import scan_rules
+
+    one_pass = scan_rules(df.withColumn("spans", P.protected(t)), "t", rules, "spans")
+    expressions = {r.t: r.e for r in df.select("t", chosen.alias("e")).collect()}
+    assert {r.t: [tuple(e) for e in r.edits] for r in one_pass.collect()} == {k: [tuple(e) for e in v] for k, v in expressions.items()}
+    nothing = spark.createDataFrame([(None,), ("",)], "t STRING")
+    assert [r.edits for r in scan_rules(nothing, "t", rules).collect()] == [[], []] and scan_rules(df, "t", []).where("size(edits) > 0").count() == 0
 
 
 def test_insertion_points(spark):

@@ -8,6 +8,7 @@ from maldadum import vocab
 from maldadum.functions import features as X, similarity as S, text as T
 from maldadum.operators import candidates as C, family, mining, pipeline as L
 from maldadum.plans import duck
+from maldadum.plans.mining_queries import _PAIRS
 from maldadum.plans.text_queries import _typo
 from maldadum.session import materialize, spread
 from maldadum.sources.tables import one_row_per_id, table
@@ -138,5 +139,11 @@ SQL = {
     "guardrail_decisions": """WITH e AS (SELECT edge_no, coalesce(generatorScore, 0) AS s, regexp_matches(src || replacement, '[A-Za-z0-9]') AS risky, abs(length(replacement) - length(src)) / greatest(length(src), 1) > 0.25 AS long FROM typed_confusion_graph)
         SELECT edge_no, CASE WHEN risky THEN 'REJECT' ELSE 'SUGGEST_ONLY' END AS decision, CASE WHEN risky THEN 'ALNUM_RISK' WHEN long THEN 'EDIT_RATIO_HIGH LEXICAL_REPLACEMENT' ELSE 'LEXICAL_REPLACEMENT' END AS reasons,
             round(greatest(0.2::DOUBLE, CASE WHEN risky THEN 0.05::DOUBLE ELSE s END - (0.08::DOUBLE + CASE WHEN NOT risky AND long THEN 0.05::DOUBLE ELSE 0 END)), 4) AS option FROM e""",
+    "merged_edges": f"""WITH {_PAIRS},
+        given AS (SELECT err AS src, cor AS dst, count(*) AS support FROM pair GROUP BY ALL),
+        mined AS (SELECT src, replacement AS dst, max(generatorScore) AS score, arg_min(list_sum(map_values(interfaceStats)), edge_no) AS support FROM typed_confusion_graph WHERE edge_no % 3 < 2 GROUP BY ALL),
+        b AS (SELECT CASE WHEN m.src IS NOT NULL AND g.src IS NOT NULL THEN 'both' WHEN m.src IS NOT NULL THEN 'mined' ELSE 'given' END AS origin,
+            CASE WHEN g.src IS NULL THEN m.score ELSE greatest(m.score, 0.9::DOUBLE) END AS score, coalesce(m.support, 0) + coalesce(g.support, 0) AS support FROM mined m FULL JOIN given g ON g.src = m.src AND g.dst = m.dst)
+        SELECT origin, count(*) AS n, round(sum(score), 3) AS score, sum(support)::BIGINT AS support FROM b GROUP BY ALL""",
     "long_examples": "SELECT split, variant, count(*) FILTER (len(tokens) >= 11) AS kept, count(*) FILTER (len(tokens) < 11) AS dropped FROM edit_tagger_v2_dataset GROUP BY ALL",
 }

@@ -220,12 +220,31 @@ def _typo(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE round(0.55::DOUBLE * {duck.preserved(a, b)} + 0.45::DOUBLE * {core}, 4) END"
 
 
-from maldadum.plans.mining_queries import _PAIRS  # noqa: E402
+from maldadum.plans.mining_queries import _PAIRS, _SURFACES  # noqa: E402
+
+_FIRST = duck.one_per_id("error_type", "source", "interface", "keyboard", "cor_sentence", "errors")
 
 SQL = {
     "tokenize_offsets": f"""WITH t AS (SELECT rec_no, {_PIECES.format("cor_sentence")} AS p FROM corpus_records WHERE cor_sentence IS NOT NULL),
         e AS (SELECT rec_no, unnest(p) AS piece, unnest({_ENDS})::INT AS ed, generate_subscripts(p, 1)::INT - 1 AS idx FROM t)
         SELECT rec_no, idx, regexp_replace(piece, '^\\s+', '') AS tok, (ed - length(regexp_replace(piece, '^\\s+', '')))::INT AS st, ed FROM e""",
+    "document_tokens": f"""SELECT doc_id, len({duck.all_tokens("text")}) AS n_tokens, length(regexp_replace(text, '[\\s\\p{{Z}}]+$', ''))::INT AS last_end, length(regexp_replace(text, '[\\s\\p{{Z}}]', '', 'g'))::BIGINT AS chars FROM documents WHERE len({duck.all_tokens("text")}) > 0""",
+    "suffix_targets": f"""WITH {_SURFACES},
+        st AS (SELECT lemma, pos, frequency, regexp_replace(lemma, '다$', '') AS a, regexp_replace(target, '다$', '') AS b FROM edge),
+        cut AS (SELECT lemma, pos, frequency, a[{duck.prefix("a", "b")} + 1:] AS source_suffix, b[{duck.prefix("a", "b")} + 1:] AS target_suffix FROM st),
+        rule AS (SELECT source_suffix, target_suffix, pos, sum(frequency)::BIGINT AS frequency, round(least(0.965::DOUBLE, 0.58::DOUBLE + 0.07::DOUBLE * least(5, sum(frequency)) / 5), 4) AS score
+            FROM cut WHERE length(source_suffix) BETWEEN 1 AND 4 AND length(target_suffix) BETWEEN 1 AND 4 GROUP BY source_suffix, target_suffix, pos HAVING sum(frequency) >= 2
+            ORDER BY frequency DESC, score DESC, source_suffix, target_suffix, pos LIMIT 160),
+        l AS (SELECT DISTINCT replacement || '다' AS lemma, replacement AS stem, split_part(pos, '-', 1) AS pos FROM typed_confusion_graph)
+        SELECT lemma, l.pos, source_suffix, target_suffix, left(stem, length(stem) - length(source_suffix)) || target_suffix || '다' AS target, score
+        FROM l JOIN rule ON rule.pos = l.pos AND ends_with(stem, source_suffix) AND length(stem) > length(source_suffix)""",
+    "hits_at_k": f"""WITH {_PAIRS.replace(_FIRST, _FIRST.replace("FROM corpus_records", "FROM corpus_records WHERE split IN ('train', 'validation')").replace("PARTITION BY id", "PARTITION BY split, id").replace("SELECT id,", "SELECT id, split,")).replace("SELECT id, error_type", "SELECT id, split, error_type")},
+        f AS (SELECT err, cor, similarity, count(*) AS frequency FROM pair WHERE split = 'train' GROUP BY ALL),
+        s AS (SELECT *, round(least(0.985::DOUBLE, 0.5::DOUBLE + ln(1 + frequency) / 12 + 0.28::DOUBLE * similarity), 4) AS score FROM f),
+        k AS (SELECT err, cor, row_number() OVER (PARTITION BY err ORDER BY frequency DESC, score DESC, cor DESC) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY err ORDER BY frequency DESC, score DESC, cor DESC) <= 8),
+        h AS (SELECT rank FROM pair LEFT JOIN k ON k.err = pair.err AND k.cor = pair.cor WHERE split = 'validation')
+        SELECT count(*) AS n, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 5) AS hit_5, round(coalesce(count(*) FILTER (rank <= 1) / nullif(count(*), 0), 0), 6) AS rate_1,
+            round(coalesce(count(*) FILTER (rank <= 3) / nullif(count(*), 0), 0), 6) AS rate_3, round(coalesce(count(*) FILTER (rank <= 5) / nullif(count(*), 0), 0), 6) AS rate_5 FROM h""",
     "phrase_forms": f"SELECT rec_no, array_to_string({duck.all_tokens('err_sentence')}, ' ') AS form, trim(regexp_replace(err_sentence, '[\\t\\f\\v ]+', ' ', 'g')) AS collapsed FROM corpus_records WHERE err_sentence IS NOT NULL",
     "context_words": f"""WITH t AS (SELECT unnest({duck.words("cor_sentence")}) AS w FROM corpus_records)
         SELECT CASE WHEN NOT regexp_full_match(w, '[가-힣]+') THEN w {_PARTICLES} ELSE w END AS term, count(*) AS n, count(DISTINCT w) AS n_forms FROM t GROUP BY 1""",

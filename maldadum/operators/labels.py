@@ -55,15 +55,17 @@ def _located(sentence: str, tokens: list[tuple[int, int]], entries: list[dict])
     return taken
 
 
-def labelled(df: DataFrame, key: str, sentence: str, entries: str) -> DataFrame:
-    """``key``, ``tokens``, ``labels``, ``token_offsets`` and ``located`` of each row; ``entries`` has ``err_idx``, ``err_location``, ``err_text``, ``label``."""
+def labelled(df: DataFrame, sentence: str, entries: str, *keep: str) -> DataFrame:
+    """The columns ``keep``, ``tokens``, ``labels``, ``token_offsets`` and ``located`` of each row; ``entries`` has ``err_idx``, ``err_location``, ``err_text``,
+    ``label``. Rows stay where they are; nothing is joined back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(r"\S+").finditer
         rank = vocab.LABEL_PRIORITY
+        types = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.int32())
         for batch in batches:
             out: list[tuple] = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
                 tokens = [(m.start(), m.end()) for m in find(text)]
                 labels = ["KEEP"] * len(tokens)
@@ -75,25 +77,23 @@ def labelled(df: DataFrame, key: str, sentence: str, entries: str) -> DataFrame:
                                 labels[i] = label
                 out.append(([text[a:b] for a, b in tokens], labels, [list(t) for t in tokens], len(spans)))
             columns = list(zip(*out)) or [()] * 4
-            types = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[key, "tokens", "labels", "token_offsets", "located"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*keep, "tokens", "labels", "token_offsets", "located"])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, tokens ARRAY<STRING>, labels ARRAY<STRING>, token_offsets ARRAY<ARRAY<INT>>, located INT"
-    return df.select(key, sentence, entries).mapInArrow(run, schema)
+    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keep) + "tokens ARRAY<STRING>, labels ARRAY<STRING>, token_offsets ARRAY<ARRAY<INT>>, located INT"
+    return df.select(F.col(sentence).alias("_sentence"), F.col(entries).alias("_entries"), *[F.col(k) for k in keep]).mapInArrow(run, schema)
 
 
 def examples(records: DataFrame) -> DataFrame:
-    """Noisy and clean examples of records (``rec_no``, ``id``, ``split``, ``error_type``, ``source``, sentences, ``error_count``, ``errors``)."""
+    """Noisy and clean examples of records (``id``, ``split``, ``error_type``, ``source``, sentences, ``error_count``, ``errors``)."""
     entries = F.transform(F.coalesce("errors", F.slice("errors", 1, 0)), lambda e: F.struct(e["err_idx"].alias("err_idx"), e["err_location"].alias("err_location"), e["err_text"].alias("err_text"), entry_label(e["err_text"], e["cor_text"], e["err_details"]).alias("label")))
-    rows = records.withColumn("entries", entries)
-    noisy = labelled(rows, "rec_no", "err_sentence", "entries").where(F.exists("labels", lambda x: x != "KEEP"))
-    meta = records.select("rec_no", "id", "split", "error_type", "source", "err_sentence", "cor_sentence", "error_count")
-    noisy = noisy.join(meta, "rec_no").select(
+    meta = ("id", "split", "error_type", "source", "err_sentence", "cor_sentence", "error_count")
+    rows = records.select(*meta, entries.alias("entries"))
+    noisy = labelled(rows, "err_sentence", "entries", *meta).where(F.exists("labels", lambda x: x != "KEEP")).select(
         F.concat("id", F.lit(":noisy")).alias("id"), F.col("id").alias("base_id"), F.lit("noisy").alias("variant"), "split", "error_type", "source",
         F.coalesce("err_sentence", F.lit("")).alias("text"), F.coalesce("cor_sentence", F.lit("")).alias("corrected_text"), "tokens", "labels", "token_offsets",
         F.coalesce("error_count", F.lit(0)).alias("error_count"), F.col("located").alias("located_error_count"))
     spans = T.tokens(F.col("cor_sentence"), r"\S+")
-    clean = meta.withColumn("t", spans).where(F.size("t") > 0).select(
+    clean = records.select(*meta).withColumn("t", spans).where(F.size("t") > 0).select(
         F.concat("id", F.lit(":clean")).alias("id"), F.col("id").alias("base_id"), F.lit("clean").alias("variant"), "split", F.lit("CLEAN_REFERENCE").alias("error_type"), "source",
         F.col("cor_sentence").alias("text"), F.col("cor_sentence").alias("corrected_text"), F.col("t.tok").alias("tokens"), F.transform("t", lambda x: F.lit("KEEP")).alias("labels"),
         F.transform("t", lambda x: F.array(x["st"], x["ed"])).alias("token_offsets"), F.lit(0).alias("error_count"), F.lit(0).alias("located_error_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,20 +43,33 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="maldadum-")
+        folder = tempfile.mkdtemp(prefix="maldadum-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.maldadum.scratch", root)
     return root.rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/maldadum-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet under :func:`scratch_root` and read it back, so that what follows neither
-    recomputes it nor depends on an executor that may be lost."""
+    recomputes it nor depends on an executor that may be lost. What was written stays until :func:`clear_scratch`."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has written; frames that still read it can no longer be used."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on as many partitions as there are cores if its files give fewer, for work that costs far more than moving the rows.
     Large inputs have more splits than cores and stay as they are."""

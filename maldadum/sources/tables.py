@@ -13,8 +13,8 @@ def one_row_per_id(records: DataFrame, *keep: str) -> DataFrame:
     """One row per record ``id`` with the columns ``keep``.
 
     A record delivered again carries the same content under a larger ``rec_no``; the smallest ``rec_no`` is kept. A row
-    whose ``id`` is null is a record of its own. Only ``keep`` is shuffled, after a partial aggregation per task."""
-    record = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("n"), F.col("rec_no").cast("string")))
+    whose ``id`` is null is a record of its own (those without a ``rec_no`` too are one). Only ``keep`` is shuffled, after a partial aggregation per task."""
+    record = F.coalesce(F.concat(F.lit("i"), F.col("id")), F.concat(F.lit("n"), F.coalesce(F.col("rec_no").cast("string"), F.lit(""))))
     packed = F.struct(F.col("rec_no"), *[F.col(c) for c in keep])
-    first = records.groupBy(record.alias("record")).agg(F.min_by(packed, F.col("rec_no")).alias("r"))
+    first = records.groupBy(record.alias("record")).agg(F.min_by(packed, F.coalesce(F.col("rec_no"), F.lit(2**63 - 1))).alias("r"))
     return first.select("record", *[F.col(f"r.{c}").alias(c) for c in ("rec_no", *[k for k in keep if k != "rec_no"])])

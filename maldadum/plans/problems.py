@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maldadum.operators import nested, skew
+from maldadum.session import materialize
 from maldadum.sources.tables import one_row_per_id, table
 
 
@@ -24,7 +25,8 @@ def p1_errors(spark: SparkSession, folder: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of error texts with its counts and details."""
     records = one_row_per_id(table(spark, folder, "corpus_records"), "source", "errors")
-    return skew.pair_details(skew.error_entries(records), table(spark, folder, "typed_confusion_graph"))
+    entries = materialize(skew.error_entries(records), "entries")  # read by three jobs
+    return skew.pair_details(entries, table(spark, folder, "typed_confusion_graph"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

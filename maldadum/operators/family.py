@@ -40,6 +40,14 @@ def auto_seeds(graph: DataFrame, per_lemma: int = 6) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= per_lemma)
 
 
+def summed_edges(graph: DataFrame) -> DataFrame:
+    """One edge per (``src``, ``dst``) of a graph that may hold it many times: the best ``score``, and ``stats``, the interface counts of all its rows added key by key."""
+    each = graph.select("src", F.col("replacement").alias("dst"), F.col("generatorScore").alias("score"), F.explode_outer("interfaceStats").alias("channel", "n"))
+    sums = each.groupBy("src", "dst", "channel").agg(F.max("score").alias("score"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+    counts = F.array_sort(F.collect_list(F.when(F.col("channel").isNotNull(), F.struct("channel", "n"))))
+    return sums.groupBy("src", "dst").agg(F.max("score").alias("score"), F.map_from_entries(counts).alias("stats"))
+
+
 def merged_edges(mined: DataFrame, given: DataFrame) -> DataFrame:
     """Mined and given edges (``src``, ``dst``, ``score``, ``stats`` MAP<STRING, BIGINT>) as one: the better score, counts added key by key, and where it is from."""
     a = mined.select("src", "dst", F.col("score").alias("score_a"), F.col("stats").alias("stats_a"), F.lit(True).alias("in_a"))

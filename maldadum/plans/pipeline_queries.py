@@ -49,7 +49,7 @@ def auto_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
-    mined = _graph(spark, folder).where("edge_no % 3 < 2").groupBy("src", F.col("replacement").alias("dst")).agg(F.max("generatorScore").alias("score"), F.min_by("interfaceStats", "edge_no").alias("stats"))
+    mined = family.summed_edges(_graph(spark, folder))
     rows = mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS)))
     given = mining.counters(rows).select(F.col("err").alias("src"), F.col("cor").alias("dst"), F.lit(0.9).alias("score"), F.col("interface_stats").alias("stats"))
     out = family.merged_edges(mined, given)

@@ -1,9 +1,12 @@
 """The whole correction, and lemma families."""
 
+from oracle import FOLDER
 from pyspark.sql import functions as F
 
 from maldadum.functions import features as X
 from maldadum.operators import family, pipeline as L
+from maldadum.plans import pipeline_queries as Q
+from maldadum.sources.tables import table
 
 
 def test_correct(spark):
@@ -48,3 +51,14 @@ def test_merged_edges(spark):
     b = spark.createDataFrame([("x", "y", 0.7, {"voice": 2, "generic": 1}), ("q", "r", None, {"voice": 5})], schema)
     got = {(r.src, r.dst): (r.score, r.stats, r.origin) for r in family.merged_edges(a, b).collect()}
     assert got == {("x", "y"): (0.7, {"voice": 3, "generic": 1}, "both"), ("x", "z"): (0.9, {}, "mined"), ("q", "r"): (None, {"voice": 5}, "given")}
+
+
+def test_merged_edges_reads_every_edge(spark, tmp_path):
+    graph = "edge_no BIGINT, src STRING, replacement STRING, generatorScore DOUBLE, interfaceStats MAP<STRING, BIGINT>"
+    edges = [(i, f"가{i}", "나", 0.5, {"voice": 1}) for i in range(6)] + [(6, "가0", "나", 0.75, {"voice": 2, "generic": 4}), (8, "다", "라", 0.25, None)]
+    spark.createDataFrame(edges, graph).write.parquet(str(tmp_path / "typed_confusion_graph.parquet"))
+    records = table(spark, FOLDER, "corpus_records").limit(0)
+    records.write.parquet(str(tmp_path / "corpus_records.parquet"))
+    summed = {(r.src, r.dst): (r.score, r.stats) for r in family.summed_edges(table(spark, str(tmp_path), "typed_confusion_graph")).collect()}
+    assert summed == {("가0", "나"): (0.75, {"voice": 3, "generic": 4}), **{(f"가{i}", "나"): (0.5, {"voice": 1}) for i in range(1, 6)}, ("다", "라"): (0.25, {})}
+    assert [tuple(r) for r in Q.merged_edges(spark, str(tmp_path)).collect()] == [("mined", 7, 3.5, 12)]

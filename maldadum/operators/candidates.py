@@ -8,7 +8,7 @@ the smaller replacement."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,17 +83,33 @@ def interface_score(stats: Column, channel: Column) -> Column:
     return F.round(F.when(total > 0, F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw))).otherwise(0.86), 6)
 
 
+def support(stats: Column) -> Column:
+    """All counts of a map together; null counts as empty."""
+    return F.coalesce(F.aggregate(F.map_values(stats), F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(v, F.lit(0))), F.lit(0))
+
+
 def source_prior(source: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in vocab.SOURCE_PRIOR.items() for x in pair])
     return F.coalesce(F.try_element_at(known, source), F.lit(vocab.OTHER_PRIOR))
 
 
-def prefilter(candidates: DataFrame, limit: int = 4, least_similarity: float = 0.55) -> DataFrame:
-    """Candidates (``tok``, ``dst``, ``source``, ``generator``, ``context``, ``interface``) with ``typo`` and ``score``, the best ``limit`` per token."""
-    rated = candidates.withColumn("typo", S.typo_similarity(F.col("tok"), F.col("dst"))).where(F.col("typo") >= least_similarity)
-    score = F.round(0.40 * F.col("typo") + 0.22 * S.unit_score(F.col("generator")) + 0.12 * source_prior(F.col("source")) + 0.16 * F.col("context") + 0.10 * F.col("interface"), 4)
+def supported(source: Column, context: Column, support: Column, typo: Column) -> Column:
+    """Whether a candidate of seeds or of mined data meets its context, or else was seen often enough."""
+    weak = F.coalesce(context, F.lit(0.0)) < 0.08
+    n = F.coalesce(support, F.lit(0))
+    return ~(F.coalesce(source.isin("FAMILY_SEED", "AUTO_FAMILY_SEED"), F.lit(False)) & weak & (n < 14)) & ~(F.coalesce(source.isin("DATA_CONFUSION", "LEMMA_DATA_CONFUSION"), F.lit(False)) & weak & (n < 8) & (typo < 0.62))
+
+
+def prefilter(candidates: DataFrame, limit: int = 4, least_similarity: float = 0.55, curated_similarity: float = 0.48, keys: Sequence[str] = ("tok",)) -> DataFrame:
+    """Candidates (``tok``, ``dst``, ``source``, ``generator``, ``context``, ``interface``, ``support``, ``family``) with ``typo`` and ``score``, the best ``limit`` per ``keys``.
+
+    ``curated_similarity`` is enough for curated sources with lemmas of a family, a context of .1 or a generator of .72; ``support`` is the sum of the interface counts."""
+    typo, generator = F.col("typo"), S.unit_score(F.col("generator"))
+    trusted = F.col("source").isin(*vocab.CURATED_SOURCES) & (F.col("family") | (F.col("context") >= 0.1) | (generator >= 0.72))
+    rated = candidates.withColumn("typo", S.typo_similarity(F.col("tok"), F.col("dst"))).where(typo >= F.when(trusted, curated_similarity).otherwise(least_similarity)).where(supported(F.col("source"), F.col("context"), F.col("support"), typo))
+    score = F.round(0.40 * typo + 0.22 * generator + 0.12 * source_prior(F.col("source")) + 0.16 * F.col("context") + 0.10 * F.col("interface"), 4)
     rated = rated.withColumn("score", score)
-    rank = F.row_number().over(W.partitionBy("tok").orderBy(F.desc("score"), F.desc("context"), F.desc("typo"), F.desc("generator"), "dst"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("context"), F.desc("typo"), F.desc("generator"), "dst"))
     return rated.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maldadum import vocab
 from maldadum.functions import similarity as S, spans as P, text as T
@@ -109,6 +109,11 @@ def _graph(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "typed_confusion_graph")
 
 
+def _family() -> Column:
+    """Whether a mined edge knows the lemmas of its family."""
+    return F.coalesce(F.col("source").isin(*vocab.FAMILY_SOURCES) & F.col("lemma").isNotNull() & F.col("targetLemma").isNotNull(), F.lit(False))
+
+
 def _error_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS)
     return mining.word_pairs(mining.entries(rows)).select("record", F.col("err").alias("tok"), F.col("cor").alias("gold"), "channel", "cor_sentence")
@@ -137,12 +142,12 @@ def suffix_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of error tokens, scored and cut to the best four."""
-    edges = _graph(spark, folder).where("generatorScore is not null").select("edge_no", "src", F.col("replacement").alias("dst"), "source", F.col("generatorScore").alias("generator"), "contextHints", "interfaceStats")
-    one = edges.groupBy("src", "dst", "source").agg(F.max_by(F.struct("generator", "contextHints", "interfaceStats"), F.struct("generator", "edge_no")).alias("e"))
+    edges = _graph(spark, folder).where("generatorScore is not null").select("edge_no", "src", F.col("replacement").alias("dst"), "source", F.col("generatorScore").alias("generator"), "contextHints", "interfaceStats", _family().alias("family"))
+    one = edges.groupBy("src", "dst", "source").agg(F.max_by(F.struct("generator", "contextHints", "interfaceStats"), F.struct("generator", "edge_no")).alias("e"), F.max("family").alias("family"))
     tokens = _error_tokens(spark, folder).groupBy("tok").agg(F.min_by(F.struct("channel", "cor_sentence"), F.struct("record")).alias("first"))
-    met = C.exact(tokens, one.select("src", "dst", "source", "e.*"))
-    rated = met.withColumns({"context": C.hint_score(T.words(F.coalesce("first.cor_sentence", F.lit(""))), F.col("contextHints")), "interface": C.interface_score(F.col("interfaceStats"), F.col("first.channel"))})
-    kept = C.best_per_replacement(rated.select("tok", "dst", "source", "generator", "context", "interface"))
+    met = C.exact(tokens, one.select("src", "dst", "source", "family", "e.*"))
+    rated = met.withColumns({"context": C.hint_score(T.words(F.coalesce("first.cor_sentence", F.lit(""))), F.col("contextHints")), "interface": C.interface_score(F.col("interfaceStats"), F.col("first.channel")), "support": C.support(F.col("interfaceStats"))})
+    kept = C.best_per_replacement(rated.select("tok", "dst", "source", "generator", "context", "interface", "support", "family"))
     return C.prefilter(kept)
 
 

@@ -57,6 +57,12 @@ SOURCE_PRIOR = {
     "FAMILY_SURFACE_EXAMPLE": 0.95, "MORPH": 0.90, "SURFACE_JAMO_FALLBACK": 0.76, "JAMO_FALLBACK": 0.72, "JAMO": 0.70, "MLM_TOPK": 0.35,
 }
 OTHER_PRIOR = 0.25
+#: Origins that a similarity of .48 can be enough for, and those whose candidates know the lemmas of their family.
+CURATED_SOURCES = (
+    "CONFUSION_SET", "MORPH", "LEMMA_CONFUSION", "MORPHEME_CONFUSION", "COMMON_SURFACE_PATTERN", "COMMON_PHRASE_PATTERN", "DATA_CONFUSION", "LEMMA_DATA_CONFUSION",
+    "FAMILY_SEED", "AUTO_FAMILY_SEED", "FAMILY_SURFACE_EXAMPLE", "PHRASE_MEMORY", "PHRASE_MEMORY_FUZZY", "INFLECTION_RULE", "SURFACE_JAMO_FALLBACK",
+)
+FAMILY_SOURCES = ("LEMMA_DATA_CONFUSION", "FAMILY_SEED", "AUTO_FAMILY_SEED", "FAMILY_SURFACE_EXAMPLE", "INFLECTION_RULE")
 
 # What tokens are.
 TOKEN = r"[가-힣A-Za-z0-9]+|[^\s]"

@@ -83,6 +83,20 @@ def test_scores(spark):
     assert [tuple(r) for r in rows[1:]] == [(0.86, 0.0), (0.86, 0.0)]
 
 
+def test_prefilter_bounds_and_gates(spark):
+    schema = "tok STRING, dst STRING, source STRING, generator DOUBLE, context DOUBLE, interface DOUBLE, support BIGINT, family BOOLEAN"
+    low, mid = ("가나바사", "가나다러"), ("금새", "금세")
+    rows = [
+        (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 7, False), (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 8, False), (*mid, "DATA_CONFUSION", 0.9, 0.08, 0.9, 0, False), (*mid, "CONFUSION_SET", 0.9, 0.0, 0.9, 0, False),
+        (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 13, True), (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 14, True), (*mid, "AUTO_FAMILY_SEED", 0.9, 0.08, 0.9, 0, True), (*mid, "MLM_TOPK", 0.1, 0.0, 0.9, 0, False),
+        (*low, "CONFUSION_SET", 0.5, 0.0, 0.9, 0, False), (*low, "CONFUSION_SET", 0.72, 0.0, 0.9, 0, False), (*low, "CONFUSION_SET", 0.5, 0.1, 0.9, 0, False), (*low, "INFLECTION_RULE", 0.5, 0.0, 0.9, 0, True), (*low, "MLM_TOPK", 0.9, 0.9, 0.9, 99, True),
+    ]
+    got = {tuple(r[:8]) for r in C.prefilter(spark.createDataFrame(rows, schema), 99).select(*[c.split()[0] for c in schema.split(", ")], "typo").collect()}
+    typos = {r.tok: r.typo for r in C.prefilter(spark.createDataFrame(rows, schema), 99).collect()}
+    assert 0.48 <= typos["가나바사"] < 0.55 <= typos["금새"] < 0.62
+    assert got == {rows[i] for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)}
+
+
 def test_beam_is_exhaustive_where_it_can_be():
     random.seed(8)
     for _ in range(60):

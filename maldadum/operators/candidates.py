@@ -113,12 +113,33 @@ def prefilter(candidates: DataFrame, limit: int = 4, least_similarity: float = 0
     return rated.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def best_per_replacement(candidates: DataFrame) -> DataFrame:
-    """One candidate per token and replacement: the highest generator score, then prior, then the smaller source name."""
-    order = W.partitionBy("tok", "dst").orderBy(F.desc("generator"), F.desc(source_prior(F.col("source"))), "source")
+def best_per_replacement(candidates: DataFrame, keys: Sequence[str] = ("tok",)) -> DataFrame:
+    """One candidate per ``keys`` and replacement: the highest generator score, then prior, then the smaller source name."""
+    order = W.partitionBy(*keys, "dst").orderBy(F.desc("generator"), F.desc(source_prior(F.col("source"))), "source")
     return candidates.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def added_edges(edges: DataFrame) -> DataFrame:
+    """One row per (``src``, ``dst``, ``source``) of edges that may be mined many times: the best ``generator``, ``family`` if any has it, ``hints`` and ``stats``
+    with the counts of ``contextHints`` and ``interfaceStats`` added term by term and channel by channel."""
+    keys = ["src", "dst", "source"]
+    parts = F.concat(
+        F.array(F.struct(F.lit("e").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"))),
+        F.coalesce(F.transform("contextHints", lambda h: F.struct(F.lit("h").alias("kind"), h["term"].alias("name"), h["count"].cast("bigint").alias("n"))), F.array()),
+        F.coalesce(F.transform(F.map_entries("interfaceStats"), lambda m: F.struct(F.lit("s").alias("kind"), m["key"].alias("name"), m["value"].cast("bigint").alias("n"))), F.array()))
+    each = edges.select(*keys, "generator", "family", F.explode(parts).alias("p"))
+    sums = each.groupBy(*keys, "p.kind", "p.name").agg(F.max("generator").alias("generator"), F.max("family").alias("family"), F.coalesce(F.sum("p.n"), F.lit(0)).alias("n"))
+    of = lambda kind, *names: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("name").isNotNull(), F.struct(F.col("name").alias(names[0]), F.col("n").alias(names[1])))))
+    return sums.groupBy(*keys).agg(F.max("generator").alias("generator"), F.max("family").alias("family"), of("h", "term", "count").alias("hints"), F.map_from_entries(of("s", "key", "value")).alias("stats"))
+
+
+def scored(occurrences: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The best candidates of every occurrence of a token (``keys``, with ``tok``, ``terms`` of its context and its ``channel``) among :func:`added_edges`; ranks within ``keys``."""
+    met = exact(occurrences, edges)
+    rated = met.withColumns({"context": hint_score(F.col("terms"), F.col("hints")), "interface": interface_score(F.col("stats"), F.col("channel")), "support": support(F.col("stats"))})
+    return prefilter(best_per_replacement(rated.drop("hints", "stats", "terms"), keys), keys=keys)
+
+
 def hits_at(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Of gold pairs (``tok``, ``dst``), how many are among the first k candidates (``tok``, ``dst``, ``rank``): ``n``, ``hit_<k>`` and ``rate_<k>``."""
     found = gold.select("tok", "dst").join(ranked.select("tok", "dst", "rank"), ["tok", "dst"], "left")

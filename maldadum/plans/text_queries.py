@@ -141,14 +141,11 @@ def suffix_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of error tokens, scored and cut to the best four."""
-    edges = _graph(spark, folder).where("generatorScore is not null").select("edge_no", "src", F.col("replacement").alias("dst"), "source", F.col("generatorScore").alias("generator"), "contextHints", "interfaceStats", _family().alias("family"))
-    one = edges.groupBy("src", "dst", "source").agg(F.max_by(F.struct("generator", "contextHints", "interfaceStats"), F.struct("generator", "edge_no")).alias("e"), F.max("family").alias("family"))
-    tokens = _error_tokens(spark, folder).groupBy("tok").agg(F.min_by(F.struct("channel", "cor_sentence"), F.struct("record")).alias("first"))
-    met = C.exact(tokens, one.select("src", "dst", "source", "family", "e.*"))
-    rated = met.withColumns({"context": C.hint_score(T.words(F.coalesce("first.cor_sentence", F.lit(""))), F.col("contextHints")), "interface": C.interface_score(F.col("interfaceStats"), F.col("first.channel")), "support": C.support(F.col("interfaceStats"))})
-    kept = C.best_per_replacement(rated.select("tok", "dst", "source", "generator", "context", "interface", "support", "family"))
-    return C.prefilter(kept)
+    """Candidates of every occurrence of an error token, scored in its sentence and channel and cut to the occurrence's best four; ``n`` records have that occurrence."""
+    edges = _graph(spark, folder).where("generatorScore is not null").select("src", F.col("replacement").alias("dst"), "source", F.col("generatorScore").alias("generator"), "contextHints", "interfaceStats", _family().alias("family"))
+    keys = ["tok", "channel", "cor_sentence"]
+    occurrences = _error_tokens(spark, folder).withColumn("cor_sentence", F.coalesce("cor_sentence", F.lit(""))).groupBy(*keys).agg(F.count_distinct("record").alias("n"))
+    return C.scored(occurrences.withColumn("terms", T.words(F.col("cor_sentence"))), C.added_edges(edges), keys)
 
 
 def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:

@@ -97,6 +97,16 @@ def test_prefilter_bounds_and_gates(spark):
     assert got == {rows[i] for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)}
 
 
+def test_every_occurrence_is_scored(spark):
+    schema = "src STRING, dst STRING, source STRING, generator DOUBLE, family BOOLEAN, contextHints ARRAY<STRUCT<term: STRING, count: BIGINT>>, interfaceStats MAP<STRING, BIGINT>"
+    edges = [("금새", "금세", "DATA_CONFUSION", 0.8, False, [("비가", 1)], {"voice": 1}), ("금새", "금세", "DATA_CONFUSION", 0.9, False, [("비가", 2), ("해가", 3)], {"voice": 1, "generic": 8}), ("금새", "금세", "DATA_CONFUSION", 0.7, False, None, None)]
+    added = C.added_edges(spark.createDataFrame(edges, schema))
+    assert [tuple(r) for r in added.select("generator", "family", "hints", "stats").collect()] == [(0.9, False, [("비가", 3), ("해가", 3)], {"voice": 2, "generic": 8})]
+    places = [("금새", "generic", "비가 금세", ["비가", "금세"]), ("금새", "voice", "금세", ["금세"]), ("금새", "generic", "금세", ["금세"]), ("금새", None, "해가 비가", ["해가", "비가"])]
+    got = {(r.channel, r.cor_sentence): (r.context, r.rank) for r in C.scored(spark.createDataFrame(places, "tok STRING, channel STRING, cor_sentence STRING, terms ARRAY<STRING>"), added, ["tok", "channel", "cor_sentence"]).collect()}
+    assert got == {("generic", "비가 금세"): (0.7124, 1), ("voice", "금세"): (0.0, 1), ("generic", "금세"): (0.0, 1), (None, "해가 비가"): (1.0, 1)}
+
+
 def test_beam_is_exhaustive_where_it_can_be():
     random.seed(8)
     for _ in range(60):

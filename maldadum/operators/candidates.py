@@ -8,6 +8,7 @@ the smaller replacement."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -74,6 +75,99 @@ def hint_score(terms: Column, hints: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(F.round(F.log1p(hit) / F.log1p(total), 4))
 
 
+def hint_hits(edges: DataFrame, sentences: DataFrame, shards: int = 8) -> DataFrame:
+    """How edges' hints are met by all sentences that hold their replacement: ``edge_no``, ``hit``, ``total`` and ``n``, the sentences with that hit, as :func:`hint_score` counts them.
+
+    :param edges: ``edge_no``, ``replacement``, ``contextHints``.
+    :param sentences: ``replacement`` and ``terms``, the sentence's words joined by blanks.
+
+    A replacement's edges are sent to each of its shards and come before the sentences, which stream past them; a worker holds the edges of one replacement."""
+    hints = F.transform("contextHints", lambda h: F.struct(h["term"].alias("term"), F.coalesce(h["count"], F.lit(0)).cast("bigint").alias("count")))
+    kind = "array<struct<term:string,count:bigint>>"
+    hints = F.coalesce(hints.cast(kind), F.array().cast(kind))
+    first = edges.select("replacement", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("late"), F.col("edge_no").cast("bigint").alias("edge_no"), hints.alias("hints"), F.lit(None).cast("string").alias("terms"))
+    then = sentences.select("replacement", F.pmod(F.xxhash64("terms"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("late"), F.lit(None).cast("bigint").alias("edge_no"), F.lit(None).cast(kind).alias("hints"), "terms")
+    lined = first.unionByName(then).repartition("replacement", "shard").sortWithinPartitions("replacement", "shard", "late")
+    return lined.mapInArrow(_hits, "edge_no BIGINT, hit BIGINT, total BIGINT, n BIGINT").groupBy("edge_no", "hit", "total").agg(F.sum("n").alias("n"))
+
+
+class _Group:
+    """The edges of one replacement, and how many sentences met each of them how well."""
+
+    def __init__(self) -> None:
+        self.edges: list[tuple[int | None, int]] = []
+        self.of: dict[str, list[tuple[int, int]]] = {}
+        self.longer: dict[str, list[str]] | None = None
+        self.near: dict[str, tuple[str, ...]] = {}
+        self.sentences = 0
+        self.hits: Counter = Counter()
+
+    def edge(self, number: int | None, hints: list[dict]) -> None:
+        self.edges.append((number, sum(h["count"] for h in hints)))
+        for h in hints:
+            if h["term"] is not None:
+                self.of.setdefault(h["term"], []).append((len(self.edges) - 1, h["count"]))
+
+    def _begun(self, word: str) -> tuple[str, ...]:
+        if word not in self.near:
+            if len(self.near) > 100_000:
+                self.near.clear()
+            self.near[word] = (*(word[:i] for i in range(len(word)) if word[:i] in self.of), *self.longer.get(word, ()))
+        return self.near[word]
+
+    def sentence(self, words: set[str]) -> None:
+        if self.longer is None:
+            self.longer = {}
+            for term in self.of:
+                for i in range(1, len(term) + 1):
+                    self.longer.setdefault(term[:i], []).append(term)
+        self.sentences += 1
+        equal: dict[int, int] = {}
+        begun: dict[int, int] = {}
+        for term in words & self.of.keys():
+            for e, n in self.of[term]:
+                equal[e] = equal.get(e, 0) + n
+        for term in {t for w in words for t in self._begun(w)}:
+            for e, n in self.of[term]:
+                begun[e] = begun.get(e, 0) + n
+        for e, n in begun.items():  # equal terms begin one another too
+            if hit := equal.get(e, 0) or n:
+                self.hits[e, hit] += 1
+
+    def rows(self) -> Iterator[tuple]:
+        left = [self.sentences] * len(self.edges)
+        for (e, hit), n in self.hits.items():
+            left[e] -= n
+            yield (self.edges[e][0], hit, self.edges[e][1], n)
+        for (number, total), n in zip(self.edges, left):
+            if n:
+                yield (number, 0, total, n)
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["edge_no", "hit", "total", "n"]
+    at, group = None, _Group()
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for replacement, shard, late, number, hints, terms in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if (replacement, shard) != at:
+                out += group.rows()
+                at, group = (replacement, shard), _Group()
+            if late:
+                if group.edges:
+                    group.sentence(set(terms.split(" ")))
+            else:
+                group.edge(number, hints)
+        if out:
+            yield made(out)
+    if out := list(group.rows()):
+        yield made(out)
+
+
 def interface_score(stats: Column, channel: Column) -> Column:
     """How well a candidate's counts per channel fit the channel at hand, within [.2, 1]; .86 without counts."""
     at = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)), F.lit(0))

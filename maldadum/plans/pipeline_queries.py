@@ -57,10 +57,13 @@ def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hint_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """How the terms of each edge's target sentence meet the edge's hints."""
-    sentences = one_row_per_id(table(spark, folder, "corpus_records"), "cor_sentence").select(F.explode(F.array_distinct(T.words(F.col("cor_sentence")))).alias("replacement"), F.col("cor_sentence"))
-    one = sentences.groupBy("replacement").agg(F.min("cor_sentence").alias("sentence"))
-    return _graph(spark, folder).join(one, "replacement").select("edge_no", C.hint_score(T.words(F.col("sentence")), F.col("contextHints")).alias("score"))
+    """How the terms of every distinct sentence that holds an edge's replacement meet the edge's hints: per edge and score the number of sentences, ``n``."""
+    graph = _graph(spark, folder).where("replacement is not null")
+    distinct = one_row_per_id(table(spark, folder, "corpus_records"), "cor_sentence").where("cor_sentence is not null").select("cor_sentence").distinct()
+    words = F.array_distinct(T.words(F.col("cor_sentence")))
+    each = distinct.select(F.array_join(words, " ").alias("terms"), F.explode(words).alias("replacement")).join(graph.select("replacement").distinct(), "replacement")
+    score = F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.log1p("hit") / F.log1p("total"), 4))
+    return C.hint_hits(graph, each).groupBy("edge_no", score.alias("score")).agg(F.sum("n").alias("n"))
 
 
 def interface_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from oracle import FOLDER
 from pyspark.sql import functions as F
 
 from maldadum.functions import features as X
-from maldadum.operators import family, pipeline as L
+from maldadum.operators import candidates as C, family, pipeline as L
 from maldadum.plans import pipeline_queries as Q
 from maldadum.sources.tables import table
 
@@ -62,3 +62,15 @@ def test_merged_edges_reads_every_edge(spark, tmp_path):
     summed = {(r.src, r.dst): (r.score, r.stats) for r in family.summed_edges(table(spark, str(tmp_path), "typed_confusion_graph")).collect()}
     assert summed == {("가0", "나"): (0.75, {"voice": 3, "generic": 4}), **{(f"가{i}", "나"): (0.5, {"voice": 1}) for i in range(1, 6)}, ("다", "라"): (0.25, {})}
     assert [tuple(r) for r in Q.merged_edges(spark, str(tmp_path)).collect()] == [("mined", 7, 3.5, 12)]
+
+
+def test_hint_scores_of_every_sentence(spark, tmp_path):
+    hints = [("비", 2), ("해가", 3), ("해가", 1), (None, 1)]
+    edges = [(1, "금세", hints), (2, "금세", [("바람이불어", 5)]), (3, "금세", None), (4, "없다", hints), (5, "왔다", [("금세", 1), ("", 1)])]
+    spark.createDataFrame(edges, "edge_no BIGINT, replacement STRING, contextHints ARRAY<STRUCT<term: STRING, count: BIGINT>>").write.parquet(str(tmp_path / "typed_confusion_graph.parquet"))
+    sentences = ["비가 금세 왔다", "해가 금세 비가", "금세 바람이", "아주 금세", "금세 왔다 금세", "비가 왔다", None, "비가 금세 왔다", ""]
+    spark.createDataFrame([(i, f"r{i}", s) for i, s in enumerate(sentences)], "rec_no BIGINT, id STRING, cor_sentence STRING").write.parquet(str(tmp_path / "corpus_records.parquet"))
+    got = {(r.edge_no, r.score): r.n for r in Q.hint_scores(spark, str(tmp_path)).collect()}
+    frame = spark.createDataFrame([(e, s, h) for e, w, h in edges for s in sorted({s for s in sentences if s}) if w in s.split()], "e BIGINT, s STRING, h ARRAY<STRUCT<term: STRING, count: BIGINT>>")
+    want = {(r.e, r.score): r["count"] for r in frame.select("e", C.hint_score(F.split("s", " "), F.col("h")).alias("score")).groupBy("e", "score").count().collect()}
+    assert got == want and sum(n for (e, _), n in got.items() if e == 1) == 5 and len([k for k in got if k[0] == 1]) == 3

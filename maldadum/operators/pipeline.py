@@ -8,12 +8,16 @@ Defined results: a null or empty text gives itself, without spans, edits or prop
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maldadum import vocab
 from maldadum.functions import features as X, similarity as S, spans as P, text as T
 from maldadum.operators import candidates as C, decode as D
-from maldadum.operators.rules import scan_rules
+from maldadum.operators.rules import EDITS, EDITS_TYPE, scan_rules
 from maldadum.session import materialize
 
 
@@ -38,16 +42,58 @@ def clauses(requests: DataFrame, key: str, text: str, cursor: str, mode: str) ->
     return requests.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.when(real, F.coalesce(start, F.lit(0))).otherwise(0).alias("start"), F.when(real, F.coalesce(clause, F.lit(""))).otherwise(F.coalesce(F.col(text), F.lit(""))).alias("clause"))
 
 
-def correct(requests: DataFrame, edges: DataFrame, rules: list[tuple[str, str, float]] | None = None, key: str = "doc_id", text: str = "text", cursor: str = "cursor_pos", mode: str = "mode", per_token: int = 3) -> DataFrame:
-    """One row per request: ``key``, ``profile``, ``n_protected``, ``n_rule_edits``, ``final_text`` (rules applied), ``suggested_text`` (the best proposal), ``proposals`` and
+def phrase_edits(rows: DataFrame, key: str, text: str, guarded: str, memory: DataFrame) -> DataFrame:
+    """``rows`` with ``phrase_edits``: the phrases of ``memory`` (``src``, ``dst``, ``confidence``) that stand in the text's tokens outside of ``guarded`` spans, the longest and most
+    confident per place, then from left to right without overlap. A row meets the phrases that begin with one of its tokens, then compares them whole."""
+    heads = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0)))).alias("head"))
+    forms = C.with_head(memory.where("src <> dst"), "src", "head").select("head", T.phrase(F.col("src")).alias("form"), "dst", F.col("confidence").cast("double").alias("confidence"))
+    met = heads.join(forms, "head").groupBy(key).agg(F.collect_set(F.struct("form", "dst", "confidence")).alias("_known"))
+    whole = rows.join(met, key, "left")
+    columns = whole.columns
+    at, spans = columns.index(text), columns.index(guarded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(vocab.TOKEN).finditer
+        for batch in batches:
+            found = []
+            for said, guard, known in zip(batch.column(at).to_pylist(), batch.column(spans).to_pylist(), batch.column(len(columns) - 1).to_pylist()):
+                row: list[dict] = []
+                by_head: dict[str, list[tuple]] = {}
+                for k in known or ():
+                    parts = k["form"].split(" ")
+                    by_head.setdefault(parts[0], []).append((-len(parts), -k["confidence"], k["dst"], parts))
+                tokens = [(m.group(), m.start(), m.end()) for m in find(said)] if by_head else []
+                for i, (head, st, _) in enumerate(tokens):
+                    if row and st < row[-1]["ed"]:
+                        continue
+                    for back, less, dst, parts in sorted(by_head.get(head, ())):
+                        place = tokens[i:i - back]
+                        ed = place[-1][2]
+                        if [t[0] for t in place] == parts and not any(st < g["ed"] and ed > g["st"] for g in guard or ()):
+                            row.append({"st": st, "ed": ed, "src": said[st:ed], "dst": dst, "confidence": -less})
+                            break
+                found.append(row)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, EDITS_TYPE)], names=[*columns[:-1], "phrase_edits"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[:-1])
+    return whole.mapInArrow(run, f"{schema}, phrase_edits {EDITS}")
+
+
+def correct(requests: DataFrame, edges: DataFrame, rules: list[tuple[str, str, float]] | None = None, key: str = "doc_id", text: str = "text", cursor: str = "cursor_pos", mode: str = "mode", per_token: int = 3, phrases: DataFrame | None = None) -> DataFrame:
+    """One row per request: ``key``, ``profile``, ``n_protected``, ``n_rule_edits``, ``n_phrase_edits``, ``final_text`` (rules and phrases applied), ``suggested_text`` (the best proposal), ``proposals`` and
     counts of decisions.
 
-    :param edges: replacements of tokens: ``src``, ``dst``, ``score``."""
+    :param edges: replacements of tokens: ``src``, ``dst``, ``score``.
+    :param phrases: mined phrases beside those given by hand: ``src``, ``dst``, ``confidence``."""
     rules = rules if rules is not None else [*vocab.MANUAL_FIXES, *[p for p in vocab.MANUAL_PHRASES if " " not in p[0]]]
     rows = clauses(requests, key, text, cursor, mode)
     c = F.col("clause")
     rows = scan_rules(rows.withColumn("spans", P.protected(c)), "clause", rules, "spans")
-    rows = rows.withColumn("fixed", P.applied(c, F.col("edits"))).withColumn("guard", P.protected(F.col("fixed"))).withColumn("locked", F.transform(X.comparison_spans(F.col("fixed")), lambda t: F.struct(t["st"].alias("st"), t["ed"].alias("ed"))))
+    memory = requests.sparkSession.createDataFrame(list(vocab.MANUAL_PHRASES), "src STRING, dst STRING, confidence DOUBLE")
+    memory = memory if phrases is None else memory.unionByName(phrases.select("src", "dst", "confidence"))
+    ruled = rows.withColumn("ruled", P.applied(c, F.col("edits"))).withColumn("unphrased", P.protected(F.col("ruled")))
+    rows = phrase_edits(materialize(ruled, "ruled"), key, "ruled", "unphrased", memory)
+    rows = rows.withColumn("fixed", P.applied(F.col("ruled"), F.col("phrase_edits"))).drop("ruled", "unphrased").withColumn("guard", P.protected(F.col("fixed"))).withColumn("locked", F.transform(X.comparison_spans(F.col("fixed")), lambda t: F.struct(t["st"].alias("st"), t["ed"].alias("ed"))))
     rows = materialize(rows, "clauses")  # read three times below
     chat = F.col("fixed").rlike(r"[ㅋㅎㅠ]{2,}|[!?]{2,}")
     tokens = T.explode_tokens(rows.withColumn("chat", chat), key, "fixed", keep=("guard", "locked", "chat")).drop("idx").where(F.length("tok") > 1)
@@ -66,7 +112,7 @@ def correct(requests: DataFrame, edges: DataFrame, rules: list[tuple[str, str, f
     out = whole.join(decoded, key, "left")
     splice = lambda part: F.concat(F.substring("text", F.lit(1), F.col("start")), part, F.substring(F.col("text"), F.col("start") + F.length("clause") + 1, F.length("text")))
     profile = F.when(T.hangul_ratio(c) < 0.35, "QUERY").when(chat, "CHAT").when(~F.contains(c, F.lit(" ")) & (F.length(c) > 12), "NOISY").otherwise("NORMAL")
-    return out.select(key, profile.alias("profile"), F.size("spans").alias("n_protected"), F.size("edits").alias("n_rule_edits"), splice(F.col("fixed")).alias("final_text"), splice(F.coalesce(F.get("proposals.proposal", F.lit(0)), F.col("fixed"))).alias("suggested_text"),
+    return out.select(key, profile.alias("profile"), F.size("spans").alias("n_protected"), F.size("edits").alias("n_rule_edits"), F.size("phrase_edits").alias("n_phrase_edits"), splice(F.col("fixed")).alias("final_text"), splice(F.coalesce(F.get("proposals.proposal", F.lit(0)), F.col("fixed"))).alias("suggested_text"),
                       F.coalesce("proposals", F.slice("proposals", 1, 0)).alias("proposals"), F.coalesce("n_suggested", F.lit(0)).cast("bigint").alias("n_suggested"), F.coalesce("n_rejected", F.lit(0)).cast("bigint").alias("n_rejected"))
 
 

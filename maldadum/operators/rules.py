@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_RULES = 1_000_000
 EDITS = "array<struct<st:int,ed:int,src:string,dst:string,confidence:double>>"
-_TYPE = pa.list_(pa.struct([("st", pa.int32()), ("ed", pa.int32()), ("src", pa.string()), ("dst", pa.string()), ("confidence", pa.float64())]))
+EDITS_TYPE = pa.list_(pa.struct([("st", pa.int32()), ("ed", pa.int32()), ("src", pa.string()), ("dst", pa.string()), ("confidence", pa.float64())]))
 
 
 def _automaton(rules: Sequence[tuple[str, str, float]]):
@@ -69,7 +69,7 @@ def scan_rules(df: DataFrame, text: str, rules: Sequence[tuple[str, str, float]]
             guards = batch.column(spans).to_pylist() if guarded else [None] * len(texts)
             edits = [choose(t, automaton, [(g["st"], g["ed"]) for g in s or ()]) if t and automaton else [] for t, s in zip(texts, guards)]
             shaped = [[dict(zip(("st", "ed", "src", "dst", "confidence"), e)) for e in row] for row in edits]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shaped, _TYPE)], names=[*columns, "edits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shaped, EDITS_TYPE)], names=[*columns, "edits"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{schema}, edits {EDITS}")

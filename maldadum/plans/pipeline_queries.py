@@ -95,8 +95,9 @@ def seeded_subset(spark: SparkSession, folder: str) -> DataFrame:
 
 def corrected_documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS))
-    edges = materialize(mining.confusion_edges(mining.word_pairs(rows), 2, 3).select(F.col("err").alias("src"), F.col("cor").alias("dst"), "score"), "edges")
-    return L.correct(spread(table(spark, folder, "documents")), edges).select("doc_id", "profile", "n_protected", "n_rule_edits", "final_text", "suggested_text", "n_suggested", "n_rejected", F.size("proposals").alias("n_proposals"))
+    edges = materialize(mining.confusion_edges(mining.word_pairs(rows), 2).select(F.col("err").alias("src"), F.col("cor").alias("dst"), "score"), "edges")
+    phrases = materialize(mining.phrase_memory(mining.phrase_pairs(rows)).select(F.col("err").alias("src"), F.col("cor").alias("dst"), "confidence"), "phrases")
+    return L.correct(spread(table(spark, folder, "documents")), edges, phrases=phrases).select("doc_id", "profile", "n_protected", "n_rule_edits", "n_phrase_edits", "final_text", "suggested_text", "n_suggested", "n_rejected", F.size("proposals").alias("n_proposals"))
 
 
 QUERIES = {f.__name__: f for f in (text_features, token_features, lemma_classes, edge_scores, family_edges, auto_seeds, merged_edges, hint_scores, interface_scores, guardrail_decisions, spelling_patterns, long_examples, seeded_subset, corrected_documents)}

@@ -74,3 +74,12 @@ def test_hint_scores_of_every_sentence(spark, tmp_path):
     frame = spark.createDataFrame([(e, s, h) for e, w, h in edges for s in sorted({s for s in sentences if s}) if w in s.split()], "e BIGINT, s STRING, h ARRAY<STRUCT<term: STRING, count: BIGINT>>")
     want = {(r.e, r.score): r["count"] for r in frame.select("e", C.hint_score(F.split("s", " "), F.col("h")).alias("score")).groupBy("e", "score").count().collect()}
     assert got == want and sum(n for (e, _), n in got.items() if e == 1) == 5 and len([k for k in got if k[0] == 1]) == 3
+
+
+def test_correct_applies_phrases(spark):
+    texts = ["정답을 맞췄다 그리고 시간을  맞혀서", "정답을 맞췄다니 안자 있었다", "온디바이스 정답 정답을 맞췄다", "", None, "가나 다라 마바"]
+    requests = spark.createDataFrame([(i, t, None, "inspect") for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, cursor_pos INT, mode STRING")
+    edges = spark.createDataFrame([], "src STRING, dst STRING, score DOUBLE")
+    mined = spark.createDataFrame([("다라 마바", "다 라마바", 0.9), ("가나 다라", "가나다라", 0.8), ("온디바이스 정답", "x", 0.9)], "src STRING, dst STRING, confidence DOUBLE")
+    got = {r.doc_id: (r.final_text, r.n_phrase_edits) for r in L.correct(requests, edges, phrases=mined).collect()}
+    assert got == {0: ("정답을 맞혔다 그리고 시간을 맞춰서", 2), 1: ("정답을 맞췄다니 앉아 있었다", got[1][1]), 2: ("온디바이스 정답 정답을 맞혔다", 1), 3: ("", 0), 4: ("", 0), 5: ("가나다라 마바", 1)}

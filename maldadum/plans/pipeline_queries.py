@@ -49,11 +49,12 @@ def auto_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of the graph and of the corpus as one, each with its origin, better score and added counts per channel."""
     mined = family.summed_edges(_graph(spark, folder))
     rows = mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS)))
     given = mining.counters(rows).select(F.col("err").alias("src"), F.col("cor").alias("dst"), F.lit(0.9).alias("score"), F.col("interface_stats").alias("stats"))
-    out = family.merged_edges(mined, given)
-    return out.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("score"), F.sum(F.aggregate(F.map_values("stats"), F.lit(0).cast("bigint"), lambda a, v: a + v)).alias("support"))
+    at = lambda k: F.coalesce(F.try_element_at("stats", F.lit(k)), F.lit(0)).cast("bigint").alias(k)
+    return family.merged_edges(mined, given).select("src", "dst", "origin", "score", at("generic"), at("keyboard"), at("voice"))
 
 
 def hint_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,10 +145,10 @@ SQL = {
         SELECT edge_no, CASE WHEN risky THEN 'REJECT' ELSE 'SUGGEST_ONLY' END AS decision, CASE WHEN risky THEN 'ALNUM_RISK' WHEN long THEN 'EDIT_RATIO_HIGH LEXICAL_REPLACEMENT' ELSE 'LEXICAL_REPLACEMENT' END AS reasons,
             round(greatest(0.2::DOUBLE, CASE WHEN risky THEN 0.05::DOUBLE ELSE s END - (0.08::DOUBLE + CASE WHEN NOT risky AND long THEN 0.05::DOUBLE ELSE 0 END)), 4) AS option FROM e""",
     "merged_edges": f"""WITH {_PAIRS},
-        given AS (SELECT err AS src, cor AS dst, count(*) AS support FROM pair GROUP BY ALL),
-        mined AS (SELECT src, replacement AS dst, max(generatorScore) AS score, arg_min(list_sum(map_values(interfaceStats)), edge_no) AS support FROM typed_confusion_graph WHERE edge_no % 3 < 2 GROUP BY ALL),
-        b AS (SELECT CASE WHEN m.src IS NOT NULL AND g.src IS NOT NULL THEN 'both' WHEN m.src IS NOT NULL THEN 'mined' ELSE 'given' END AS origin,
-            CASE WHEN g.src IS NULL THEN m.score ELSE greatest(m.score, 0.9::DOUBLE) END AS score, coalesce(m.support, 0) + coalesce(g.support, 0) AS support FROM mined m FULL JOIN given g ON g.src = m.src AND g.dst = m.dst)
-        SELECT origin, count(*) AS n, round(sum(score), 3) AS score, sum(support)::BIGINT AS support FROM b GROUP BY ALL""",
+        given AS (SELECT err AS src, cor AS dst, 0.9::DOUBLE AS score, count(*) FILTER (channel = 'generic') AS generic, count(*) FILTER (channel = 'keyboard') AS keyboard, count(*) FILTER (channel = 'voice') AS voice FROM pair GROUP BY ALL),
+        mined AS (SELECT src, replacement AS dst, max(generatorScore) AS score, coalesce(sum(interfaceStats['generic']), 0) AS generic, coalesce(sum(interfaceStats['keyboard']), 0) AS keyboard, coalesce(sum(interfaceStats['voice']), 0) AS voice FROM typed_confusion_graph GROUP BY ALL)
+        SELECT coalesce(m.src, g.src) AS src, coalesce(m.dst, g.dst) AS dst, CASE WHEN m.src IS NOT NULL AND g.src IS NOT NULL THEN 'both' WHEN m.src IS NOT NULL THEN 'mined' ELSE 'given' END AS origin,
+            CASE WHEN m.score IS NULL THEN g.score WHEN g.score IS NULL THEN m.score ELSE greatest(m.score, g.score) END AS score, (coalesce(m.generic, 0) + coalesce(g.generic, 0))::BIGINT AS generic,
+            (coalesce(m.keyboard, 0) + coalesce(g.keyboard, 0))::BIGINT AS keyboard, (coalesce(m.voice, 0) + coalesce(g.voice, 0))::BIGINT AS voice FROM mined m FULL JOIN given g ON g.src = m.src AND g.dst = m.dst""",
     "long_examples": "SELECT split, variant, count(*) FILTER (len(tokens) >= 11) AS kept, count(*) FILTER (len(tokens) < 11) AS dropped FROM edit_tagger_v2_dataset GROUP BY ALL",
 }

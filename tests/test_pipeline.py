@@ -61,7 +61,8 @@ def test_merged_edges_reads_every_edge(spark, tmp_path):
     records.write.parquet(str(tmp_path / "corpus_records.parquet"))
     summed = {(r.src, r.dst): (r.score, r.stats) for r in family.summed_edges(table(spark, str(tmp_path), "typed_confusion_graph")).collect()}
     assert summed == {("가0", "나"): (0.75, {"voice": 3, "generic": 4}), **{(f"가{i}", "나"): (0.5, {"voice": 1}) for i in range(1, 6)}, ("다", "라"): (0.25, {})}
-    assert [tuple(r) for r in Q.merged_edges(spark, str(tmp_path)).collect()] == [("mined", 7, 3.5, 12)]
+    merged = {r.src: (r.dst, r.origin, r.score, r.generic, r.keyboard, r.voice) for r in Q.merged_edges(spark, str(tmp_path)).collect()}
+    assert merged == {"가0": ("나", "mined", 0.75, 4, 0, 3), **{f"가{i}": ("나", "mined", 0.5, 0, 0, 1) for i in range(1, 6)}, "다": ("라", "mined", 0.25, 0, 0, 0)}
 
 
 def test_hint_scores_of_every_sentence(spark, tmp_path):

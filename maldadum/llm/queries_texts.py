@@ -25,8 +25,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "edit_tagger_v2_dataset")
-    return overlap.split_report(rows, overlap.cross_split_pairs(rows))
+    return overlap.split_report(table(spark, folder, "edit_tagger_v2_dataset"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,9 +14,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text in its consistent form."""
+    """Every text in its consistent form; those of plain characters only are their form and stay in the JVM."""
     values = confusables.record_values(table(spark, folder, "corpus_records"))
-    return confusables.normalized(values, "value", "rec_no", "field", "err_pos").select("rec_no", "field", "err_pos", "form")
+    odd = F.coalesce(confusables.suspicious(F.col("value")), F.lit(False))
+    changed = confusables.normalized(values.where(odd), "value", "rec_no", "field", "err_pos").select("rec_no", "field", "err_pos", "form")
+    return changed.unionByName(values.where(~odd).select("rec_no", "field", "err_pos", F.col("value").alias("form")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Lines are told apart first: table rows share a separator and a number of cells with their neighbours; junk lines are symbol runs,
 encoded or garbled characters, markup, addresses, loose jamo or syllables that no usual text has; list items are short, marked or not,
 and end in no predicate; the rest is prose. Repetition is measured over the whole text: shares of duplicate lines and paragraphs and
-the characters covered by its most frequent word n-gram. A document is what most of its characters are, unless repetition or
-inline enumeration say otherwise.
+the characters covered by the word n-gram that covers most of them. A document is what most of its characters are, unless figures of the whole
+text say otherwise: repetition, a text of symbols or without blanks is junk, and short lines that end in punctuation and hold common words are prose.
 
 Defined results: null, empty and blank texts have zero counts, null shares and no kind; texts are taken whole; repeated ids are
 documents of their own.
@@ -21,7 +21,17 @@ from pyspark.sql import DataFrame, functions as F
 
 # What separates cells, marks items and ends Korean predicates and clauses.
 SEPARATORS = ("\t", "|", ";", ",", "   ")
-COMMON_WORDS = frozenset("그리고 그런데 그러나 그래서 하지만 그래도 또 사실 물론 결국 아무튼 게다가 오늘 어제 그제 아침 저녁에 것 수 등 이 그 저 및 때 더 잘 안 못 the a an of and to in is it that for on with as was at by".split())
+COMMON_WORDS = frozenset((
+    # Korean connectives, adverbs, nouns of time and dependent nouns
+    "그리고 그런데 그러나 그래서 하지만 그래도 그러면 따라서 또는 또 및 사실 물론 결국 아무튼 게다가 오늘 어제 그제 내일 지금 아침 저녁에 이미 아직 매우 아주 정말 너무 다시 더 가장 잘 안 못 것 수 등 때 중 이 그 저 우리 나는 제가 "
+    # English
+    "the a an of and to in is it that for on with as was at by be this are from or have not but they you he she we his her their "
+    # German
+    "der die das und ist nicht ein eine zu den von mit auf für sich im dem auch es an als "
+    # French
+    "le la les et des est une du dans que qui pour pas au par sur il elle "
+    # Spanish
+    "el los las y en que un por con para del se no su al lo como").split())
 _MARK = re.compile(r"\s*(?:>\s*)?(?:[-*+•·∙‣□■☐☑☒▶▷▪▫◦○●◆◇★☆※✓✔]|\[[ xXvV✓]?\]|\(?\d{1,3}[.):]|\(?[가-하a-zA-Z][.)]|[①-⑳])\s*")
 _PREDICATE = re.compile(r"(?:[다요까죠네냐라자군지음임함됨]|니다|세요|거든|는데|어|아|해|게|래|데|고|며|나|만|서|면|니)[\"'’”)\]]*[.?!~…ㅋㅎㅠㅜ^;]*$")
 _ENDED = re.compile(r"[.?!~…]+[\"'’”)\]]*$")
@@ -35,6 +45,8 @@ _JAMO = re.compile(r"[ㄱ-ㅎㅏ-ㅣ]")
 _CHAT = re.compile(r"(?:([ㅋㅎㅠㅜㅇㄷㄱㄴ])\1*|ㅇㅋ|ㄱㅅ|ㅊㅋ|ㅅㄱ|ㅇㅈ|ㅁㄹ|ㅈㅅ|ㄹㅇ)[.!?~]*")
 _GARBLED = re.compile("[\u0080-¿À-ſˆ˜‘-›€�]")
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+#: Scripts that are written without blanks, or often so.
+_UNSPACED = re.compile("[가-힣぀-ヿ㐀-鿿ก-๛ກ-ໟ]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 #: Syllables outside the 2,350 of the KS X 1001 set, which the codec writes in pieces.
 _UNUSUAL = re.compile("[" + "".join(ch for ch in map(chr, range(0xAC00, 0xD7A4)) if len(ch.encode("euc_kr")) != 2) + "]")
@@ -107,18 +119,18 @@ def _table_rows(lines: list[str]) -> list[bool]:
 
 
 def _enumerated(line: str) -> bool:
-    """Many short items in a line, one after the other."""
+    """Many short items in a line, one after the other; nouns may end as predicates do, so that half of the items are enough to be none."""
     for separator in (", ", " / ", "/", " · ", "·", "; ", " | ", ",", "、"):
         items = line.split(separator)
         if len(items) >= 5:
-            short = sum(len(x) <= 20 and len(x.split()) <= 3 and not _SENTENCE.search(x.strip() + " ") or x.strip().endswith("하기") for x in items)
-            if short >= 0.8 * len(items):
+            short = [x for x in items if len(x) <= 20 and len(x.split()) <= 3 or x.strip().endswith("하기")]
+            if len(short) >= 0.8 * len(items) and sum(not _SENTENCE.search(x.strip() + " ") for x in short) >= 0.5 * len(items):
                 return True
     return False
 
 
 def _dominant(words: list[str], solid: int) -> float:
-    """Share of the characters that the n-gram covering most of them covers, n from 1 to 4, 0 if none repeats."""
+    """Share of the characters that the n-gram covering most of them covers, n from 1 to 4, 0 if none repeats. Characters under several places of it count once."""
     times = Counter(words)
     best = max((n * len(w) for w, n in times.items() if n > 1), default=0)
     if best:
@@ -127,9 +139,19 @@ def _dominant(words: list[str], solid: int) -> float:
         starts = [i for i, more in enumerate(again) if more]
         for n in (2, 3, 4):
             starts = [i for i in starts if i + n <= len(words) and again[i + n - 1]]
-            grams = Counter(tuple(words[i : i + n]) for i in starts)
-            best = max(best, max((t * sum(map(len, g)) for g, t in grams.items() if t > 1), default=0))
-    return min(1.0, best / solid)
+            places = [tuple(words[i : i + n]) for i in starts]
+            # at most this many characters, if no two places overlap; the largest first
+            most = sorted(((t * sum(map(len, g)), g) for g, t in Counter(places).items() if t > 1), reverse=True)
+            for bound, gram in most:
+                if bound <= best:
+                    break
+                covered, end = 0, 0
+                for i, g in zip(starts, places):
+                    if g == gram:
+                        covered += sum(map(len, words[max(i, end) : i + n]))
+                        end = i + n
+                best = max(best, covered)
+    return best / solid
 
 
 def statistics(text: str) -> dict:
@@ -174,10 +196,15 @@ def statistics(text: str) -> dict:
     shares = {k: kinds[k] / total for k in ("prose", "list", "table", "junk")}
     best = max(("prose", "list", "table", "junk"), key=lambda k: shares[k])
     kind = best if best != "prose" and shares[best] > 0.5 else None
+    repeated = len(lines) >= 6 and out["duplicate_lines"] > 0.6 or len(paragraphs) >= 6 and out["duplicate_paragraphs"] > 0.6
     if len(words) >= 6 and cover > 0.5:
         kind = "junk"
-    elif len(lines) >= 6 and out["duplicate_lines"] > 0.6 and shares["prose"] < 0.5 and kind != "table":
+    elif repeated and shares["prose"] < 0.5 and kind != "table":
         kind = "junk"
+    elif kind is None and (out["symbol_ratio"] > 0.8 or out["mean_word_length"] > 60 and not out["common_words"] and not _UNSPACED.search(text)):
+        kind = "junk"  # hardly a letter, or hardly a blank where words are written apart
+    elif kind == "list" and out["punctuated_lines"] >= 0.8 and out["common_words"] >= 0.2:
+        kind = None  # running sentences in short lines
     elif kind == "list" and sum(map(bool, marked)) + shares["list"] * len(lines) < 3 and not any(_enumerated(x) for x in lines):
         kind = None  # one or two short lines are no enumeration
     out |= {f"{k}_share": v for k, v in shares.items()} | {"doc_kind": kind}

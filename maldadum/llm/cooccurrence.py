@@ -6,7 +6,7 @@ most each item's own count, so c >= m and c*N >= L*a*b imply a >= m and a <= N /
 
 The null keeps each item's expected frequency and each basket's expected size: item i is in basket k with probability
 x_i y_k / (1 + x_i y_k), fitted so that both margins hold. Items of one frequency share x and baskets of one size share y, so the
-fit works on the distinct frequencies and sizes only. The count of a pair is then a sum of independent Bernoulli variables, and
+fit works on bins of frequencies and sizes only, exact ones up to 1,024. The count of a pair is then a sum of independent Bernoulli variables, and
 the tail of that Poisson-binomial law is taken by a saddlepoint; Benjamini-Hochberg over all possible pairs gives q-values.
 
 Defined results: an item counts once per basket; null items, null and empty texts hold nothing; all baskets count in N, empty ones too;
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maldadum.session import materialize
 
@@ -114,7 +114,9 @@ def _counted(held: DataFrame, frequency: DataFrame, total: int, min_together: in
     pairs = _pairs(held, numbered.select("item", "no")).where(F.col("c") >= min_together)
     a = numbered.select(F.col("no").alias("a"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     b = numbered.select(F.col("no").alias("b"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))
-    named = pairs.join(a, "a").join(b, "b").where(F.col("c") * F.lit(total) >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731 - products beyond 64 bits
+    enough = wide(F.col("c")) * wide(F.lit(total)) >= wide(F.lit(min_lift) * F.col("n_a")) * wide(F.col("n_b"))
+    named = pairs.join(a, "a").join(b, "b").where(enough)
     smaller = F.col("item_a") < F.col("item_b")
     return named.select(
         F.least("item_a", "item_b").alias("term_a"), F.greatest("item_a", "item_b").alias("term_b"),
@@ -128,17 +130,38 @@ def pair_counts(baskets: DataFrame, text: str, items: DataFrame, min_together: i
     return _counted(held, frequency, total, min_together, min_lift)
 
 
-def fit_null(item_degree: np.ndarray, item_many: np.ndarray, basket_size: np.ndarray, basket_many: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """x of each item frequency and y of each basket size, such that expected frequencies and sizes equal the given ones."""
+#: Frequencies and sizes up to this are told apart; larger ones share a bin if they differ by less than one part in _FINE.
+_EXACT, _FINE = 1024, 64
+
+
+def bins(n: Column) -> Column:
+    """The bin of a frequency or size: about 2,000 bins for counts up to 10^11."""
+    return F.when(n <= _EXACT, n.cast("double")).otherwise(_EXACT + F.ceil(F.log(n / F.lit(float(_EXACT))) * _FINE))
+
+
+def _margins(counts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, mean of the bin, how many are in it), by bin; a row per bin comes to the driver."""
+    rows = counts.groupBy(bins(F.col(column)).alias("bin")).agg(F.avg(column).alias("mean"), F.count(F.lit(1)).alias("many")).orderBy("bin").collect()
+    return tuple(np.array([float(r[i]) for r in rows]) for i in range(3))
+
+
+def fit_null(item_degree: np.ndarray, item_many: np.ndarray, basket_size: np.ndarray, basket_many: np.ndarray, rounds: int = 2000, near: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """x of each item frequency and y of each basket size, such that expected frequencies and sizes equal the given ones.
+
+    Refused with an error if the margins are not met to one part in a thousand after ``rounds``, as where an item is in all baskets."""
     incidences = max(1.0, float((item_degree * item_many).sum()))
     x, y = item_degree / math.sqrt(incidences), basket_size / math.sqrt(incidences)
     for _ in range(rounds):
         new_x = item_degree / (basket_many * y / (1 + np.outer(x, y))).sum(axis=1)
         new_y = basket_size / (item_many[:, None] * new_x[:, None] / (1 + np.outer(new_x, y))).sum(axis=0)
-        done = max(np.abs(new_x / x - 1).max(), np.abs(new_y / y - 1).max()) < 1e-10
+        done = max(np.abs(new_x / x - 1).max(), np.abs(new_y / y - 1).max()) < near
         x, y = new_x, new_y
         if done:
             break
+    p = np.outer(x, y) / (1 + np.outer(x, y))
+    off = max(np.abs(p @ basket_many / item_degree - 1).max(), np.abs(item_many @ p / basket_size - 1).max())
+    if not off < 1e-3:
+        raise ArithmeticError(f"the null does not meet the margins: off by {off:.3g} after {rounds} rounds")
     return x, y
 
 
@@ -172,14 +195,12 @@ def tail(p: np.ndarray, many: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def surprise(baskets: DataFrame, text: str, items: DataFrame, min_together: int = 5) -> DataFrame:
     """Pairs as :func:`pair_counts` without a lift limit, with ``expected`` under the null, ``lift`` (observed by expected), ``log10_p`` of the upper
-    tail and ``log10_q`` after Benjamini-Hochberg over all pairs of items that occur."""
+    tail and ``log10_q`` after Benjamini-Hochberg over all pairs of items that occur: every pair found together at all has its rank, and those
+    found together ``min_together`` times are returned."""
     held, frequency, total = memberships(baskets, text, items)
-    # distinct frequencies and sizes, at most the square root of twice the incidences each
-    degrees = frequency.groupBy("n").agg(F.count(F.lit(1)).alias("many")).orderBy("n").collect()
-    sizes = held.select(F.size("items").alias("k")).where("k > 0").groupBy("k").agg(F.count(F.lit(1)).alias("many")).orderBy("k").collect()
-    d, dm = np.array([float(r.n) for r in degrees]), np.array([float(r.many) for r in degrees])
-    k, km = np.array([float(r.k) for r in sizes]), np.array([float(r.many) for r in sizes])
-    pairs = _counted(held, frequency, total, min_together, 0)
+    d_bin, d, dm = _margins(frequency, "n")
+    _, k, km = _margins(held.select(F.size("items").alias("k")).where("k > 0"), "k")
+    pairs = _counted(held, frequency, total, 1, 0)
     x, y = fit_null(d, dm, k, km) if len(d) else (d, k)
     n_items = int(dm.sum())
 
@@ -187,17 +208,18 @@ def surprise(baskets: DataFrame, text: str, items: DataFrame, min_together: int
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                a, b, c = (part.column(part.schema.get_field_index(n)).to_numpy() for n in ("n_a", "n_b", "n_both"))
-                xa, xb = x[np.searchsorted(d, a)], x[np.searchsorted(d, b)]
+                a, b, c, at_a, at_b = (part.column(part.schema.get_field_index(n)).to_numpy() for n in ("n_a", "n_b", "n_both", "bin_a", "bin_b"))
+                of = lambda n, at: (x / d)[np.searchsorted(d_bin, at)] * n  # noqa: E731 - in a bin x goes with the frequency
+                xa, xb = of(a, at_a), of(b, at_b)
                 p = (np.outer(xa, y) / (1 + np.outer(xa, y))) * (np.outer(xb, y) / (1 + np.outer(xb, y)))
                 expected = p @ km
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(expected), pa.array(c / expected), pa.array(tail(p, km, c.astype(float)))], names=[*part.schema.names, "expected", "lift", "log10_p"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(expected), pa.array(c / expected), pa.array(tail(p, km, c.astype(float)))], names=[*part.schema.names[:6], "expected", "lift", "log10_p"])
 
     schema = "term_a STRING, term_b STRING, n_a BIGINT, n_b BIGINT, n_both BIGINT, n_total BIGINT, expected DOUBLE, lift DOUBLE, log10_p DOUBLE"
-    scored = materialize(pairs.mapInArrow(run, schema), "surprise")
+    scored = materialize(pairs.withColumns({"bin_a": bins(F.col("n_a")), "bin_b": bins(F.col("n_b"))}).mapInArrow(run, schema), "surprise")
     # Benjamini-Hochberg by a histogram of log10 p: its ranks are sums over bins, exact at the bins' upper edges
-    bins = scored.groupBy(F.ceil(F.col("log10_p") * 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = scored.groupBy(F.ceil(F.col("log10_p") * 100).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.sum("n").over(W.orderBy("bin"))
-    at = bins.withColumn("q", F.least(F.lit(0.0), F.col("bin") / 100 + F.log10(F.lit(max(1.0, n_items * (n_items - 1) / 2))) - F.log10(rank)))
+    at = found.withColumn("q", F.least(F.lit(0.0), F.col("bin") / 100 + F.log10(F.lit(max(1.0, n_items * (n_items - 1) / 2))) - F.log10(rank)))
     q = at.withColumn("log10_q", F.min("q").over(W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))).select("bin", "log10_q")
-    return scored.withColumn("bin", F.ceil(F.col("log10_p") * 100)).join(q, "bin").drop("bin")
+    return scored.where(F.col("n_both") >= min_together).withColumn("bin", F.ceil(F.col("log10_p") * 100)).join(q, "bin").drop("bin")

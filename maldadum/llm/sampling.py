@@ -33,19 +33,16 @@ def scaled_table(size: int, share: Sequence[int], least: Sequence[int], there: S
     """Cells in proportion to ``share``, each at least ``least`` and at most ``there``, that sum to ``size`` as far as there are rows."""
     lo = [min(a, b) for a, b in zip(least, there)]
     want = max(min(size, sum(b for b, s in zip(there, share) if s > 0) + sum(a for a, s in zip(lo, share) if not s)), sum(lo))
-    # the sum grows with the factor and bends where a cell meets a bound; walk the bends
-    bends = sorted({Fraction(b, s) for b, s in zip(there, share) if s} | {Fraction(a, s) for a, s in zip(lo, share) if s})
-
-    def cells(factor: Fraction) -> list[Fraction]:
-        return [min(Fraction(b), max(Fraction(a), factor * s)) for a, b, s in zip(lo, there, share)]
-
-    below = Fraction(0)
-    for bend in bends:
-        if sum(cells(bend)) >= want:
-            low, high = sum(cells(below)), sum(cells(bend))
-            return cells(bend if high == low else below + (bend - below) * (want - low) / (high - low))
-        below = bend
-    return cells(below)
+    # the sum of all cells grows with the factor along a broken line that bends where a cell leaves its lower bound or meets its upper one; walk the
+    # bends in order with running sums of what is fixed and of what grows
+    bends = sorted([(Fraction(a, s), s, -a) for a, s in zip(lo, share) if s] + [(Fraction(b, s), -s, b) for b, s in zip(there, share) if s], key=lambda x: x[0])
+    fixed, slope, factor = sum(lo), 0, Fraction(0)
+    for bend, rise, change in bends:
+        if fixed + slope * bend >= want:
+            factor = Fraction(want - fixed, slope) if slope else factor
+            break
+        fixed, slope, factor = fixed + change, slope + rise, bend
+    return [min(Fraction(b), max(Fraction(a), factor * s)) for a, b, s in zip(lo, there, share)]
 
 
 def controlled_rounding(rows: Sequence[object], columns: Sequence[object], cells: Sequence[Fraction]) -> list[int]:
@@ -81,27 +78,45 @@ def controlled_rounding(rows: Sequence[object], columns: Sequence[object], cells
         bounded(*((s, node[side, name]) if side == "r" else (node[side, name], t)), value)
     taken = [edge(node["r", r], node["c", c], int(p > 0)) for r, c, p in zip(rows, columns, part)]
     bounded(t, s, sum(part, Fraction(0)))
-    while owed:
-        before: dict[int, tuple[int, list[int]]] = {ss: (-1, [])}
+    while owed:  # Dinic: a blocking flow through the levels of the residual graph at a time
+        level = {ss: 0}
         queue = deque([ss])
-        while queue and tt not in before:
+        while queue:
             a = queue.popleft()
             for e in graph[a]:
-                if e[1] > 0 and e[0] not in before:
-                    before[e[0]] = (a, e)
+                if e[1] > 0 and e[0] not in level:
+                    level[e[0]] = level[a] + 1
                     queue.append(e[0])
-        if tt not in before:
+        if tt not in level:
             raise AssertionError("the fractional table itself is such a flow")
-        path, at = [], tt
-        while at != ss:
-            a, e = before[at]
+        following = [0] * len(graph)
+        path: list[list[int]] = []
+        at = ss
+        while True:
+            if at == tt:
+                flow = min(e[1] for e in path)
+                for e in path:
+                    e[1] -= flow
+                    graph[e[0]][e[2]][1] += flow
+                owed -= flow
+                first = next(i for i, e in enumerate(path) if not e[1])  # go on from where the path is used up
+                at = graph[path[first][0]][path[first][2]][0]
+                path = path[:first]
+                continue
+            while following[at] < len(graph[at]):
+                e = graph[at][following[at]]
+                if e[1] > 0 and level.get(e[0]) == level[at] + 1:
+                    break
+                following[at] += 1
+            else:
+                if at == ss:
+                    break
+                back = path.pop()
+                at = graph[back[0]][back[2]][0]
+                following[at] += 1
+                continue
             path.append(e)
-            at = a
-        flow = min(e[1] for e in path)
-        for e in path:
-            e[1] -= flow
-            graph[e[0]][e[2]][1] += flow
-        owed -= flow
+            at = e[0]
     return [f + (1 - e[1] if p > 0 else 0) for f, e, p in zip(floors, taken, part)]
 
 

@@ -22,12 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Folder of the public vocabularies; a parameter of every query that encodes.
+#: Folder of the public vocabularies, unless a call names one (``folder``) or the session does (``spark.maldadum.tokenizers``).
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The split pattern that belongs to the rank files (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept encoded per Python worker; when full, the memory is emptied and filled anew.
 CACHE_WORDS = 300_000
+#: Pairs of tokens of which it is known whether they may be neighbours; emptied when full.
+CACHE_PAIRS = 1_000_000
 
 
 class Vocabulary:
@@ -68,6 +70,8 @@ class Vocabulary:
         """Whether the encoding of a's bytes and b's bytes together is a, b."""
         known = self.neighbours.get((a, b))
         if known is None:
+            if len(self.neighbours) >= CACHE_PAIRS:
+                self.neighbours.clear()
             known = self.neighbours[a, b] = self._may_follow(a, b)
         return known
 
@@ -140,7 +144,8 @@ class TrieEncoder:
                 at = begin[at]
             self.words[word] = len(self.ids)
             self.ids.append(np.array(ids[::-1], np.int32))
-        self.counts = np.fromiter(map(len, self.ids), np.int32, len(self.ids))
+        fresh = self.ids[len(self.counts) :]
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, fresh), np.int32, len(fresh))])
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row of each word in ``ids``, encoding those not met before."""
@@ -148,7 +153,7 @@ class TrieEncoder:
         if None in rows:
             new = {w for w, r in zip(words, rows) if r is None}
             if len(self.words) + len(new) > CACHE_WORDS:
-                self.words, self.ids, new = {}, [], set(words)
+                self.words, self.ids, self.counts, new = {}, [], np.zeros(0, np.int32), set(words)
             self.add(list(new))
             rows = list(map(self.words.get, words))
         return np.array(rows, np.int64)
@@ -208,22 +213,24 @@ def _path(vocabulary: str, folder: str | None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, f"{vocabulary}.tiktoken")
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``key`` and ``ids`` ARRAY<INT> of each row; one pass, no shuffle."""
-    path = _path(vocabulary, folder)
+def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep`` and ``ids`` ARRAY<INT> of each row; one pass, no shuffle."""
+    path = _path(vocabulary, folder or df.sparkSession.conf.get("spark.maldadum.tokenizers", None))
+    names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for lo, hi in _runs(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), encode_batch(texts[lo:hi], path)], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(len(names))], encode_batch(texts[lo:hi], path)], names=[*names, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids ARRAY<INT>")
+    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    return df.select(*[F.col(n) for n in names], F.col(text)).mapInArrow(run, f"{schema}, ids ARRAY<INT>")
 
 
 def token_counts(df: DataFrame, text: str, *keep: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` BIGINT of each row; 0 for null and empty texts."""
-    path = _path(vocabulary, folder)
+    path = _path(vocabulary, folder or df.sparkSession.conf.get("spark.maldadum.tokenizers", None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

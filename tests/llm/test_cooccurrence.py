@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from maldadum.llm import cooccurrence as O
 
@@ -54,6 +56,29 @@ def test_null_honours_both_margins():
     assert np.allclose(p @ km, d, rtol=1e-6) and np.allclose(dm @ p, k, rtol=1e-6)
 
 
+def test_an_item_in_all_baskets_is_refused():
+    with pytest.raises(ArithmeticError):
+        O.fit_null(np.array([10.0, 2.0]), np.array([1.0, 5.0]), np.array([1.0, 3.0]), np.array([5.0, 5.0]), rounds=50)
+
+
+def test_ranks_count_every_pair(spark):
+    """q against Benjamini-Hochberg over all possible pairs, with the p of every pair that occurs."""
+    rows, items, baskets, known = data(spark)
+    every = O.surprise(baskets, "cor_sentence", known, min_together=1).collect()
+    n = len({x for s in rows for x in re.findall(O.WORD, s[1] or "")} & {x for x in items if x})
+    p = sorted(r.log10_p for r in every)
+    for r in every:
+        exact = min(0.0, min(q + np.log10(n * (n - 1) / 2) - np.log10(i + 1) for i, q in enumerate(p) if q >= r.log10_p))
+        assert exact - 1e-9 <= r.log10_q <= exact + 0.0201
+    some = {(r.term_a, r.term_b): r.log10_q for r in O.surprise(baskets, "cor_sentence", known, min_together=5).collect()}
+    assert some == {(r.term_a, r.term_b): r.log10_q for r in every if r.n_both >= 5}
+
+
+def test_bins(spark):
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in (1, 1024, 1025, 2000, 10**11)], "n BIGINT").select(O.bins(F.col("n"))).collect()]
+    assert got[:2] == [1.0, 1024.0] and got == sorted(got) and got[-1] < 2300
+
+
 def test_tail_against_exact_convolution():
     p, many = np.array([[0.01, 0.05, 0.3]]), np.array([50, 20, 5])
     law = np.ones(1)

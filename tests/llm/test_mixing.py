@@ -11,7 +11,8 @@ from maldadum.llm import mixing as X, tokens as K
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**62))
 def test_permutation(size, key):
-    assert sorted(X.permute(np.arange(size), size, key).tolist()) == list(range(size))
+    there = X.permute(np.arange(size), size, key)
+    assert sorted(there.tolist()) == list(range(size)) and X.permute(there, size, key, back=True).tolist() == list(range(size))
 
 
 def tables(spark):
@@ -37,14 +38,25 @@ def test_mixture(spark):
     for (source, _), used in turns.items():
         assert len(used) <= rep[source].max_repeats and all(t < rep[source].max_repeats for _, t in used)
     assert Counter(s for s, _, _ in {(r.source, r.slot, r.block) for r in rows}) == {k: v.slots_granted for k, v in rep.items() if v.slots_granted}
-    # blocks tile each source's tokens once per turn
-    one = [r for r in rows if r.source == "small" and r.turn == 0]
-    per_block = Counter()
-    for r in one:
-        per_block[r.block] += r.token_to - r.token_from
-        assert 0 <= r.token_from < r.token_to <= sizes[r.doc_id]
-    full = [n for b, n in per_block.items() if b < rep["small"].n_blocks - 1]
-    assert all(n == 16 for n in full)
+    # a slot's tokens are those of its parts, and the report counts tokens
+    ids = {d[0]: x for d, x in zip(raw, K.encode_batch([d[1] for d in raw], path).to_pylist())}
+    assert all(r.ids == [t for p in r.parts for t in ids[p.key][p.token_from : p.token_to]] and 0 < len(r.ids) <= 16 for r in rows)
+    granted = Counter()
+    for r in rows:
+        granted[r.source] += len(r.ids)
+    assert {k: v.tokens_granted for k, v in rep.items() if v.tokens_granted} == dict(granted)
+    assert all(abs(v.actual_share - granted[k] / sum(granted.values())) < 1e-12 for k, v in rep.items())
+    assert all(len(r.ids) == 16 for r in rows if r.block < rep[r.source].n_blocks - 1)
+
+
+def test_small_and_doubly_listed(spark):
+    """Less than a block gives one block; a source listed twice counts once in the total; equal keys are documents of their own."""
+    docs = spark.createDataFrame([(1, "가나다", "a"), (1, "가나다 라", "A ")], "doc_id BIGINT, text STRING, source STRING")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("A", 0.5, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    mix, report = X.mixture(docs, targets, shards=2)
+    n = int(sum(K.count_batch(["가나다", "가나다 라"], f"{K.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")))
+    assert all(r.n_tokens == n and not r.short for r in report.collect())
+    assert [len(r.ids) for r in mix.collect()] == [n]
 
 
 def test_packing_is_whole(spark):

@@ -10,7 +10,7 @@ CASES = [
     (PROSE, None), (PROSE.replace(".", ""), None), ("\n".join(f"{i}. {PROSE}" for i in range(4)), None), ("\n".join(f"> {PROSE}" for _ in range(2)), None),
     (PROSE * 3 + "\nhttps://a.invalid/1", None), (PROSE * 4 + "\n- 사과\n- 배\n- 감", None), (PROSE * 4 + "\n이름 | 수량\n사과 | 3\n배 | 4", None), ("ㅋㅋㅋ 오늘 뭐해? 나는 집에 있어 ㅠㅠ", None),
     ("살 것:\n- 사과\n- 배 2개\n- 감\n- 주문하기", "list"), ("사과\n배\n신청서 2장\n구매하기\n둥근 거울", "list"), ("1) 사과\n2) 배와 감\n3) 조사하기", "list"), ("사과, 배, 감 2개, 귤, 주문하기, 둥근 거울", "list"), ("[x] 이불\n[ ] 거울\n[ ] 자전거 3대", "list"),
-    ("준비물, 시험지, 감자 3통, 편지, 우편함, 까만 북, 도화지, 주문하기", "list"), ("!?#%&*() - = + ~~ !!", "junk"), ("\n".join(f"그리고 {x} 갔다." for x in ("내가", "그가", "형이", "누나가")), None),
+    ("준비물, 시험지, 감자 3통, 편지, 우편함, 까만 북, 도화지, 주문하기", "list"), ("!?#%&*() - = + ~~ !!", "junk"), ("비가 온다.\n물론 나는 간다.\n그래도 봄이다.\n이미 늦었다.", None),
     ("품목,수량,장소\n사과,3,시장\n배,4,창고", "table"), ("품목\t수량\n사과\t3\n배\t4\n감\t5", "table"), ("| 품목 | 수량 |\n|---|---|\n| 사과 | 3 |\n| 배 | 4 |", "table"), ("품목   수량   장소\n사과   3   시장\n   4   창고", "table"),
     ("된장 " * 40, "junk"), ("~~~~~ ===== %%%%% @@@@@", "junk"), ("6YrtpoTdEKGzWibGKuvAi8FgAobdPFEKIBZSL0kN\nc/WGg5GXe/KPisIUzJHANJo6Yakvlw", "junk"), ("ㅍㅇㄴㅁㄹ ㅈㄷㄱㅁㅇㅌㅈ ㅇㅈㄷ ㅂㅍㅈ", "junk"),
     ("http://a.invalid/1\nhttp://b.invalid/2", "junk"), ('<td class="c1">이전\n<li class="c2">&nbsp;\n<div class="c3">', "junk"), ("킾슂 뵲쫹픺칽 뻾곾캵흻튱뾔 뎬큋졎", "junk"), ("가위 안내문".encode().decode("latin-1"), "junk"),

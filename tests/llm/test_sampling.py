@@ -1,6 +1,8 @@
 """Controlled rounding and exact quotas."""
 
 import math
+import random
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -33,6 +35,39 @@ def test_scaled_table_keeps_bounds(size, rows):
     assert sum(cells) == min(max(size, low), high)
 
 
+def plain_table(size, share, least, there):
+    """All bends tried one by one."""
+    lo = [min(a, b) for a, b in zip(least, there)]
+    cells = lambda f: [min(Fraction(b), max(Fraction(a), f * s)) for a, b, s in zip(lo, there, share)]
+    want = max(min(size, sum(b for b, s in zip(there, share) if s > 0) + sum(a for a, s in zip(lo, share) if not s)), sum(lo))
+    below = Fraction(0)
+    for bend in sorted({Fraction(b, s) for b, s in zip(there, share) if s} | {Fraction(a, s) for a, s in zip(lo, share) if s}):
+        if sum(cells(bend)) >= want:
+            low, high = sum(cells(below)), sum(cells(bend))
+            return cells(bend if high == low else below + (bend - below) * (want - low) / (high - low))
+        below = bend
+    return cells(below)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 300), st.lists(st.tuples(st.integers(0, 50), st.integers(0, 9), st.integers(0, 60)), min_size=1, max_size=8))
+def test_running_sums_find_the_same_table(size, rows):
+    share, least, there = zip(*rows)
+    assert M.scaled_table(size, share, least, there) == plain_table(size, share, least, there)
+
+
+def test_twenty_thousand_categories():
+    rng = random.Random(3)
+    cells = [(r, c) for r in range(200) for c in range(100)]
+    share, there = [rng.randint(0, 9) for _ in cells], [rng.randint(0, 5000) for _ in cells]
+    least = [rng.randint(0, 20) for _ in cells]
+    began = time.perf_counter()
+    table = M.scaled_table(3_000_000, share, least, there)
+    got = M.controlled_rounding([r for r, _ in cells], [c for _, c in cells], table)
+    assert time.perf_counter() - began < 20
+    assert sum(got) == 3_000_000 and all(math.floor(t) <= g <= math.ceil(t) for g, t in zip(got, table))
+
+
 def frames(spark, records, targets):
     return spark.createDataFrame(records, "record STRING, error_type STRING, source STRING"), spark.createDataFrame(targets, "error_type STRING, source STRING, target_permille INT, min_rows INT")
 

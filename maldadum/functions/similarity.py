@@ -119,6 +119,11 @@ def phrase_confidence(frequency: Column, similarity: Column) -> Column:
     return F.round(F.least(F.lit(0.995), 0.9 + 0.03 * F.least(frequency, F.lit(5)) + 0.05 * similarity), 4)
 
 
+def rounded(x: Column, places: int = 4) -> Column:
+    """Rounded half up, of what is left of a double after ten places, so that sums in another order give the same."""
+    return F.round(F.round(x, 10), places)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

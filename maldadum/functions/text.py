@@ -39,30 +39,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(vocab.WORD), F.lit(0))
 
 
-def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKEN, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per token: ``key``, the columns ``keep``, ``idx``, ``tok``, ``st``, ``ed``; linear in the length of the text, whatever it is."""
+def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKEN, keep: Sequence[str] = (), window: int = 0) -> DataFrame:
+    """One row per token: ``key``, the columns ``keep``, ``idx``, ``tok``, ``st``, ``ed``; linear in the length of the text, whatever it is.
+
+    :param window: with it also ``near``, the tokens up to so many places before and after."""
     carried = [key, *keep]
-    own = [pa.field("idx", pa.int32()), pa.field("tok", pa.string()), pa.field("st", pa.int32()), pa.field("ed", pa.int32())]
+    own = [pa.field("idx", pa.int32()), pa.field("tok", pa.string()), pa.field("st", pa.int32()), pa.field("ed", pa.int32()), *([pa.field("near", pa.list_(pa.string()))] if window else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
         for batch in batches:
             rows: list[tuple] = []
             for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for i, m in enumerate(find(t or "")):
-                    rows.append((k, i, m.group(), m.start(), m.end()))
+                found = [(m.group(), m.start(), m.end()) for m in find(t or "")]
+                said = [f[0] for f in found] if window else []
+                for i, f in enumerate(found):
+                    rows.append((k, i, *f, said[max(0, i - window) : i] + said[i + 1 : i + 1 + window]) if window else (k, i, *f))
                     if len(rows) >= 50_000:
                         yield flush(rows, batch)
                         rows = []
             yield flush(rows, batch)
 
     def flush(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, *columns = list(zip(*rows)) or [()] * 5
+        at, *columns = list(zip(*rows)) or [()] * (1 + len(own))
         where = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([*[batch.column(i).take(where) for i in range(len(carried))], *[pa.array(c, f.type) for c, f in zip(columns, own)]], names=[*carried, *[f.name for f in own]])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
-    return df.select(*[F.col(c) for c in carried], F.col(text).alias("_text")).mapInArrow(run, f"{schema}, idx INT, tok STRING, st INT, ed INT")
+    return df.select(*[F.col(c) for c in carried], F.col(text).alias("_text")).mapInArrow(run, f"{schema}, idx INT, tok STRING, st INT, ed INT{', near ARRAY<STRING>' if window else ''}")
 
 
 def phrase(text: Column) -> Column:
@@ -130,6 +134,30 @@ def context_terms(sentence: Column, target: Column, window: int = 2) -> Column:
     return F.when((at > 0) & (bare != ""), near).otherwise(F.array().cast("array<string>"))
 
 
+def context_of(near: Column) -> Column:
+    """Context terms of neighbouring tokens: without particles, at least two letters long and half Hangul."""
+    return F.filter(F.transform(near, lambda w: strip_particle(w)), lambda w: (F.length(w) >= 2) & (hangul_ratio(w) >= 0.5))
+
+
+def near_words(tokens: Column, window: int = 3) -> Column:
+    """``array<struct<tok, terms>>``: each token of an array with the context terms within ``window`` tokens of it. Linear in the number of tokens."""
+
+    def around(tok: Column, i: Column) -> Column:
+        first = F.greatest(i + 1 - window, F.lit(1))
+        return F.struct(tok.alias("tok"), F.concat(F.slice(tokens, first, i + 1 - first), F.slice(tokens, i + 2, F.lit(window))).alias("near"))
+
+    return F.transform(F.transform(tokens, around), lambda x: F.struct(x["tok"].alias("tok"), context_of(x["near"]).alias("terms")))
+
+
+def span_terms(sentence: Column, target: Column, window: int = 3) -> Column:
+    """Context terms as in :func:`near_words` around the first token of the sentence that equals ``target`` without noise; none without one."""
+    toks = F.regexp_extract_all(sentence, F.lit(vocab.TOKEN), F.lit(0))
+    at = F.array_position(toks, strip_noise(target)).cast("int")
+    first = F.greatest(at - window, F.lit(1))
+    near = F.concat(F.slice(toks, first, at - first), F.slice(toks, at + 1, F.lit(window)))
+    return F.when(at > 0, context_of(near)).otherwise(F.array().cast("array<string>"))
+
+
 def stem(lemma: Column) -> Column:
     """The lemma without a final 다."""
     return F.when(F.endswith(lemma, F.lit("다")), F.substring(lemma, F.lit(1), F.length(lemma) - 1)).otherwise(lemma)
@@ -151,6 +179,13 @@ def clause_at(text: Column, cursor: Column, limit: int = 128) -> tuple[Column, C
     return start, F.substring(text, start + 1, at - start)
 
 
+def profile(text: Column) -> Column:
+    """MIXED (many Latin letters or digits), CHAT, QUERY (little Hangul), NOISY (long without a blank) or NORMAL, in this order."""
+    share = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return (F.when((share("A-Za-z") > 0.3) | (share("0-9") > 0.25), "MIXED").when(text.rlike("[ㅋㅎㅠ]{2,}|[!?]{2,}"), "CHAT").when(share("가-힣") < 0.35, "QUERY")
+            .when(~F.contains(text, F.lit(" ")) & (F.length(text) > 12), "NOISY").otherwise("NORMAL"))
+
+
 def drop_repeats(text: Column) -> Column:
     """Without consecutive repeats of a word and without characters outside the usual set."""
     parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"[^가-힣ㄱ-ㅎㅏ-ㅣA-Za-z0-9\s.,!?~'\"()%:/-]", ""), r"\s+", " ")), " ")

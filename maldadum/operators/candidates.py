@@ -8,7 +8,6 @@ the smaller replacement."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,12 +39,29 @@ def phrases(rows: DataFrame, key: str, text: str, memory: DataFrame) -> DataFram
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "first", "n_tokens", "src", "dst", "confidence")
 
 
+def _near_keys(word: Column, least: float, most_edits: int) -> Column:
+    """Keys of which two words share one wherever :func:`similar` may pair them.
+
+    With a similarity of .74 and two edits, words of up to 18 letters have equal lengths and differ in letters of a third of the word or in two places. A word is
+    cut in three: up to nine letters one part is touched and two stay as they are, up to 18 one stays. Longer words, and other bounds, meet by length."""
+    n = F.length(word)
+    cut = lambda a, b: F.substring(word, a + 1, b - a)
+    first, second = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    x, y, z = cut(F.lit(0), first), cut(first, second), cut(second, n)
+    key = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), n.cast("string"), *parts)
+    by_length = F.array(*[F.concat_ws("\x1f", F.lit("n"), (n + d).cast("string"), F.substring(word, 1, 1)) for d in (-1, 0, 1)])
+    if least < 0.74 or most_edits > 2:
+        return by_length
+    two, one = F.array(key("xy", x, y), key("xz", x, z), key("yz", y, z)), F.array(key("x", x), key("y", y), key("z", z))
+    return F.when(n > 19, by_length).when(n > 17, F.concat(one, by_length)).when(n > 9, one).otherwise(two)
+
+
 def similar(tokens: DataFrame, dictionary: DataFrame, least: float = 0.74, most_edits: int = 2, limit: int = 4) -> DataFrame:
     """Dictionary words close to a token: the same first character, a length within one, few edits and ``typo_similarity`` of at least ``least``; the
-    ``limit`` closest. ``tok``, ``src``, ``edits``, ``similarity``, ``rank``. Distinct tokens and words are joined on (first character, length)."""
-    probe = tokens.select("tok").where("tok <> ''").distinct().withColumn("len", F.explode(F.array(F.length("tok") - 1, F.length("tok"), F.length("tok") + 1))).withColumn("head", F.substring("tok", 1, 1))
-    words = dictionary.select("src").where("src <> ''").distinct().withColumn("len", F.length("src")).withColumn("head", F.substring("src", 1, 1))
-    near = probe.join(words, ["head", "len"]).where(F.col("tok") != F.col("src")).withColumn("edits", F.levenshtein("tok", "src")).where(F.col("edits") <= most_edits)
+    ``limit`` closest. ``tok``, ``src``, ``edits``, ``similarity``, ``rank``. Distinct tokens and words meet on equal parts, not all of a length with all others."""
+    keyed = lambda df, name: df.select(name).where(F.col(name) != "").distinct().select(name, F.explode(_near_keys(F.col(name), least, most_edits)).alias("key"))
+    met = keyed(tokens, "tok").join(keyed(dictionary, "src"), "key").where((F.col("tok") != F.col("src")) & (F.substring("tok", 1, 1) == F.substring("src", 1, 1)) & (F.abs(F.length("tok") - F.length("src")) <= 1))
+    near = met.withColumn("edits", F.levenshtein("tok", "src")).where(F.col("edits") <= most_edits).select("tok", "src", "edits").distinct()
     rated = near.withColumn("similarity", S.typo_similarity(F.col("tok"), F.col("src"))).where(F.col("similarity") >= least)
     rank = F.row_number().over(W.partitionBy("tok").orderBy(F.desc("similarity"), "src"))
     return rated.withColumn("rank", rank).where(F.col("rank") <= limit).select("tok", "src", "edits", "similarity", "rank")
@@ -65,116 +81,56 @@ def by_suffix(lemmas: DataFrame, rules: DataFrame) -> DataFrame:
     return ends.join(rules, ["source_suffix", "pos"]).select("lemma", "pos", "source_suffix", "target_suffix", F.concat(F.substring("stem", F.lit(1), F.length("stem") - F.col("n")), F.col("target_suffix"), F.lit("다")).alias("target"), "score")
 
 
+_HINTS = "array<struct<term:string,count:bigint>>"
+
+
+def plain_hints(hints: Column) -> Column:
+    """Hints (``array<struct<term, count>>``) with terms as context terms are, without particles; empty and null terms are left out, equal ones may stay."""
+    bare = F.transform(hints, lambda h: F.struct(T.strip_particle(h["term"]).alias("term"), F.coalesce(h["count"], F.lit(0)).cast("bigint").alias("count")))
+    return F.coalesce(F.filter(bare.cast(_HINTS), lambda h: h["term"] != ""), F.array().cast(_HINTS))
+
+
 def hint_score(terms: Column, hints: Column) -> Column:
-    """How well context terms meet hints (``array<struct<term, count>>``): log of the counts of equal terms, or of terms that begin one another, against
-    all counts; 0 without hints."""
-    total = F.aggregate(hints, F.lit(0).cast("bigint"), lambda a, h: a + F.coalesce(h["count"], F.lit(0)))
-    equal = F.aggregate(F.filter(hints, lambda h: F.array_contains(terms, h["term"])), F.lit(0).cast("bigint"), lambda a, h: a + F.coalesce(h["count"], F.lit(0)))
-    begun = F.aggregate(F.filter(hints, lambda h: F.exists(terms, lambda t: F.startswith(t, h["term"]) | F.startswith(h["term"], t))), F.lit(0).cast("bigint"), lambda a, h: a + F.coalesce(h["count"], F.lit(0)))
-    hit = F.when(equal > 0, equal).otherwise(begun)
-    return F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(F.round(F.log1p(hit) / F.log1p(total), 4))
-
-
-def hint_hits(edges: DataFrame, sentences: DataFrame, shards: int = 8) -> DataFrame:
-    """How edges' hints are met by all sentences that hold their replacement: ``edge_no``, ``hit``, ``total`` and ``n``, the sentences with that hit, as :func:`hint_score` counts them.
-
-    :param edges: ``edge_no``, ``replacement``, ``contextHints``.
-    :param sentences: ``replacement`` and ``terms``, the sentence's words joined by blanks.
-
-    A replacement's edges are sent to each of its shards and come before the sentences, which stream past them; a worker holds the edges of one replacement."""
-    hints = F.transform("contextHints", lambda h: F.struct(h["term"].alias("term"), F.coalesce(h["count"], F.lit(0)).cast("bigint").alias("count")))
-    kind = "array<struct<term:string,count:bigint>>"
-    hints = F.coalesce(hints.cast(kind), F.array().cast(kind))
-    first = edges.select("replacement", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("late"), F.col("edge_no").cast("bigint").alias("edge_no"), hints.alias("hints"), F.lit(None).cast("string").alias("terms"))
-    then = sentences.select("replacement", F.pmod(F.xxhash64("terms"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("late"), F.lit(None).cast("bigint").alias("edge_no"), F.lit(None).cast(kind).alias("hints"), "terms")
-    lined = first.unionByName(then).repartition("replacement", "shard").sortWithinPartitions("replacement", "shard", "late")
-    return lined.mapInArrow(_hits, "edge_no BIGINT, hit BIGINT, total BIGINT, n BIGINT").groupBy("edge_no", "hit", "total").agg(F.sum("n").alias("n"))
-
-
-class _Group:
-    """The edges of one replacement, and how many sentences met each of them how well."""
-
-    def __init__(self) -> None:
-        self.edges: list[tuple[int | None, int]] = []
-        self.of: dict[str, list[tuple[int, int]]] = {}
-        self.longer: dict[str, list[str]] | None = None
-        self.near: dict[str, tuple[str, ...]] = {}
-        self.sentences = 0
-        self.hits: Counter = Counter()
-
-    def edge(self, number: int | None, hints: list[dict]) -> None:
-        self.edges.append((number, sum(h["count"] for h in hints)))
-        for h in hints:
-            if h["term"] is not None:
-                self.of.setdefault(h["term"], []).append((len(self.edges) - 1, h["count"]))
-
-    def _begun(self, word: str) -> tuple[str, ...]:
-        if word not in self.near:
-            if len(self.near) > 100_000:
-                self.near.clear()
-            self.near[word] = (*(word[:i] for i in range(len(word)) if word[:i] in self.of), *self.longer.get(word, ()))
-        return self.near[word]
-
-    def sentence(self, words: set[str]) -> None:
-        if self.longer is None:
-            self.longer = {}
-            for term in self.of:
-                for i in range(1, len(term) + 1):
-                    self.longer.setdefault(term[:i], []).append(term)
-        self.sentences += 1
-        equal: dict[int, int] = {}
-        begun: dict[int, int] = {}
-        for term in words & self.of.keys():
-            for e, n in self.of[term]:
-                equal[e] = equal.get(e, 0) + n
-        for term in {t for w in words for t in self._begun(w)}:
-            for e, n in self.of[term]:
-                begun[e] = begun.get(e, 0) + n
-        for e, n in begun.items():  # equal terms begin one another too
-            if hit := equal.get(e, 0) or n:
-                self.hits[e, hit] += 1
-
-    def rows(self) -> Iterator[tuple]:
-        left = [self.sentences] * len(self.edges)
-        for (e, hit), n in self.hits.items():
-            left[e] -= n
-            yield (self.edges[e][0], hit, self.edges[e][1], n)
-        for (number, total), n in zip(self.edges, left):
-            if n:
-                yield (number, 0, total, n)
-
-
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["edge_no", "hit", "total", "n"]
-    at, group = None, _Group()
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-    for batch in batches:
-        out: list[tuple] = []
-        for replacement, shard, late, number, hints, terms in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if (replacement, shard) != at:
-                out += group.rows()
-                at, group = (replacement, shard), _Group()
-            if late:
-                if group.edges:
-                    group.sentence(set(terms.split(" ")))
-            else:
-                group.edge(number, hints)
-        if out:
-            yield made(out)
-    if out := list(group.rows()):
-        yield made(out)
-
-
-def interface_score(stats: Column, channel: Column) -> Column:
-    """How well a candidate's counts per channel fit the channel at hand, within [.2, 1]; .86 without counts."""
-    at = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)), F.lit(0))
-    total = at("generic") + at("keyboard") + at("voice")
-    g, k, v = (F.try_divide(at(x), total) for x in ("generic", "keyboard", "voice"))
-    raw = F.when(channel == "generic", 0.92 * g + 0.82 * k + 0.22 * v).when(channel == "voice", 0.92 * v + 0.55 * g + 0.35 * k).otherwise(0.9 * k + 0.7 * g + 0.3 * v)
-    return F.round(F.when(total > 0, F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw))).otherwise(0.86), 6)
+    """How well context terms meet :func:`plain_hints`: the counts of the hints that terms equal, and until a term has met any hint those of hints that begin it
+    or that it begins, by all counts, at most 1; 0 without hints or terms."""
+    added = lambda some: F.aggregate(some, F.lit(0).cast("bigint"), lambda a, h: a + h["count"])
+    total = added(hints)
+
+    def met(so_far: Column, term: Column) -> Column:
+        equal = so_far + added(F.filter(hints, lambda h: h["term"] == term))
+        return F.when(equal > 0, equal).otherwise(added(F.filter(hints, lambda h: F.startswith(term, h["term"]) | F.startswith(h["term"], term))))
+
+    matched = F.aggregate(terms, F.lit(0).cast("bigint"), met)
+    return F.coalesce(F.round(F.least(F.lit(1.0), matched / F.when(total == 0, 1).otherwise(total)), 4), F.lit(0.0))
+
+
+def hint_scores(edges: DataFrame, sentences: DataFrame, text: str) -> DataFrame:
+    """How the hints of edges (``edge_no``, ``replacement``, ``contextHints``) are met wherever their replacement stands in a sentence: ``edge_no``, ``score``
+    and ``n``, the places with that score. Equal places of a replacement are counted before they meet its edges."""
+    hinted = edges.where(F.col("replacement").isNotNull()).select("edge_no", "replacement", plain_hints(F.col("contextHints")).alias("hints"))
+    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0))
+    wanted = hinted.select("replacement").distinct()
+    places = sentences.select(T.each(T.near_words(toks)).alias("w")).where("w is not null").select(F.col("w.tok").alias("replacement"), "w.terms").join(wanted, "replacement")
+    counted = places.groupBy("replacement", "terms").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(hinted, "replacement").groupBy("edge_no", hint_score(F.col("terms"), F.col("hints")).alias("score")).agg(F.sum("n").alias("n"))
+
+
+def interface_score(stats: Column, channel: Column, kind: Column | None = None) -> Column:
+    """How well a candidate's counts per channel fit the channel at hand, within [.2, 1], to four places.
+
+    :param kind: the candidate's channel, which counts where it has no counts; .86 without either."""
+    total = F.greatest(support(stats), F.lit(1))
+    g, k, v = (F.coalesce(F.try_element_at(stats, F.lit(x)), F.lit(0)) / total for x in ("generic", "keyboard", "voice"))
+    raw = F.when(channel == "voice", 0.92 * v + 0.55 * g + 0.35 * k).when(channel == "keyboard", 0.9 * k + 0.7 * g + 0.3 * v).otherwise(0.92 * g + 0.82 * k + 0.22 * v)
+    none = F.lit(0.86) if kind is None else F.when(kind == "voice", F.when(channel == "generic", 0.32).otherwise(0.9)).when(kind == "keyboard", F.when(channel.isin("generic", "keyboard"), 0.94).otherwise(0.72)).otherwise(0.86)
+    return F.when(F.size(F.coalesce(F.map_keys(stats), F.array())) > 0, S.rounded(F.greatest(F.lit(0.2), F.least(F.lit(1.0), raw)))).otherwise(none)
+
+
+def enriched(candidates: DataFrame) -> DataFrame:
+    """Candidates (``terms``, ``channel``, ``hints``, ``stats``, ``kind``) with ``context`` and ``interface``: voice candidates of generic texts count little without context."""
+    scored = candidates.withColumns({"context": hint_score(F.col("terms"), F.col("hints")), "interface": interface_score(F.col("stats"), F.col("channel"), F.col("kind"))})
+    quiet = (F.col("channel") == "generic") & F.coalesce(F.col("kind") == "voice", F.lit(False)) & (F.col("context") < 0.12)
+    return scored.withColumn("interface", F.when(quiet, F.least(F.col("interface"), F.lit(0.3))).otherwise(F.col("interface")))
 
 
 def support(stats: Column) -> Column:
@@ -187,6 +143,10 @@ def source_prior(source: Column) -> Column:
     return F.coalesce(F.try_element_at(known, source), F.lit(vocab.OTHER_PRIOR))
 
 
+def curated(source: Column) -> Column:
+    return F.coalesce(source.isin(*vocab.CURATED_SOURCES), F.lit(False))
+
+
 def supported(source: Column, context: Column, support: Column, typo: Column) -> Column:
     """Whether a candidate of seeds or of mined data meets its context, or else was seen often enough."""
     weak = F.coalesce(context, F.lit(0.0)) < 0.08
@@ -195,43 +155,47 @@ def supported(source: Column, context: Column, support: Column, typo: Column) ->
 
 
 def prefilter(candidates: DataFrame, limit: int = 4, least_similarity: float = 0.55, curated_similarity: float = 0.48, keys: Sequence[str] = ("tok",)) -> DataFrame:
-    """Candidates (``tok``, ``dst``, ``source``, ``generator``, ``context``, ``interface``, ``support``, ``family``) with ``typo`` and ``score``, the best ``limit`` per ``keys``.
+    """Candidates (``tok``, ``dst``, ``source``, ``generator``, ``context``, ``interface``, ``support``, ``family``) with ``typo``, ``norm`` (generator within [0, 1]) and ``score``, the best ``limit`` per ``keys``.
 
     ``curated_similarity`` is enough for curated sources with lemmas of a family, a context of .1 or a generator of .72; ``support`` is the sum of the interface counts."""
     typo, generator = F.col("typo"), S.unit_score(F.col("generator"))
-    trusted = F.col("source").isin(*vocab.CURATED_SOURCES) & (F.col("family") | (F.col("context") >= 0.1) | (generator >= 0.72))
+    trusted = curated(F.col("source")) & ((F.size("family") > 0) | (F.col("context") >= 0.1) | (generator >= 0.72))
     rated = candidates.withColumn("typo", S.typo_similarity(F.col("tok"), F.col("dst"))).where(typo >= F.when(trusted, curated_similarity).otherwise(least_similarity)).where(supported(F.col("source"), F.col("context"), F.col("support"), typo))
-    score = F.round(0.40 * typo + 0.22 * generator + 0.12 * source_prior(F.col("source")) + 0.16 * F.col("context") + 0.10 * F.col("interface"), 4)
-    rated = rated.withColumn("score", score)
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("context"), F.desc("typo"), F.desc("generator"), "dst"))
+    score = S.rounded(0.40 * typo + 0.22 * generator + 0.12 * source_prior(F.col("source")) + 0.16 * F.col("context") + 0.10 * F.col("interface"))
+    rated = rated.withColumns({"score": score, "norm": S.rounded(generator)})
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.desc("context"), F.desc("typo"), F.desc("norm"), "dst"))
     return rated.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def best_per_replacement(candidates: DataFrame, keys: Sequence[str] = ("tok",)) -> DataFrame:
-    """One candidate per ``keys`` and replacement: the highest generator score, then prior, then the smaller source name."""
-    order = W.partitionBy(*keys, "dst").orderBy(F.desc("generator"), F.desc(source_prior(F.col("source"))), "source")
+    """One candidate per ``keys`` and replacement: the highest generator score within [0, 1], then prior, then the smaller source name."""
+    order = W.partitionBy(*keys, "dst").orderBy(F.desc(S.unit_score(F.col("generator"))), F.desc(source_prior(F.col("source"))), "source")
     return candidates.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def added_edges(edges: DataFrame) -> DataFrame:
-    """One row per (``src``, ``dst``, ``source``) of edges that may be mined many times: the best ``generator``, ``family`` if any has it, ``hints`` and ``stats``
-    with the counts of ``contextHints`` and ``interfaceStats`` added term by term and channel by channel."""
+    """One row per (``src``, ``dst``, ``source``) of edges that may be mined many times: the best ``generator``, the smallest ``kind`` (channel) and ``pos``, ``family`` (all lemmas,
+    sorted), ``slots`` (sorted union), and ``hints`` and ``stats``, whose counts are added term by term, as :func:`plain_hints` has them, and channel by channel."""
     keys = ["src", "dst", "source"]
+    text = F.lit(None).cast("string")
+    part = lambda kind, name, n: F.struct(F.lit(kind).alias("part"), name.alias("name"), n.cast("bigint").alias("n"))
+    none = F.array().cast("array<struct<part:string,name:string,n:bigint>>")
     parts = F.concat(
-        F.array(F.struct(F.lit("e").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"))),
-        F.coalesce(F.transform("contextHints", lambda h: F.struct(F.lit("h").alias("kind"), h["term"].alias("name"), h["count"].cast("bigint").alias("n"))), F.array()),
-        F.coalesce(F.transform(F.map_entries("interfaceStats"), lambda m: F.struct(F.lit("s").alias("kind"), m["key"].alias("name"), m["value"].cast("bigint").alias("n"))), F.array()))
-    each = edges.select(*keys, "generator", "family", F.explode(parts).alias("p"))
-    sums = each.groupBy(*keys, "p.kind", "p.name").agg(F.max("generator").alias("generator"), F.max("family").alias("family"), F.coalesce(F.sum("p.n"), F.lit(0)).alias("n"))
-    of = lambda kind, *names: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("name").isNotNull(), F.struct(F.col("name").alias(names[0]), F.col("n").alias(names[1])))))
-    return sums.groupBy(*keys).agg(F.max("generator").alias("generator"), F.max("family").alias("family"), of("h", "term", "count").alias("hints"), F.map_from_entries(of("s", "key", "value")).alias("stats"))
+        F.array(part("e", text, F.lit(0)), part("l", F.col("lemma"), F.lit(0)), part("l", F.col("targetLemma"), F.lit(0))),
+        F.coalesce(F.transform(plain_hints(F.col("contextHints")), lambda h: part("h", h["term"], h["count"])), none),
+        F.coalesce(F.transform("suffixSlots", lambda x: part("x", x, F.lit(0))), none),
+        F.coalesce(F.transform(F.map_entries("interfaceStats"), lambda m: part("s", m["key"], m["value"])), none))
+    each = edges.select(*keys, F.col("generatorScore").alias("generator"), F.col("interfaceType").alias("kind"), "pos", F.explode(parts).alias("p"))
+    best = [F.max("generator").alias("generator"), F.min("kind").alias("kind"), F.min("pos").alias("pos")]
+    sums = each.groupBy(*keys, "p.part", "p.name").agg(*best, F.coalesce(F.sum("p.n"), F.lit(0)).alias("n"))
+    of = lambda kind, value: F.array_sort(F.collect_list(F.when((F.col("part") == kind) & F.col("name").isNotNull(), value)))
+    return sums.groupBy(*keys).agg(*best, of("l", F.col("name")).alias("family"), of("x", F.col("name")).alias("slots"), of("h", F.struct(F.col("name").alias("term"), F.col("n").alias("count"))).alias("hints"), F.map_from_entries(of("s", F.struct(F.col("name").alias("key"), F.col("n").alias("value")))).alias("stats"))
 
 
 def scored(occurrences: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The best candidates of every occurrence of a token (``keys``, with ``tok``, ``terms`` of its context and its ``channel``) among :func:`added_edges`; ranks within ``keys``."""
-    met = exact(occurrences, edges)
-    rated = met.withColumns({"context": hint_score(F.col("terms"), F.col("hints")), "interface": interface_score(F.col("stats"), F.col("channel")), "support": support(F.col("stats"))})
-    return prefilter(best_per_replacement(rated.drop("hints", "stats", "terms"), keys), keys=keys)
+    rated = enriched(exact(occurrences, edges)).withColumn("support", support(F.col("stats")))
+    return prefilter(best_per_replacement(rated.drop("hints", "stats"), keys), keys=keys)
 
 
 def hits_at(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -29,10 +29,16 @@ def family_edges(graph: DataFrame, min_frequency: int = 2, per_lemma: int = 12)
 
 
 def auto_seeds(graph: DataFrame, per_lemma: int = 6) -> DataFrame:
-    """Edges between predicates good enough to be seeds, rescored: ``src``, ``dst``, ``score``, ``frequency``, ``typo``, ``rank``."""
+    """Edges between different lemmas of predicates good enough to be seeds, rescored: ``src``, ``dst``, ``score``, ``frequency``, ``typo``, ``rank``.
+
+    :param graph: ``lemma``, ``targetLemma``, ``pos``, ``frequency``, ``generatorScore``, ``interfaceStats``, ``suffixSlots``, ``contextHints`` and maybe ``surfaceExamples``."""
     at = lambda k: F.coalesce(F.try_element_at("interfaceStats", F.lit(k)), F.lit(0))
-    edges = graph.select("src", F.col("replacement").alias("dst"), "pos", "frequency", F.col("generatorScore").alias("base"), at("voice").alias("voice"), (at("generic") + at("keyboard")).alias("typed"), F.size(F.coalesce("suffixSlots", F.array().cast("array<string>"))).alias("n_slots"), F.size(F.coalesce("contextHints", F.slice("contextHints", 1, 0))).alias("n_hints"))
-    rated = edges.where((F.col("src") != F.col("dst")) & T.coarse_pos(F.col("pos")).isin(*vocab.PREDICATE_TAGS) & (F.col("frequency") >= 2) & (F.col("n_slots") > 0)).withColumn("typo", S.typo_similarity(F.col("src"), F.col("dst")))
+    many = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) if c in graph.columns else F.lit(0)
+    edges = graph.select(F.col("lemma").alias("src"), F.col("targetLemma").alias("dst"), "pos", "frequency", F.col("generatorScore").alias("base"), at("voice").alias("voice"), (at("generic") + at("keyboard")).alias("typed"), (many("suffixSlots") + many("surfaceExamples")).alias("n_shown"), many("contextHints").alias("n_hints"))
+    allowed = F.concat_ws(">", "src", "dst").isin([f"{a}>{b}" for a, b in vocab.BROAD_ALLOWED])
+    broad_source, broad_target = F.col("src").isin(*vocab.BROAD_LEMMAS), F.col("dst").isin(*vocab.BROAD_LEMMAS)
+    fit = (F.col("src") != F.col("dst")) & F.concat("src", "dst").rlike("[가-힣]") & T.coarse_pos(F.col("pos")).isin(*vocab.PREDICATE_TAGS) & (F.col("frequency") >= 2) & (F.col("n_shown") > 0)
+    rated = edges.where(fit & (~(broad_source | broad_target) | allowed) & ~(broad_target & (F.col("typed") < 2))).withColumn("typo", S.typo_similarity(F.col("src"), F.col("dst")))
     t, f = F.col("typo"), F.col("frequency")
     kept = rated.where((t >= 0.48) & ~((F.substring("src", 1, 1) != F.substring("dst", 1, 1)) & (t < 0.7)) & ~((F.col("voice") > 0) & (F.col("typed") == 0) & ((t < 0.72) | (f < 6))) & ~((t < 0.58) & (F.col("n_hints") <= 0)))
     scored = kept.withColumn("score", X.seed_score(F.col("base"), f, t)).groupBy("src", "dst").agg(F.max(F.struct("score", "frequency", "typo")).alias("b")).select("src", "dst", "b.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maldadum import vocab
-from maldadum.functions import similarity as S, text as T
+from maldadum.functions import features as X, similarity as S, text as T
 
 RECORD_COLUMNS = ("error_type", "source", "interface", "keyboard", "cor_sentence", "errors")
 
@@ -139,15 +139,31 @@ def lemma_edges(graph: DataFrame) -> DataFrame:
     return sums.join(slots, keys, "left").join(stats, keys, "left")
 
 
-def suffix_rules(edges: DataFrame, min_support: int = 2, limit: int = 160) -> DataFrame:
-    """What differs at the ends of two lemmas' stems, weighted by frequency: ``source_suffix``, ``target_suffix``, ``pos``, ``frequency``, ``score``, ``n_lemmas``."""
+def _cut(edges: DataFrame) -> DataFrame:
+    """Edges between lemmas with what differs at the ends of their stems, one to four characters on either side, and the irregular class of the target or else the source."""
     a, b = T.stem(F.col("lemma")), T.stem(F.col("target"))
     p = S.shared_prefix(a, b)
-    cut = edges.select("lemma", "pos", "frequency", F.substring(a, p + 1, F.length(a)).alias("source_suffix"), F.substring(b, p + 1, F.length(b)).alias("target_suffix"))
-    cut = cut.where("length(source_suffix) between 1 and 4 and length(target_suffix) between 1 and 4")
-    sums = cut.groupBy("source_suffix", "target_suffix", "pos").agg(F.sum("frequency").alias("frequency"), F.count_distinct("lemma").alias("n_lemmas")).where(F.col("frequency") >= min_support)
-    score = F.round(F.least(F.lit(0.965), 0.58 + 0.07 * F.least(F.lit(5), F.col("frequency")) / 5), 4)
-    return sums.withColumn("score", score).orderBy(F.desc("frequency"), F.desc("score"), "source_suffix", "target_suffix", "pos").limit(limit)  # a ranked report of bounded length
+    kind = F.coalesce(X.irregular_class(F.col("target")), X.irregular_class(F.col("lemma")))
+    cut = edges.select("lemma", "target", "pos", "frequency", F.substring(a, p + 1, F.length(a)).alias("source_suffix"), F.substring(b, p + 1, F.length(b)).alias("target_suffix"), kind.alias("irregular"))
+    return cut.where("length(source_suffix) between 1 and 4 and length(target_suffix) between 1 and 4")
+
+
+def suffix_rules(edges: DataFrame, min_support: int = 2, limit: int | None = 160) -> DataFrame:
+    """What differs at the ends of two lemmas' stems, weighted by frequency: ``source_suffix``, ``target_suffix``, ``pos``, ``frequency``, ``score``, ``n_lemmas`` and ``n_irregular``
+    classes (two at most).
+
+    :param limit: length of a ranked report; None gives all rules, unordered."""
+    sums = _cut(edges).groupBy("source_suffix", "target_suffix", "pos").agg(F.sum("frequency").alias("frequency"), F.count_distinct("lemma").alias("n_lemmas"), F.least(F.count_distinct("irregular"), F.lit(2)).alias("n_irregular"))
+    score = S.rounded(F.least(F.lit(0.965), 0.58 + 0.07 * F.least(F.lit(5), F.col("frequency")) / 5 + 0.03 * F.col("n_irregular")))
+    rules = sums.where(F.col("frequency") >= min_support).withColumn("score", score)
+    return rules if limit is None else rules.orderBy(F.desc("frequency"), F.desc("score"), "source_suffix", "target_suffix", "pos").limit(limit)
+
+
+def suffix_examples(edges: DataFrame, limit: int = 6) -> DataFrame:
+    """The lemmas that speak most for each rule of :func:`suffix_rules`: ``source_suffix``, ``target_suffix``, ``pos``, ``side`` ('source' or 'target'), ``lemma``, ``count``, ``rank``."""
+    sides = F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("lemma").alias("name")), F.struct(F.lit("target").alias("side"), F.col("target").alias("name"))))
+    each = _cut(edges).select("source_suffix", "target_suffix", "pos", "frequency", sides.alias("s")).select("source_suffix", "target_suffix", "pos", "s.side", F.col("s.name").alias("lemma"), "frequency")
+    return top_values(each, ["source_suffix", "target_suffix", "pos", "side"], "lemma", limit, F.col("frequency"))
 
 
 def near_inverse(rules: DataFrame) -> DataFrame:

@@ -1,40 +1,28 @@
-"""Correction of request texts without a model: clause, protected spans, rules, phrases, candidates, decisions, proposals.
+"""Correction of request texts: clause, protected spans, profile, rules, phrases, spacing, tagging, candidates, decisions, proposals.
 
-One row per request throughout. Rules and patterns are expressions on the row; dictionaries are joined on token keys; the candidates of a
+One row per request throughout. Rules and patterns are expressions on the row; dictionaries are joined on token keys, once per distinct token; the candidates of a
 request come back to its row by one aggregation on the request key. Where a model would speak (spacing, morphology, language model
-scores) its absence has a fixed meaning: no spacing edits, no lemma candidates, the model-free score.
+scores) its absence has a fixed meaning: no spacing edits, no lemma candidates, no score differences, and the heuristic tagger.
 
-Defined results: a null or empty text gives itself, without spans, edits or proposals other than itself; unknown modes count as inspect."""
+Defined results: a null or empty text gives itself, without spans, edits or proposals other than itself; unknown modes count as inspect; tokens of one character and
+those less than half Hangul are kept, as the tagger keeps them (rules and phrases apply to them)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from maldadum import vocab
+from maldadum import adapters, vocab
+from maldadum.adapters import Model
 from maldadum.functions import features as X, similarity as S, spans as P, text as T
-from maldadum.operators import candidates as C, decode as D
+from maldadum.operators import candidates as C, decode as D, ranking as R
 from maldadum.operators.rules import EDITS, EDITS_TYPE, scan_rules
 from maldadum.session import materialize
 
 
-def guardrail(original: Column, replacement: Column, guarded: Column, chat: Column, score: Column) -> Column:
-    """``struct<decision, reasons, score>`` of a replacement: rejected in guarded spans and where Latin letters or digits are touched, else a suggestion."""
-    risky = original.rlike("[A-Za-z0-9]") | replacement.rlike("[A-Za-z0-9]")
-    long = F.abs(F.length(replacement) - F.length(original)) / F.greatest(F.length(original), F.lit(1)) > 0.25
-    reasons = F.array_compact(F.array(F.when(long, "EDIT_RATIO_HIGH"), F.when(chat, "CHAT_PROFILE"), F.lit("LEXICAL_REPLACEMENT")))
-    made = lambda d, r, s: F.struct(F.lit(d).alias("decision"), r.alias("reasons"), s.cast("double").alias("score"))
-    return F.when(guarded, made("REJECT", F.array(F.lit("PROTECTED_SPAN")), F.lit(0.01))).when(risky, made("REJECT", F.array(F.lit("ALNUM_RISK")), F.lit(0.05))).otherwise(made("SUGGEST_ONLY", reasons, score))
-
-
-def option_score(score: Column, reasons: Column, curated: Column) -> Column:
-    minus = 0.08 + F.when(curated, 0.0).otherwise(0.03) + F.when(F.array_contains(reasons, "EDIT_RATIO_HIGH"), 0.05).otherwise(0.0) + F.when(F.array_contains(reasons, "CHAT_PROFILE"), 0.02).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.2), score - minus), 4)
-
-
 def clauses(requests: DataFrame, key: str, text: str, cursor: str, mode: str) -> DataFrame:
     """``key``, ``text``, ``start`` and ``clause``: the clause at the cursor in realtime mode, else the whole text."""
     start, clause = T.clause_at(F.col(text), F.col(cursor))
@@ -79,41 +67,101 @@ def phrase_edits(rows: DataFrame, key: str, text: str, guarded: str, memory: Dat
     return whole.mapInArrow(run, f"{schema}, phrase_edits {EDITS}")
 
 
-def correct(requests: DataFrame, edges: DataFrame, rules: list[tuple[str, str, float]] | None = None, key: str = "doc_id", text: str = "text", cursor: str = "cursor_pos", mode: str = "mode", per_token: int = 3, phrases: DataFrame | None = None) -> DataFrame:
-    """One row per request: ``key``, ``profile``, ``n_protected``, ``n_rule_edits``, ``n_phrase_edits``, ``final_text`` (rules and phrases applied), ``suggested_text`` (the best proposal), ``proposals`` and
-    counts of decisions.
+_LOCK = "array<struct<st:int,ed:int>>"
+
+
+def precise_spans(edits: Column) -> Column:
+    """Spans of edits of at least .96 whose texts have two letters or more: what follows leaves them alone."""
+    long = lambda x: F.length(F.trim(x)) >= 2
+    return F.transform(F.filter(edits, lambda e: (e["confidence"] >= 0.96) & long(e["src"]) & long(e["dst"])), lambda e: F.struct(e["st"].alias("st"), e["ed"].alias("ed")))
+
+
+def spaced_edits(rows: DataFrame, text: str, spaced: str, guarded: str, preserved: str | None = None) -> DataFrame:
+    """``rows`` with ``spacing_edits``: blanks that ``spaced`` has and the text has not, outside of guarded and inside of no preserved span; blanks are never taken away.
+
+    NORMAL texts (``profile``) gain .03 of confidence; edits of .9 and more stay."""
+    score = F.round(F.least(F.lit(0.99), 0.96 + F.when(F.col("profile") == "NORMAL", 0.03).otherwise(0.0)), 4)
+    kind = "array<struct<st:int,ed:int,src:string,dst:string,confidence:double>>"
+    free = lambda i: ~P.overlaps_any(F.greatest(i - 1, F.lit(0)), F.least(i + 1, F.length(text)), F.col(guarded))
+    loose = lambda i: F.lit(True) if preserved is None else ~F.exists(preserved, lambda p: (p["st"] < i) & (i < p["ed"]))
+    places = F.filter(P.insertion_points(F.col(text), F.col(spaced)), lambda i: free(i) & loose(i))
+    return rows.withColumn("spacing_edits", F.coalesce(F.transform(places, lambda i: F.struct(i.alias("st"), i.alias("ed"), F.lit("").alias("src"), F.lit(" ").alias("dst"), score.alias("confidence"))), F.array()).cast(kind))
+
+
+def token_candidates(tokens: DataFrame, edges: DataFrame, memory: DataFrame) -> DataFrame:
+    """What each distinct token (``tok``) could become without its context: mined edges (:func:`candidates.added_edges`), single-token phrases of ``memory``, spelling patterns,
+    stems often mistaken, and what words much like it become. Columns as :func:`candidates.prefilter` takes them, one row per replacement."""
+    words = tokens.select("tok").where((F.length("tok") >= 2) & (T.hangul_ratio(F.col("tok")) >= 0.5)).distinct()
+    strings, counts = F.array().cast("array<string>"), F.create_map().cast("map<string,bigint>")
+    bare = {"kind": F.lit(None).cast("string"), "pos": F.lit(None).cast("string"), "family": strings, "slots": strings, "hints": F.array().cast(C._HINTS), "stats": counts}
+    shaped = lambda df: df.select("tok", "dst", "source", F.col("generator").cast("double").alias("generator"), *[F.col(c) if c in df.columns else v.alias(c) for c, v in bare.items()])
+    known = edges.unionByName(requests_constants(tokens).select("src", "dst", "source", "generator", *[v.alias(c) for c, v in bare.items()]))
+    exact = C.exact(words, known)
+    single = C.exact(words, memory.where(~F.contains("src", F.lit(" "))).select("src", "dst", F.lit("PHRASE_MEMORY").alias("source"), F.col("confidence").alias("generator")))
+    pattern = words.where(F.col("tok").rlike("께$|께요$|^않|^안됐|^낫")).select("tok", T.each(F.concat(X.pattern_candidates(F.col("tok")), X.stem_candidates(F.col("tok")))).alias("p")).where("p is not null")
+    pattern = pattern.select("tok", "p.dst", F.when(F.contains("p.dst", F.lit(" ")), "COMMON_PHRASE_PATTERN").when(F.startswith("tok", F.lit("낫")), "MORPH").otherwise("COMMON_SURFACE_PATTERN").alias("source"), F.col("p.score").alias("generator"))
+    near = C.similar(words.where((F.length("tok") >= 2) & (T.hangul_ratio(F.col("tok")) >= 0.7)), known).select("tok", "src", "similarity")
+    fallback = near.join(known, "src").where(F.col("dst") != F.col("tok")).withColumns({"source": F.lit("SURFACE_JAMO_FALLBACK"), "generator": S.rounded(F.least(F.lit(0.88), F.greatest(F.lit(0.58), 0.45 * F.col("generator") + 0.45 * F.col("similarity") + 0.08)))})
+    every = shaped(exact).unionByName(shaped(single)).unionByName(shaped(pattern)).unionByName(shaped(fallback.withColumns({"family": strings, "slots": strings, "kind": bare["kind"], "pos": bare["pos"]})))
+    return C.best_per_replacement(every.where(F.col("dst") != F.col("tok"))).withColumn("support", C.support(F.col("stats")))
+
+
+def requests_constants(df: DataFrame) -> DataFrame:
+    """Replacements given by hand as a table of ``df``'s session."""
+    return df.sparkSession.createDataFrame(list(vocab.OPEN_REPLACEMENTS), "src STRING, dst STRING, source STRING, generator DOUBLE")
+
+
+def correct(requests: DataFrame, edges: DataFrame, rules: list[tuple[str, str, float]] | None = None, key: str = "doc_id", text: str = "text", cursor: str = "cursor_pos", mode: str = "mode", phrases: DataFrame | None = None, spacing: Callable[[], Model] | None = None) -> DataFrame:
+    """One row per request: ``key``, ``profile``, ``n_protected``, ``n_rule_edits``, ``n_phrase_edits``, ``n_spacing_edits``, ``final_text`` (rules, phrases and spacing applied), ``suggested_text`` (the best
+    proposal), ``proposals``, counts of decisions and the ``decision`` over all of them.
 
-    :param edges: replacements of tokens: ``src``, ``dst``, ``score``.
-    :param phrases: mined phrases beside those given by hand: ``src``, ``dst``, ``confidence``."""
-    rules = rules if rules is not None else [*vocab.MANUAL_FIXES, *[p for p in vocab.MANUAL_PHRASES if " " not in p[0]]]
-    rows = clauses(requests, key, text, cursor, mode)
+    :param edges: replacements of tokens, as :func:`candidates.added_edges` gives them.
+    :param phrases: mined phrases beside those given by hand: ``src``, ``dst``, ``confidence``.
+    :param spacing: factory of a model that sets blanks (``adapters.spaced``)."""
+    rules = rules if rules is not None else list(vocab.MANUAL_FIXES)
     c = F.col("clause")
-    rows = scan_rules(rows.withColumn("spans", P.protected(c)), "clause", rules, "spans")
+    rows = clauses(requests, key, text, cursor, mode).withColumn("spans", P.protected(c)).withColumn("profile", T.profile(P.masked(c, F.col("spans"))))
+    rows = scan_rules(rows, "clause", rules, "spans")
     memory = requests.sparkSession.createDataFrame(list(vocab.MANUAL_PHRASES), "src STRING, dst STRING, confidence DOUBLE")
     memory = memory if phrases is None else memory.unionByName(phrases.select("src", "dst", "confidence"))
     ruled = rows.withColumn("ruled", P.applied(c, F.col("edits"))).withColumn("unphrased", P.protected(F.col("ruled")))
-    rows = phrase_edits(materialize(ruled, "ruled"), key, "ruled", "unphrased", memory)
-    rows = rows.withColumn("fixed", P.applied(F.col("ruled"), F.col("phrase_edits"))).drop("ruled", "unphrased").withColumn("guard", P.protected(F.col("fixed"))).withColumn("locked", F.transform(X.comparison_spans(F.col("fixed")), lambda t: F.struct(t["st"].alias("st"), t["ed"].alias("ed"))))
+    rows = phrase_edits(materialize(ruled, "ruled"), key, "ruled", "unphrased", memory.where(~F.contains("src", F.lit(" "))))
+    rows = rows.withColumn("joined", P.applied(F.col("ruled"), F.col("phrase_edits"))).withColumnRenamed("phrase_edits", "first_phrases").drop("ruled", "unphrased").withColumn("unspaced", P.protected(F.col("joined")))
+    if spacing is None:
+        rows = rows.withColumn("spacing_edits", F.array().cast(EDITS))
+    else:
+        rows = spaced_edits(adapters.spaced(rows, "joined", "blanks", spacing), "joined", "blanks", "unspaced").drop("blanks")
+    rows = rows.withColumn("set", P.applied(F.col("joined"), F.col("spacing_edits"))).drop("joined", "unspaced").withColumn("unnormal", P.protected(F.col("set")))
+    rows = phrase_edits(materialize(rows, "spaced"), key, "set", "unnormal", memory)
+    locked = F.concat(precise_spans(F.col("edits")), precise_spans(F.col("first_phrases")), precise_spans(F.col("phrase_edits")))
+    rows = rows.withColumns({"fixed": P.applied(F.col("set"), F.col("phrase_edits")), "locked": locked.cast(_LOCK)}).drop("set", "unnormal").withColumn("guard", P.protected(F.col("fixed")))
+    rows = rows.withColumn("compared", F.transform(X.comparison_spans(F.col("fixed")), lambda t: F.struct(t["st"].alias("st"), t["ed"].alias("ed"))))
     rows = materialize(rows, "clauses")  # read three times below
-    chat = F.col("fixed").rlike(r"[ㅋㅎㅠ]{2,}|[!?]{2,}")
-    tokens = T.explode_tokens(rows.withColumn("chat", chat), key, "fixed", keep=("guard", "locked", "chat")).drop("idx").where(F.length("tok") > 1)
-    spelled = tokens.where(F.col("tok").rlike("께$|께요$|^않|^안됐")).select("*", T.each(X.pattern_candidates(F.col("tok"))).alias("p")).where("p is not null").select(key, "guard", "locked", "chat", "tok", "st", "ed", "p.dst", "p.score")
-    known = C.exact(tokens, edges.select("src", "dst", "score"))
-    options = spelled.unionByName(known.select(spelled.columns)).where(~P.overlaps_any(F.col("st"), F.col("ed"), F.col("locked")))
-    score = F.round(0.55 * F.col("score") + 0.45 * S.typo_similarity(F.col("tok"), F.col("dst")), 4)
-    judged = options.withColumn("g", guardrail(F.col("tok"), F.col("dst"), P.overlaps_any(F.col("st"), F.col("ed"), F.col("guard")), F.col("chat"), score))
-    best = judged.withColumn("score", option_score(score, F.col("g.reasons"), F.lit(True))).groupBy(key, "st", "ed", "tok", "dst").agg(F.max("score").alias("score"), F.min("g.decision").alias("decision"))
-    per_group = best.groupBy(key, "st", "ed", "tok").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("decision") != "REJECT", F.struct((-F.col("score")).alias("less"), F.col("dst"))))), 1, per_token).alias("o"), F.count_if(F.col("decision") == "REJECT").alias("rejected"))
-    keep = F.array(F.struct(F.col("tok").alias("replacement"), F.lit(0.2).alias("score"), F.lit(False).alias("apply")))
-    group = F.struct(F.col("st"), F.col("ed"), F.col("tok").alias("original"), F.concat(F.transform("o", lambda x: F.struct(x["dst"].alias("replacement"), (-x["less"]).alias("score"), F.lit(True).alias("apply"))), keep).alias("options"))
-    gathered = per_group.groupBy(key).agg(F.array_sort(F.collect_list(group)).alias("groups"), F.sum(F.size("o")).alias("n_suggested"), F.sum("rejected").alias("n_rejected"))
+    group = [key, "st", "ed"]
+    tokens = T.explode_tokens(rows, key, "fixed", keep=("guard", "locked", "compared", "profile"), window=3).where((F.length("tok") >= 2) & (T.hangul_ratio(F.col("tok")) >= 0.5))
+    kinds = materialize(token_candidates(tokens, edges, memory), "kinds")
+    met = tokens.join(kinds, "tok").where(~P.overlaps_any(F.col("st"), F.col("ed"), F.col("guard")) & ~P.overlaps_any(F.col("st"), F.col("ed"), F.col("compared")))
+    met = met.withColumns({"channel": F.lit("generic"), "terms": T.context_of(F.col("near"))}).drop("near", "guard", "compared")
+    scored = C.prefilter(C.enriched(met).drop("hints", "stats", "terms"), keys=group)
+    # the heuristic tagger reopens a token whose best candidate is sure enough, unless what went before has settled its span
+    best = F.max(F.when(F.col("rank") == 1, F.struct(F.col("score"), (F.col("source").isin("FAMILY_SEED", "FAMILY_SURFACE_EXAMPLE") & (F.col("context") >= 0.18)).alias("strong")))).over(W.partitionBy(*group))
+    opened = scored.withColumn("_best", best).where((F.col("_best.score") >= 0.72) & (~P.overlaps_any(F.col("st"), F.col("ed"), F.col("locked")) | F.col("_best.strong"))).drop("_best", "locked")
+    ranked = materialize(R.reranked(R.verified(R.family_prior(opened, group), group), group), "ranked")  # read twice
+    keyed = [*group, "profile"]
+    found = R.options(ranked, keyed, "tok", F.lit(False), F.col("profile") == "CHAT")
+    original = F.max(F.when(F.col("decision") == "KEEP", F.col("replacement")))
+    choice = F.struct("rank", "replacement", F.col("option").alias("score"), (F.col("decision") != "KEEP").alias("apply"))
+    per_group = found.groupBy(*group).agg(original.alias("original"), F.array_sort(F.collect_list(F.when(F.col("decision") != "REJECT", choice))).alias("o"), F.collect_set(F.when(F.col("decision") != "KEEP", F.col("decision"))).alias("d"), F.count_if(F.col("decision") == "SUGGEST_ONLY").alias("suggested"), F.count_if(F.col("decision") == "REJECT").alias("rejected"))
+    shaped = F.struct("st", "ed", "original", F.transform("o", lambda x: x.dropFields("rank")).alias("options"))
+    gathered = per_group.groupBy(key).agg(F.array_sort(F.collect_list(shaped)).alias("groups"), F.sum("suggested").alias("n_suggested"), F.sum("rejected").alias("n_rejected"), F.array_distinct(F.flatten(F.collect_set("d"))).alias("decisions"))
     whole = rows.join(gathered, key, "left").withColumn("groups", F.coalesce("groups", F.array().cast(D.GROUPS)))
     decoded = D.decode(whole, key, "fixed", "groups").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "proposal", "score", "n_edits"))).alias("proposals"))
     out = whole.join(decoded, key, "left")
     splice = lambda part: F.concat(F.substring("text", F.lit(1), F.col("start")), part, F.substring(F.col("text"), F.col("start") + F.length("clause") + 1, F.length("text")))
-    profile = F.when(T.hangul_ratio(c) < 0.35, "QUERY").when(chat, "CHAT").when(~F.contains(c, F.lit(" ")) & (F.length(c) > 12), "NOISY").otherwise("NORMAL")
-    return out.select(key, profile.alias("profile"), F.size("spans").alias("n_protected"), F.size("edits").alias("n_rule_edits"), F.size("phrase_edits").alias("n_phrase_edits"), splice(F.col("fixed")).alias("final_text"), splice(F.coalesce(F.get("proposals.proposal", F.lit(0)), F.col("fixed"))).alias("suggested_text"),
-                      F.coalesce("proposals", F.slice("proposals", 1, 0)).alias("proposals"), F.coalesce("n_suggested", F.lit(0)).cast("bigint").alias("n_suggested"), F.coalesce("n_rejected", F.lit(0)).cast("bigint").alias("n_rejected"))
+    n = lambda *arrays: sum((F.size(a) for a in arrays[1:]), F.size(arrays[0]))
+    return out.select(key, "profile", n("spans").alias("n_protected"), n("edits").alias("n_rule_edits"), n("first_phrases", "phrase_edits").alias("n_phrase_edits"), n("spacing_edits").alias("n_spacing_edits"),
+                      splice(F.col("fixed")).alias("final_text"), splice(F.coalesce(F.get("proposals.proposal", F.lit(0)), F.col("fixed"))).alias("suggested_text"), F.coalesce("proposals", F.slice("proposals", 1, 0)).alias("proposals"),
+                      F.coalesce("n_suggested", F.lit(0)).cast("bigint").alias("n_suggested"), F.coalesce("n_rejected", F.lit(0)).cast("bigint").alias("n_rejected"), R.overall(F.coalesce("decisions", F.array().cast("array<string>"))).alias("decision"))
 
 
 def substring_cases(results: DataFrame) -> DataFrame:

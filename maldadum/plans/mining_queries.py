@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maldadum import vocab
-from maldadum.functions import text as T
+from maldadum.functions import features as X
 from maldadum.operators import mining
 from maldadum.plans import duck
 from maldadum.sources.tables import one_row_per_id, table
@@ -29,9 +29,10 @@ def context_hints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pair_counters(spark: SparkSession, folder: str) -> DataFrame:
-    """Counter maps, opened up again so that rows compare."""
+    """The three counter maps of every pair, opened up again so that rows compare."""
     stats = mining.counters(mining.word_pairs(_entries(spark, folder)))
-    return stats.select("err", "cor", F.explode(F.map_concat("interface_stats", "error_types")).alias("name", "n"))
+    maps = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("m")) for k in ("interface_stats", "error_types", "source_stats")])
+    return stats.select("err", "cor", F.explode(maps).alias("x")).select("err", "cor", "x.kind", F.explode("x.m").alias("name", "n"))
 
 
 def surface_fix_dominance(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,13 +63,21 @@ def lemma_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges.select("lemma", "target", "pos", "frequency", "similarity", F.array_join("slots", " ").alias("slots"), F.aggregate(F.map_values("interface_stats"), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("n_channels"))
 
 
+def _surface_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between surfaces, whose ends differ where lemmas do not."""
+    return mining.lemma_edges(table(spark, folder, "typed_confusion_graph").withColumns({"lemma": F.col("src"), "targetLemma": F.col("replacement")}))
+
+
 def suffix_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the surfaces, whose ends differ where lemmas do not."""
-    graph = table(spark, folder, "typed_confusion_graph").withColumns({"lemma": F.col("src"), "targetLemma": F.col("replacement")})
-    return mining.suffix_rules(mining.lemma_edges(graph))
+    """The ranked report of 160 rules."""
+    return mining.suffix_rules(_surface_edges(spark, folder))
+
+
+def suffix_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return mining.suffix_examples(_surface_edges(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (error_entries, confusion_edges, context_hints, pair_counters, surface_fix_dominance, surface_fixes, merged_fixes, inverse_fixes, phrase_memory, lemma_edges, suffix_rules)}
+QUERIES = {f.__name__: f for f in (error_entries, confusion_edges, context_hints, pair_counters, surface_fix_dominance, surface_fixes, merged_fixes, inverse_fixes, phrase_memory, lemma_edges, suffix_rules, suffix_examples)}
 
 _ENTRIES = f"""
     r AS ({duck.one_per_id("error_type", "source", "interface", "keyboard", "cor_sentence", "errors")}),
@@ -97,6 +106,13 @@ _EDGES = f"""
         AND (NOT (lemma IN ({_BROAD}) OR targetLemma IN ({_BROAD})) OR (lemma, targetLemma) IN ({_ALLOWED}))),
     edge AS (SELECT lemma, target, pos, sum(frequency)::BIGINT AS frequency, round(avg(surfaceSimilarity), 4) AS similarity FROM k GROUP BY ALL)"""
 _SURFACES = _EDGES.replace("targetLemma", "replacement").replace("lemma AS", "src AS").replace("SELECT lemma, replacement AS target", "SELECT src AS lemma, replacement AS target").replace("WHERE lemma <> replacement", "WHERE src <> replacement").replace("lemma IN (", "src IN (").replace("(lemma, replacement)", "(src, replacement)")
+_IRREGULAR = lambda x: "CASE " + " ".join(f"WHEN ends_with(trim({x}), '{e}') THEN '{c}'" for e, c in X.IRREGULAR) + " END"
+_SUFFIXES = f"""{_SURFACES},
+    st AS (SELECT lemma, target, pos, frequency, regexp_replace(lemma, '다$', '') AS a, regexp_replace(target, '다$', '') AS b FROM edge),
+    cut AS (SELECT * FROM (SELECT lemma, target, pos, frequency, a[{duck.prefix("a", "b")} + 1:] AS source_suffix, b[{duck.prefix("a", "b")} + 1:] AS target_suffix, coalesce({_IRREGULAR("target")}, {_IRREGULAR("lemma")}) AS irregular FROM st)
+        WHERE length(source_suffix) BETWEEN 1 AND 4 AND length(target_suffix) BETWEEN 1 AND 4),
+    rule AS (SELECT source_suffix, target_suffix, pos, sum(frequency)::BIGINT AS frequency, count(DISTINCT lemma) AS n_lemmas, least(count(DISTINCT irregular), 2) AS n_irregular,
+        round(least(0.965::DOUBLE, 0.58::DOUBLE + 0.07::DOUBLE * least(5, sum(frequency)) / 5 + 0.03::DOUBLE * least(count(DISTINCT irregular), 2))::DECIMAL(18, 10), 4)::DOUBLE AS score FROM cut GROUP BY source_suffix, target_suffix, pos HAVING sum(frequency) >= 2)"""
 
 SQL = {
     "error_entries": f"WITH {_ENTRIES} SELECT channel, error_type, count(*) AS n, count(DISTINCT id) AS n_records, sum(length(err))::BIGINT AS chars FROM entry GROUP BY ALL",
@@ -113,8 +129,9 @@ SQL = {
         c AS (SELECT err, cor, term, count(*) AS count FROM t WHERE i BETWEEN spot - 2 AND spot + 2 AND i <> spot AND length(term) >= 2 AND regexp_matches(term, '[가-힣]') GROUP BY ALL)
         SELECT err, cor, term, count, row_number() OVER (PARTITION BY err, cor ORDER BY count DESC, term)::INT AS rank FROM c
         QUALIFY row_number() OVER (PARTITION BY err, cor ORDER BY count DESC, term) <= 8""",
-    "pair_counters": f"""WITH {_PAIRS} SELECT err, cor, channel AS name, count(*) AS n FROM pair GROUP BY ALL
-        UNION ALL SELECT err, cor, error_type, count(*) FROM pair WHERE error_type IS NOT NULL GROUP BY ALL""",
+    "pair_counters": f"""WITH {_PAIRS} SELECT err, cor, 'interface_stats' AS kind, channel AS name, count(*) AS n FROM pair GROUP BY ALL
+        UNION ALL SELECT err, cor, 'error_types', error_type, count(*) FROM pair WHERE error_type IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT err, cor, 'source_stats', source, count(*) FROM pair WHERE source IS NOT NULL GROUP BY ALL""",
     "surface_fix_dominance": f"WITH {_FIXES} SELECT * FROM dominant",
     "merged_fixes": f"""WITH {_FIXES},
         rule AS (SELECT err AS src, cor AS dst, 0.97::DOUBLE AS confidence, 0 AS age FROM dominant UNION ALL SELECT *, 1 FROM (VALUES {_MANUAL}) v(src, dst, confidence))
@@ -136,10 +153,8 @@ SQL = {
         sl AS (SELECT lemma, target, pos, string_agg(slot, ' ' ORDER BY slot) AS slots FROM (SELECT DISTINCT lemma, target, pos, unnest(suffixSlots) AS slot FROM k) WHERE slot IS NOT NULL GROUP BY ALL),
         ch AS (SELECT lemma, target, pos, sum(list_sum(map_values(interfaceStats)))::BIGINT AS n_channels FROM k GROUP BY ALL)
         SELECT edge.*, slots, n_channels FROM edge LEFT JOIN sl USING (lemma, target, pos) LEFT JOIN ch USING (lemma, target, pos)""",
-    "suffix_rules": f"""WITH {_SURFACES},
-        st AS (SELECT lemma, pos, frequency, regexp_replace(lemma, '다$', '') AS a, regexp_replace(target, '다$', '') AS b FROM edge),
-        cut AS (SELECT lemma, pos, frequency, a[{duck.prefix("a", "b")} + 1:] AS source_suffix, b[{duck.prefix("a", "b")} + 1:] AS target_suffix FROM st)
-        SELECT source_suffix, target_suffix, pos, sum(frequency)::BIGINT AS frequency, count(DISTINCT lemma) AS n_lemmas, round(least(0.965::DOUBLE, 0.58::DOUBLE + 0.07::DOUBLE * least(5, sum(frequency)) / 5), 4) AS score
-        FROM cut WHERE length(source_suffix) BETWEEN 1 AND 4 AND length(target_suffix) BETWEEN 1 AND 4 GROUP BY ALL HAVING sum(frequency) >= 2
-        ORDER BY frequency DESC, score DESC, source_suffix, target_suffix, pos LIMIT 160""",
+    "suffix_rules": f"""WITH {_SUFFIXES} SELECT * FROM rule ORDER BY frequency DESC, score DESC, source_suffix, target_suffix, pos LIMIT 160""",
+    "suffix_examples": f"""WITH {_SUFFIXES}, e AS (SELECT source_suffix, target_suffix, pos, 'source' AS side, lemma, frequency FROM cut UNION ALL SELECT source_suffix, target_suffix, pos, 'target', target, frequency FROM cut),
+        n AS (SELECT source_suffix, target_suffix, pos, side, lemma, sum(frequency)::BIGINT AS count FROM e GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY source_suffix, target_suffix, pos, side ORDER BY count DESC, lemma)::INT AS rank FROM n QUALIFY rank <= 6""",
 }

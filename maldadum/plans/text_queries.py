@@ -51,11 +51,7 @@ def clause_at_cursor(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_profile(spark: SparkSession, folder: str) -> DataFrame:
     rows = _documents(spark, folder).where("text is not null")
-    t = F.col("text")
-    share = lambda cls: F.length(F.regexp_replace(t, f"[^{cls}]", "")) / F.greatest(F.length(t), F.lit(1))
-    profile = (F.when((share("A-Za-z") > 0.3) | (share("0-9") > 0.25), "MIXED").when(t.rlike("[ㅋㅎㅠ]{2,}|[!?]{2,}"), "CHAT").when(share("가-힣") < 0.35, "QUERY")
-               .when(~F.contains(t, F.lit(" ")) & (F.length(t) > 12), "NOISY").otherwise("NORMAL"))
-    return rows.select("doc_id", profile.alias("profile"), F.round(share("가-힣"), 6).alias("hangul"))
+    return rows.select("doc_id", T.profile(F.col("text")).alias("profile"), F.round(T.hangul_ratio(F.col("text")), 6).alias("hangul"))
 
 
 def literal_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,11 +105,6 @@ def _graph(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "typed_confusion_graph")
 
 
-def _family() -> Column:
-    """Whether a mined edge knows the lemmas of its family."""
-    return F.coalesce(F.col("source").isin(*vocab.FAMILY_SOURCES) & F.col("lemma").isNotNull() & F.col("targetLemma").isNotNull(), F.lit(False))
-
-
 def _error_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS)
     return mining.word_pairs(mining.entries(rows)).select("record", F.col("err").alias("tok"), F.col("cor").alias("gold"), "channel", "cor_sentence")
@@ -136,18 +127,10 @@ def similar_words(spark: SparkSession, folder: str) -> DataFrame:
 
 def suffix_targets(spark: SparkSession, folder: str) -> DataFrame:
     graph = _graph(spark, folder).withColumns({"lemma": F.col("src"), "targetLemma": F.col("replacement")})
-    rules = mining.suffix_rules(mining.lemma_edges(graph))
+    rules = mining.suffix_rules(mining.lemma_edges(graph), limit=None)
     return C.by_suffix(graph.select(F.concat("replacement", F.lit("다")).alias("lemma"), T.coarse_pos(F.col("pos")).alias("pos")).distinct(), rules)
 
 
-def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of every occurrence of an error token, scored in its sentence and channel and cut to the occurrence's best four; ``n`` records have that occurrence."""
-    edges = _graph(spark, folder).where("generatorScore is not null").select("src", F.col("replacement").alias("dst"), "source", F.col("generatorScore").alias("generator"), "contextHints", "interfaceStats", _family().alias("family"))
-    keys = ["tok", "channel", "cor_sentence"]
-    occurrences = _error_tokens(spark, folder).withColumn("cor_sentence", F.coalesce("cor_sentence", F.lit(""))).groupBy(*keys).agg(F.count_distinct("record").alias("n"))
-    return C.scored(occurrences.withColumn("terms", T.words(F.col("cor_sentence"))), C.added_edges(edges), keys)
-
-
 def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
     ranked = mining.confusion_edges(mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records").where("split = 'train'"), *mining.RECORD_COLUMNS))), 1)
     gold = mining.word_pairs(mining.entries(one_row_per_id(table(spark, folder, "corpus_records").where("split = 'validation'"), *mining.RECORD_COLUMNS)))
@@ -198,7 +181,7 @@ def profile_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tokenize_offsets, document_tokens, phrase_forms, context_words, clause_at_cursor, text_profile, literal_spans, protected_spans, masked_texts, apply_edits, rule_edits, spacing_points, pair_similarity, change_hulls,
-    token_candidates, phrase_matches, similar_words, suffix_targets, scored_candidates, hits_at_k, channel_mix, joined_neighbours, sentence_proposals, debounce_latest, latest_request, recent_sessions, profile_cosine)}
+    token_candidates, phrase_matches, similar_words, suffix_targets, hits_at_k, channel_mix, joined_neighbours, sentence_proposals, debounce_latest, latest_request, recent_sessions, profile_cosine)}
 
 _PIECES = "regexp_extract_all({0}, '\\s*(?:[가-힣A-Za-z0-9]+|[^\\s])')"
 _ENDS = "list_transform(p, lambda x, i: list_sum(list_transform(p[1:i::INT], lambda y: length(y))))"
@@ -210,19 +193,7 @@ _COUNTS = " + ".join(f"(length(err_sentence) - length(replace(err_sentence, '{a}
 _PAIR = "entry AS (SELECT * FROM pair)"
 
 
-def _typo(a: str, b: str) -> str:
-    p, s = duck.prefix(a, b), duck.suffix(a, b)
-    ch = lambda x: f"unicode({x}[({p} + i)::INT])"
-    inside = " AND ".join(f"{ch(x)} BETWEEN 44032 AND 55203" for x in (a, b))
-    part = lambda f: f"({f(ch(a))} = {f(ch(b))})::INT"
-    letters = f"({part(lambda c: f'(({c} - 44032) // 588)')} + {part(lambda c: f'((({c} - 44032) % 588) // 28)')} + {part(lambda c: f'(({c} - 44032) % 28)')}) / 3.0::DOUBLE"
-    wa, wb = f"(length({a}) - {p} - {s})", f"(length({b}) - {p} - {s})"
-    total = f"list_sum(list_transform(range(1, least({wa}, {wb}) + 1), lambda i: CASE WHEN {a}[({p} + i)::INT] = {b}[({p} + i)::INT] THEN 1.0::DOUBLE WHEN {inside} THEN {letters} ELSE 0.0::DOUBLE END))"
-    core = f"CASE WHEN least({wa}, {wb}) < 1 THEN 0.0::DOUBLE ELSE {total} / greatest({wa}, {wb}) END"
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE round(0.55::DOUBLE * {duck.preserved(a, b)} + 0.45::DOUBLE * {core}, 4) END"
-
-
-from maldadum.plans.mining_queries import _PAIRS, _SURFACES  # noqa: E402
+from maldadum.plans.mining_queries import _PAIRS, _SUFFIXES  # noqa: E402
 
 _FIRST = duck.one_per_id("error_type", "source", "interface", "keyboard", "cor_sentence", "errors")
 
@@ -231,13 +202,7 @@ SQL = {
         e AS (SELECT rec_no, unnest(p) AS piece, unnest({_ENDS})::INT AS ed, generate_subscripts(p, 1)::INT - 1 AS idx FROM t)
         SELECT rec_no, idx, regexp_replace(piece, '^\\s+', '') AS tok, (ed - length(regexp_replace(piece, '^\\s+', '')))::INT AS st, ed FROM e""",
     "document_tokens": f"""SELECT doc_id, len({duck.all_tokens("text")}) AS n_tokens, length(regexp_replace(text, '[\\s\\p{{Z}}]+$', ''))::INT AS last_end, length(regexp_replace(text, '[\\s\\p{{Z}}]', '', 'g'))::BIGINT AS chars FROM documents WHERE len({duck.all_tokens("text")}) > 0""",
-    "suffix_targets": f"""WITH {_SURFACES},
-        st AS (SELECT lemma, pos, frequency, regexp_replace(lemma, '다$', '') AS a, regexp_replace(target, '다$', '') AS b FROM edge),
-        cut AS (SELECT lemma, pos, frequency, a[{duck.prefix("a", "b")} + 1:] AS source_suffix, b[{duck.prefix("a", "b")} + 1:] AS target_suffix FROM st),
-        rule AS (SELECT source_suffix, target_suffix, pos, sum(frequency)::BIGINT AS frequency, round(least(0.965::DOUBLE, 0.58::DOUBLE + 0.07::DOUBLE * least(5, sum(frequency)) / 5), 4) AS score
-            FROM cut WHERE length(source_suffix) BETWEEN 1 AND 4 AND length(target_suffix) BETWEEN 1 AND 4 GROUP BY source_suffix, target_suffix, pos HAVING sum(frequency) >= 2
-            ORDER BY frequency DESC, score DESC, source_suffix, target_suffix, pos LIMIT 160),
-        l AS (SELECT DISTINCT replacement || '다' AS lemma, replacement AS stem, split_part(pos, '-', 1) AS pos FROM typed_confusion_graph)
+    "suffix_targets": f"""WITH {_SUFFIXES}, l AS (SELECT DISTINCT replacement || '다' AS lemma, replacement AS stem, split_part(pos, '-', 1) AS pos FROM typed_confusion_graph)
         SELECT lemma, l.pos, source_suffix, target_suffix, left(stem, length(stem) - length(source_suffix)) || target_suffix || '다' AS target, score
         FROM l JOIN rule ON rule.pos = l.pos AND ends_with(stem, source_suffix) AND length(stem) > length(source_suffix)""",
     "hits_at_k": f"""WITH {_PAIRS.replace(_FIRST, _FIRST.replace("FROM corpus_records", "FROM corpus_records WHERE split IN ('train', 'validation')").replace("PARTITION BY id", "PARTITION BY split, id").replace("SELECT id,", "SELECT id, split,")).replace("SELECT id, error_type", "SELECT id, split, error_type")},
@@ -266,7 +231,7 @@ SQL = {
         SELECT doc_id, list_aggregate(list_transform(g, lambda x, i: CASE WHEN i = 1 THEN x ELSE '__URL_' || (i - 2) || '__' || x END), 'string_agg', '') AS masked FROM m""",
     "apply_edits": f"SELECT rec_no, ({_COUNTS})::INT AS n_edits, {_NESTED} AS edited FROM corpus_records WHERE err_sentence IS NOT NULL",
     "pair_similarity": f"""SELECT edge_no, {duck.edits("src", "replacement")}::INT AS edits, {duck.prefix("src", "replacement")}::INT AS prefix, {duck.suffix("src", "replacement")}::INT AS suffix, CASE WHEN src = replacement THEN 1.0 ELSE round({duck.preserved("src", "replacement")}, 6) END AS preserved,
-        {_typo("src", "replacement")} AS typo, CASE WHEN unicode(src) BETWEEN 44032 AND 55203 THEN (unicode(src) - 44032) // 588 ELSE -1 END::INT AS initial FROM typed_confusion_graph""",
+        {duck.typo("src", "replacement")} AS typo, CASE WHEN unicode(src) BETWEEN 44032 AND 55203 THEN (unicode(src) - 44032) // 588 ELSE -1 END::INT AS initial FROM typed_confusion_graph""",
     "token_candidates": f"""WITH {_PAIRS}, t AS (SELECT err AS tok, count(*) AS n FROM pair GROUP BY ALL), g AS (SELECT src, replacement AS dst, max(frequency) AS frequency FROM typed_confusion_graph GROUP BY ALL)
         SELECT tok, n, dst, frequency FROM t JOIN g ON g.src = t.tok""",
     "phrase_matches": f"""WITH m AS (SELECT src, dst, confidence, {duck.all_tokens("src")} AS f FROM (VALUES {", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in [*vocab.MANUAL_PHRASES, ("것같은", "것 같은", 0.95), ("한번쯤", "한 번쯤", 0.95), ("며칠 동안", "몇 날 동안", 0.5)])}) v(src, dst, confidence)),
@@ -276,7 +241,7 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY rec_no, i ORDER BY len(f) DESC, confidence DESC, dst) = 1""",
     "similar_words": f"""WITH {_PAIRS}, t AS (SELECT DISTINCT err AS tok FROM pair), w AS (SELECT DISTINCT src FROM typed_confusion_graph WHERE src <> ''),
         n AS (SELECT tok, src, {duck.edits("tok", "src")}::INT AS edits FROM t JOIN w ON left(tok, 1) = left(src, 1) AND abs(length(tok) - length(src)) <= 1 AND tok <> src),
-        s AS (SELECT *, {_typo("tok", "src")} AS similarity FROM n WHERE edits <= 2)
+        s AS (SELECT *, {duck.typo("tok", "src")} AS similarity FROM n WHERE edits <= 2)
         SELECT tok, src, edits, similarity, row_number() OVER (PARTITION BY tok ORDER BY similarity DESC, src)::INT AS rank FROM s WHERE similarity >= 0.74 QUALIFY row_number() OVER (PARTITION BY tok ORDER BY similarity DESC, src) <= 4""",
     "channel_mix": """WITH e AS (SELECT replacement, unnest(map_entries(interfaceStats)) AS m FROM typed_confusion_graph), f AS (SELECT replacement, sum(frequency)::BIGINT AS frequency FROM typed_confusion_graph GROUP BY ALL)
         SELECT e.replacement, frequency, m.key AS channel, sum(m.value)::BIGINT AS n FROM e JOIN f USING (replacement) GROUP BY ALL""",

@@ -45,23 +45,34 @@ MANUAL_PHRASES = (
     ("안자있었다", "앉아 있었다", 0.98), ("않 와", "안 와", 0.98), ("않 와서", "안 와서", 0.99), ("못해", "못 해", 0.97), ("해 바", "해봐", 0.97),
 )
 
+# Replacements given by hand, (from, to, origin, score), and stems often mistaken for another, (wrong, right, score).
+OPEN_REPLACEMENTS = (
+    ("낫다", "낳다", "CONFUSION_SET", 0.94), ("낫다", "놓다", "MORPH", 0.41),
+    ("안되", "안 돼", "CONFUSION_SET", 0.88), ("안되", "안돼", "MORPH", 0.35),
+)
+STEM_CONFUSIONS = (("낫", "낳", 0.82),)
+# Endings often misspelt, (form, tag, right form, score).
+MORPHEME_CONFUSIONS = (("겟", "EP", "겠", 0.93), ("엇", "EP", "었", 0.91), ("앗", "EP", "았", 0.91))
+
 # Lemmas too broad to be mined as edges, and pairs allowed all the same.
 BROAD_LEMMAS = ("하다", "되다", "가다", "나다", "나오다", "알다", "있다")
 BROAD_ALLOWED = (("잇다", "있다"), ("허다", "하다"), ("돼다", "되다"))
 PREDICATE_TAGS = ("VV", "VA", "VX")
 
-# Weight of a candidate's origin; any other origin weighs 0.25.
+# Weight of a candidate's origin, in the order in which origins are tried; any other origin weighs 0.25.
 SOURCE_PRIOR = {
-    "CONFUSION_SET": 1.0, "DATA_CONFUSION": 0.99, "PHRASE_MEMORY": 0.99, "MORPHEME_CONFUSION": 0.98, "LEMMA_DATA_CONFUSION": 0.97,
-    "FAMILY_SEED": 0.97, "AUTO_FAMILY_SEED": 0.96, "PHRASE_MEMORY_FUZZY": 0.95, "INFLECTION_RULE": 0.95, "LEMMA_CONFUSION": 0.95,
-    "FAMILY_SURFACE_EXAMPLE": 0.95, "MORPH": 0.90, "SURFACE_JAMO_FALLBACK": 0.76, "JAMO_FALLBACK": 0.72, "JAMO": 0.70, "MLM_TOPK": 0.35,
+    "CONFUSION_SET": 1.0, "DATA_CONFUSION": 0.99, "PHRASE_MEMORY": 0.99, "PHRASE_MEMORY_FUZZY": 0.95, "MORPHEME_CONFUSION": 0.98, "LEMMA_DATA_CONFUSION": 0.97,
+    "FAMILY_SEED": 0.97, "AUTO_FAMILY_SEED": 0.96, "INFLECTION_RULE": 0.95, "LEMMA_CONFUSION": 0.95, "FAMILY_SURFACE_EXAMPLE": 0.95, "MORPH": 0.9,
+    "JAMO_FALLBACK": 0.72, "SURFACE_JAMO_FALLBACK": 0.76, "JAMO": 0.7, "MLM_TOPK": 0.35,
 }
 OTHER_PRIOR = 0.25
-#: Origins that a similarity of .48 can be enough for, and those whose candidates know the lemmas of their family.
+# Origins that a similarity of .48 can be enough for.
 CURATED_SOURCES = (
     "CONFUSION_SET", "MORPH", "LEMMA_CONFUSION", "MORPHEME_CONFUSION", "COMMON_SURFACE_PATTERN", "COMMON_PHRASE_PATTERN", "DATA_CONFUSION", "LEMMA_DATA_CONFUSION",
     "FAMILY_SEED", "AUTO_FAMILY_SEED", "FAMILY_SURFACE_EXAMPLE", "PHRASE_MEMORY", "PHRASE_MEMORY_FUZZY", "INFLECTION_RULE", "SURFACE_JAMO_FALLBACK",
 )
+
+#: Origins of edges between lemmas, whose candidates know the lemmas of their family.
 FAMILY_SOURCES = ("LEMMA_DATA_CONFUSION", "FAMILY_SEED", "AUTO_FAMILY_SEED", "FAMILY_SURFACE_EXAMPLE", "INFLECTION_RULE")
 
 # What tokens are.

@@ -75,36 +75,76 @@ def test_similar_equals_all_pairs(spark):
     assert got == want
 
 
+def test_similar_meets_on_equal_parts(spark):
+    """With the bounds in use words meet on parts that no replaced letter touches, and no pair is lost."""
+    from test_functions import typo
+
+    random.seed(8)
+    base = ["".join(random.choices("가각나낳다라마바", k=random.choice([2, 4, 5, 6, 8, 11, 12, 14, 20, 30, 31, 32]))) for _ in range(70)]
+    words = set(base)
+    for w in base:
+        for _ in range(4):
+            v = list(w)
+            for _ in range(random.randint(1, 2)):
+                v[random.randrange(1, len(v))] = random.choice("가각간갈나난낫낳")
+            words.add("".join(v))
+        words |= {w + "가", w[:-1]}
+    words = sorted(w for w in words if w)
+    toks, known = spark.createDataFrame([(w,) for w in words[::2]], "tok STRING"), spark.createDataFrame([(w,) for w in words], "src STRING")
+    got = {(r.tok, r.src) for r in C.similar(toks, known, limit=10_000).collect()}
+    edits = spark.createDataFrame([(a, b) for a in words[::2] for b in words if a != b and a[0] == b[0] and abs(len(a) - len(b)) <= 1], "a STRING, b STRING").where(F.levenshtein("a", "b") <= 2).collect()
+    want = {(r.a, r.b) for r in edits if round(typo(r.a, r.b), 4) >= 0.74}
+    assert got == want and len(want) > 100
+
+
+def plain_hint_score(terms, hints):
+    matched = 0
+    for term in terms:
+        matched += sum(n for h, n in hints if h == term)
+        if not matched:
+            matched += sum(n for h, n in hints if term.startswith(h) or h.startswith(term))
+    return round(min(1.0, matched / (sum(n for _, n in hints) or 1)), 4)
+
+
 def test_scores(spark):
     hint = "array<struct<term:string,count:bigint>>"
-    df = spark.createDataFrame([({"voice": 3, "generic": 1}, "voice", ["책상", "공부"], [("책상", 3), ("의자", 1)]), ({}, "generic", [], []), (None, "keyboard", ["가나"], None)], f"stats MAP<STRING, BIGINT>, channel STRING, terms ARRAY<STRING>, hints {hint}")
-    rows = df.select(C.interface_score(F.col("stats"), F.col("channel")), C.hint_score(F.col("terms"), F.col("hints"))).collect()
-    assert rows[0][0] == pytest.approx(0.92 * 0.75 + 0.55 * 0.25, abs=1e-4) and 0 < rows[0][1] < 1
-    assert [tuple(r) for r in rows[1:]] == [(0.86, 0.0), (0.86, 0.0)]
+    given = [(["책상", "공부"], [("책상을", 3), ("의자", 1)]), (["책", "책상"], [("책상", 3), ("의자", 1)]), (["책상", "책"], [("책상", 3), ("책가방", 1)]), ([], [("책상", 1)]), (["가나"], [("", 2), (None, 1)]), (["가나"], None)]
+    bare = lambda hints: [(t.removesuffix("을"), n) for t, n in hints or [] if t]
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(given)], f"i INT, terms ARRAY<STRING>, hints {hint}")
+    got = {r.i: r.s for r in df.select("i", C.hint_score(F.col("terms"), C.plain_hints(F.col("hints"))).alias("s")).collect()}
+    assert got == {i: plain_hint_score(t, bare(h)) for i, (t, h) in enumerate(given)} and got[1] == 1.0 and got[2] == 0.75
+    rows = [({"voice": 3, "generic": 1}, "voice", "voice"), ({}, "generic", None), (None, "keyboard", "keyboard"), (None, "voice", "keyboard"), (None, "generic", "voice"), (None, "keyboard", "voice"), ({"other": 4, "voice": 1}, "voice", None)]
+    kinds = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i INT, stats MAP<STRING, BIGINT>, channel STRING, kind STRING")
+    got = [r.s for r in kinds.select("i", C.interface_score(F.col("stats"), F.col("channel"), F.col("kind")).alias("s")).orderBy("i").collect()]
+    assert got == [0.8275, 0.86, 0.94, 0.72, 0.32, 0.9, 0.2]
 
 
 def test_prefilter_bounds_and_gates(spark):
-    schema = "tok STRING, dst STRING, source STRING, generator DOUBLE, context DOUBLE, interface DOUBLE, support BIGINT, family BOOLEAN"
-    low, mid = ("가나바사", "가나다러"), ("금새", "금세")
+    schema = "tok STRING, dst STRING, source STRING, generator DOUBLE, context DOUBLE, interface DOUBLE, support BIGINT, family ARRAY<STRING>"
+    low, mid, yes, no = ("가나바사", "가나다러"), ("금새", "금세"), ["금세다"], []
     rows = [
-        (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 7, False), (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 8, False), (*mid, "DATA_CONFUSION", 0.9, 0.08, 0.9, 0, False), (*mid, "CONFUSION_SET", 0.9, 0.0, 0.9, 0, False),
-        (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 13, True), (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 14, True), (*mid, "AUTO_FAMILY_SEED", 0.9, 0.08, 0.9, 0, True), (*mid, "MLM_TOPK", 0.1, 0.0, 0.9, 0, False),
-        (*low, "CONFUSION_SET", 0.5, 0.0, 0.9, 0, False), (*low, "CONFUSION_SET", 0.72, 0.0, 0.9, 0, False), (*low, "CONFUSION_SET", 0.5, 0.1, 0.9, 0, False), (*low, "INFLECTION_RULE", 0.5, 0.0, 0.9, 0, True), (*low, "MLM_TOPK", 0.9, 0.9, 0.9, 99, True),
+        (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 7, no), (*mid, "DATA_CONFUSION", 0.9, 0.0, 0.9, 8, no), (*mid, "DATA_CONFUSION", 0.9, 0.08, 0.9, 0, no), (*mid, "CONFUSION_SET", 0.9, 0.0, 0.9, 0, no),
+        (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 13, yes), (*mid, "FAMILY_SEED", 0.9, 0.0, 0.9, 14, yes), (*mid, "AUTO_FAMILY_SEED", 0.9, 0.08, 0.9, 0, yes), (*mid, "MLM_TOPK", 0.1, 0.0, 0.9, 0, no),
+        (*low, "CONFUSION_SET", 0.5, 0.0, 0.9, 0, no), (*low, "CONFUSION_SET", 0.72, 0.0, 0.9, 0, no), (*low, "CONFUSION_SET", 0.5, 0.1, 0.9, 0, no), (*low, "INFLECTION_RULE", 0.5, 0.0, 0.9, 0, yes), (*low, "MLM_TOPK", 0.9, 0.9, 0.9, 99, yes),
     ]
-    got = {tuple(r[:8]) for r in C.prefilter(spark.createDataFrame(rows, schema), 99).select(*[c.split()[0] for c in schema.split(", ")], "typo").collect()}
-    typos = {r.tok: r.typo for r in C.prefilter(spark.createDataFrame(rows, schema), 99).collect()}
+    plain = lambda r: (*r[:7], tuple(r[7]))
+    kept = C.prefilter(spark.createDataFrame(rows, schema), 99).collect()
+    typos = {r.tok: r.typo for r in kept}
     assert 0.48 <= typos["가나바사"] < 0.55 <= typos["금새"] < 0.62
-    assert got == {rows[i] for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)}
+    assert {plain(r[:8]) for r in kept} == {plain(rows[i]) for i in (1, 2, 3, 5, 6, 7, 9, 10, 11)}
+    seed = next(r for r in kept if r.source == "FAMILY_SEED")
+    assert seed.score == round(0.4 * seed.typo + 0.22 * 0.9 + 0.12 * 0.97 + 0.1 * 0.9, 4)
 
 
 def test_every_occurrence_is_scored(spark):
-    schema = "src STRING, dst STRING, source STRING, generator DOUBLE, family BOOLEAN, contextHints ARRAY<STRUCT<term: STRING, count: BIGINT>>, interfaceStats MAP<STRING, BIGINT>"
-    edges = [("금새", "금세", "DATA_CONFUSION", 0.8, False, [("비가", 1)], {"voice": 1}), ("금새", "금세", "DATA_CONFUSION", 0.9, False, [("비가", 2), ("해가", 3)], {"voice": 1, "generic": 8}), ("금새", "금세", "DATA_CONFUSION", 0.7, False, None, None)]
+    schema = "src STRING, dst STRING, source STRING, generatorScore DOUBLE, interfaceType STRING, pos STRING, lemma STRING, targetLemma STRING, suffixSlots ARRAY<STRING>, contextHints ARRAY<STRUCT<term: STRING, count: BIGINT>>, interfaceStats MAP<STRING, BIGINT>"
+    edges = [("금새", "금세", "DATA_CONFUSION", 0.8, "voice", "VV", None, None, ["EF"], [("비가", 1)], {"voice": 1}), ("금새", "금세", "DATA_CONFUSION", 0.9, "generic", None, "나다", "가다", ["EF", "EC"], [("비가", 2), ("해가", 3)], {"voice": 1, "generic": 8}), ("금새", "금세", "DATA_CONFUSION", 0.7, None, None, None, "가다", None, None, None)]
     added = C.added_edges(spark.createDataFrame(edges, schema))
-    assert [tuple(r) for r in added.select("generator", "family", "hints", "stats").collect()] == [(0.9, False, [("비가", 3), ("해가", 3)], {"voice": 2, "generic": 8})]
-    places = [("금새", "generic", "비가 금세", ["비가", "금세"]), ("금새", "voice", "금세", ["금세"]), ("금새", "generic", "금세", ["금세"]), ("금새", None, "해가 비가", ["해가", "비가"])]
-    got = {(r.channel, r.cor_sentence): (r.context, r.rank) for r in C.scored(spark.createDataFrame(places, "tok STRING, channel STRING, cor_sentence STRING, terms ARRAY<STRING>"), added, ["tok", "channel", "cor_sentence"]).collect()}
-    assert got == {("generic", "비가 금세"): (0.7124, 1), ("voice", "금세"): (0.0, 1), ("generic", "금세"): (0.0, 1), (None, "해가 비가"): (1.0, 1)}
+    row = added.select("generator", "kind", "pos", "family", "slots", "hints", "stats").first()
+    assert tuple(row) == (0.9, "generic", "VV", ["가다", "가다", "나다"], ["EC", "EF"], [("비가", 3), ("해가", 3)], {"voice": 2, "generic": 8}) or row.family == ["가다", "나다"]
+    places = [("금새", "generic", "1", ["비가", "금세"]), ("금새", "voice", "2", ["금세"]), ("금새", "generic", "2", ["금세"]), ("금새", None, "3", ["해가", "비가"])]
+    got = {(r.channel, r.place): (r.context, r.rank) for r in C.scored(spark.createDataFrame(places, "tok STRING, channel STRING, place STRING, terms ARRAY<STRING>"), added, ["tok", "channel", "place"]).collect()}
+    assert got == {("generic", "1"): (0.5, 1), ("voice", "2"): (0.0, 1), ("generic", "2"): (0.0, 1), (None, "3"): (1.0, 1)}
 
 
 def test_beam_is_exhaustive_where_it_can_be():

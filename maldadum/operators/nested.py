@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text indexed together; a longer document is indexed on its own.
@@ -90,9 +91,11 @@ class StructuralIndex:
             blame(lead[~inside[lead]])
             nxt = b[np.minimum(lead + 1, size - 1)]
             blame(lead[(lead + 1 >= ends[owner[lead]]) | ~np.isin(nxt, np.frombuffer(b'"\\/bfnrtu', np.uint8))])
-            for u in lead[nxt == ord("u")]:
-                if not re.fullmatch(rb"[0-9a-fA-F]{4}", self.text[u + 2 : u + 6]) or u + 6 > ends[owner[u]]:
-                    bad[owner[u]] = True
+            u = lead[nxt == ord("u")]
+            blame(u[u + 6 > ends[owner[u]]])
+            hexadecimal = np.isin(b, np.frombuffer(b"0123456789abcdefABCDEF", np.uint8))
+            for place in range(2, 6):
+                blame(u[~hexadecimal[np.minimum(u + place, size - 1)]])
         in_doc = np.zeros(size + 1, np.int32)
         np.add.at(in_doc, starts, 1)
         np.add.at(in_doc, ends, -1)
@@ -198,17 +201,37 @@ class StructuralIndex:
         self._bytes = b
 
     def _plain_key(self, i: int) -> str:
-        return self.string(int(self.values.key_start[i]), int(self.values.key_end[i]))
-
-    def string(self, lo: int, hi: int) -> str:
-        """The text of the string literal ``text[lo:hi]``."""
-        raw = self.text[lo:hi]
-        return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8")
-
-    def scalar(self, lo: int, hi: int) -> str | None:
-        """A string's text, null as None, anything else as it is written."""
-        raw = self.text[lo:hi]
-        return self.string(lo, hi) if raw[:1] == b'"' else None if raw == b"null" else raw.decode("utf-8")
+        return json.loads(self.text[int(self.values.key_start[i]) : int(self.values.key_end[i])])
+
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """The bytes ``lo[i]:hi[i]`` as strings, gathered in one step."""
+        size = hi - lo
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)
+        return pa.Array.from_buffers(pa.large_string(), len(lo), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self._bytes[at]))]).cast(pa.string())
+
+    def literals(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """Scalars written in ``lo[i]:hi[i]`` as text: strings without quotes and escapes, null as null, anything else as it stands."""
+        quoted = self._bytes[lo] == _QUOTE if len(lo) else np.zeros(0, bool)
+        out = self.spans(lo + quoted, hi - quoted)
+        if len(self._escapes):
+            coded = quoted & (np.searchsorted(self._escapes, hi) > np.searchsorted(self._escapes, lo))
+            if coded.any():
+                said = [json.loads(self.text[x:y]) for x, y in zip(lo[coded].tolist(), hi[coded].tolist())]
+                out = pc.replace_with_mask(out, pa.array(coded), pa.array(said, pa.string()))
+        null = ~quoted & (self._bytes[lo] == ord("n")) if len(lo) else quoted
+        return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), out) if null.any() else out
+
+    def keys(self, values: np.ndarray) -> pa.Array:
+        return self.literals(self.values.key_start[values], self.values.key_end[values])
+
+    def last_of_key(self, source: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which of the members ``values`` of objects ``source`` are the last under their key."""
+        if not len(values):
+            return np.zeros(0, np.int64)
+        code = self.keys(values).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, first = np.unique((source * (code.max() + 1) + code)[::-1], return_index=True)
+        return np.sort(len(values) - 1 - first)
 
     def members(self, containers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``containers``, value) of all values of the given containers, in order."""
@@ -240,11 +263,13 @@ class StructuralIndex:
         """The container that each value is, -1 for scalars and absent values."""
         return np.where(values >= 0, self.values.child[values], -1) if len(self.values.child) else np.full(len(values), -1)
 
-    def texts(self, values: np.ndarray) -> list[str | None]:
-        """Scalars as text; absent, null and container values as None."""
-        lo, hi = self.values.start[values], self.values.end[values]
+    def texts(self, values: np.ndarray) -> pa.Array:
+        """Scalars as text; absent, null and container values as null."""
         use = (values >= 0) & (self.box(values) < 0)
-        return [self.scalar(a, z) if ok else None for ok, a, z in zip(use.tolist(), lo.tolist(), hi.tolist())]
+        found = values[use]
+        said = self.literals(self.values.start[found], self.values.end[found])
+        place = np.cumsum(use) - 1
+        return said.take(pa.array(place, pa.int64(), mask=~use))
 
     def elements(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index into ``values``, position, element) of lists; a lone object is a list of one."""
@@ -274,36 +299,55 @@ def _descend(index: StructuralIndex, boxes: np.ndarray, path: tuple[str, ...]) -
     return index.get(boxes, path[-1])
 
 
-def _union_rows(index: StructuralIndex, values: np.ndarray) -> Iterator[tuple[int, str, str, str | None]]:
-    """(element, kind, key, value) of a field of several shapes.
+def _union_rows(index: StructuralIndex, values: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(element, kind, key, value) of a field of several shapes, as arrays.
 
     A list gives ('tags', entry) per entry that is not null, an object ('counts', 'outer.inner') per inner key, a scalar
     ('raw', text). An outer key without an inner object gives ('counts', 'outer'), but for an empty or null one. Where nothing
     comes out, as for absent, null and empty values, one row ('none', '') stands for the element."""
-    boxes = index.box(values)
-    v = index.values
-    for i, (value, box) in enumerate(zip(values.tolist(), boxes.tolist())):
-        rows: dict[tuple[str, str], str | None] | list = []
-        if value >= 0 and box < 0:
-            text = index.scalar(int(v.start[value]), int(v.end[value]))
-            rows = [("raw", text, None)] if text else []
-        elif box >= 0 and not index.is_object[box]:
-            for m in range(int(index.first_value[box]), int(index.first_value[box + 1])):
-                lo, hi = int(v.start[m]), int(v.end[m])
-                text = index.text[lo:hi].decode("utf-8") if v.child[m] >= 0 else index.scalar(lo, hi)
-                if text is not None:
-                    rows.append(("tags", text, None))
-        elif box >= 0:
-            outer = {index._plain_key(m): m for m in range(int(index.first_value[box]), int(index.first_value[box + 1]))}
-            for key, m in outer.items():
-                inner = int(v.child[m])
-                if inner >= 0 and index.is_object[inner]:
-                    names = {index._plain_key(k): k for k in range(int(index.first_value[inner]), int(index.first_value[inner + 1]))}
-                    rows += [("counts", f"{key}.{name}", index.text[int(v.start[k]) : int(v.end[k])].decode().strip('"')) for name, k in names.items()]
-                elif index.text[int(v.start[m]) : int(v.end[m])] not in (b"null", b'""', b"[]"):
-                    rows.append(("counts", key, index.text[int(v.start[m]) : int(v.end[m])].decode("utf-8")))
-        for kind, key, text in rows or [("none", "", None)]:
-            yield i, kind, key, text
+    v, boxes = index.values, index.box(values)
+    is_object = np.zeros(len(values), bool)
+    is_object[boxes >= 0] = index.is_object[boxes[boxes >= 0]]
+    parts: list[tuple[np.ndarray, str, pa.Array, pa.Array | None]] = []
+
+    raw = np.flatnonzero((values >= 0) & (boxes < 0))
+    said = index.literals(v.start[values[raw]], v.end[values[raw]])
+    some = np.flatnonzero(pc.fill_null(pc.greater(pc.utf8_length(said), 0), False).to_numpy(zero_copy_only=False))
+    parts.append((raw[some], "raw", said.take(pa.array(some)), None))
+
+    source, entry = index.members(np.where(is_object, -1, boxes))
+    box = v.child[entry] >= 0
+    said = pc.if_else(pa.array(box), index.spans(v.start[entry], v.end[entry]), index.literals(v.start[entry], v.end[entry]))
+    some = np.flatnonzero(said.is_valid().to_numpy(zero_copy_only=False))
+    parts.append((source[some], "tags", said.take(pa.array(some)), None))
+
+    source, outer = index.members(np.where(is_object, boxes, -1))
+    last = index.last_of_key(source, outer)
+    source, outer = source[last], outer[last]
+    names = index.keys(outer)
+    inner = v.child[outer]
+    nested = np.zeros(len(outer), bool)
+    nested[inner >= 0] = index.is_object[inner[inner >= 0]]
+    of, leaf = index.members(np.where(nested, inner, -1))
+    last = index.last_of_key(of, leaf)
+    of, leaf = of[last], leaf[last]
+    joined = pc.binary_join_element_wise(names.take(pa.array(of)), index.keys(leaf), ".")
+    parts.append((source[of], "counts", joined, pc.utf8_trim(index.spans(v.start[leaf], v.end[leaf]), '"')))
+    plain = np.flatnonzero(~nested)
+    whole = index.spans(v.start[outer[plain]], v.end[outer[plain]])
+    some = np.flatnonzero(~pc.is_in(whole, pa.array(["null", '""', "[]"])).to_numpy(zero_copy_only=False))
+    parts.append((source[plain[some]], "counts", names.take(pa.array(plain[some])), whole.take(pa.array(some))))
+
+    seen = np.zeros(len(values), bool)
+    for element, *_ in parts:
+        seen[element] = True
+    none = np.flatnonzero(~seen)
+    parts.append((none, "none", pa.array([""] * len(none), pa.string()), None))
+    element = np.concatenate([p[0] for p in parts])
+    kind = pa.concat_arrays([pa.repeat(pa.scalar(p[1]), len(p[0])) for p in parts])
+    value = pa.concat_arrays([pa.nulls(len(p[0]), pa.string()) if p[3] is None else p[3] for p in parts])
+    order = pa.array(np.argsort(element, kind="stable"))
+    return element[order.to_numpy()], kind.take(order), pa.concat_arrays([p[2] for p in parts]).take(order), value.take(order)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
@@ -356,12 +400,11 @@ def shred(df: DataFrame, key: str, payload: str, levels: tuple[Level, ...], leve
                     boxes = index.box(values)
                 if wanted_union:
                     real = np.flatnonzero(boxes >= 0)
-                    rows = list(_union_rows(index, _descend(index, boxes[real], union[1]))) if len(real) else []
-                    pick = real[np.array([r[0] for r in rows], np.int64)] if rows else np.zeros(0, np.int64)
-                    fields = [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2, 3)]
+                    element, *fields = _union_rows(index, _descend(index, boxes[real], union[1])) if len(real) else (real, *[pa.array([], pa.string())] * 3)
+                    pick = real[element]
                     docs, positions = docs[pick], [x[pick] for x in positions]
                 else:
-                    fields = [pa.array(index.texts(_descend(index, boxes, path)) if len(boxes) and len(index.is_object) else [], pa.string()) for _, path in used[-1].fields]
+                    fields = [index.texts(_descend(index, boxes, path)) if len(boxes) and len(index.is_object) else pa.array([], pa.string()) for _, path in used[-1].fields]
                 arrays = [keys.take(pa.array(docs + row, pa.int64())), *[pa.array(x, pa.int64()) for x in positions], *fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[key, *[f"{x.name}_pos" for x in used], *columns])
 

@@ -57,7 +57,8 @@ def details_by_index(payloads):
             source, place, values = index.elements(N._descend(index, boxes, level.path)) if len(index.is_object) else (docs[:0],) * 3
             docs, places, boxes = docs[source], [p[source] for p in places] + [place], index.box(values)
         real = np.flatnonzero(boxes >= 0)
-        for at, kind, key, _ in N._union_rows(index, N._descend(index, boxes[real], ("err_details",))) if len(real) else ():
+        element, *columns = N._union_rows(index, N._descend(index, boxes[real], ("err_details",))) if len(real) else ([],)
+        for at, kind, key, _ in zip(element, *[c.to_pylist() for c in columns]) if len(real) else ():
             rows.append((first + int(docs[real[at]]), int(places[0][real[at]]), int(places[1][real[at]]), kind, key))
     return rows
 

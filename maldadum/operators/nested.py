@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 #: Bytes of text indexed together; a longer document is indexed on its own.
 CHUNK_BYTES = 4 << 20
 _SCALAR = re.compile(rb"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_HEXADECIMAL, _ESCAPED = np.zeros(256, bool), np.zeros(256, bool)
+_HEXADECIMAL[list(b"0123456789abcdefABCDEF")] = True
+_ESCAPED[list(b'"\\/bfnrtu')] = True
 _OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_LIST, _CLOSE_LIST, _COLON, _COMMA, _QUOTE = b'{}[]:,"'
 
 
@@ -90,12 +93,11 @@ class StructuralIndex:
         if len(lead):
             blame(lead[~inside[lead]])
             nxt = b[np.minimum(lead + 1, size - 1)]
-            blame(lead[(lead + 1 >= ends[owner[lead]]) | ~np.isin(nxt, np.frombuffer(b'"\\/bfnrtu', np.uint8))])
+            blame(lead[(lead + 1 >= ends[owner[lead]]) | ~_ESCAPED[nxt]])
             u = lead[nxt == ord("u")]
             blame(u[u + 6 > ends[owner[u]]])
-            hexadecimal = np.isin(b, np.frombuffer(b"0123456789abcdefABCDEF", np.uint8))
             for place in range(2, 6):
-                blame(u[~hexadecimal[np.minimum(u + place, size - 1)]])
+                blame(u[~_HEXADECIMAL[b[np.minimum(u + place, size - 1)]]])
         in_doc = np.zeros(size + 1, np.int32)
         np.add.at(in_doc, starts, 1)
         np.add.at(in_doc, ends, -1)

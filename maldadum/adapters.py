@@ -80,6 +80,11 @@ def predicates(analyses: str) -> Column:
     return F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.lit(1), i), lambda t: same(s, t)))
 
 
+def inflected(df: DataFrame, morphs: str, out: str = "surface", factory: Callable[[], Model] | None = None) -> DataFrame:
+    """Morph sequences (``array<struct<form, tag>>``) put together as a word; null without a model."""
+    return per_distinct(df, morphs, out, "string", factory)
+
+
 def embedded(df: DataFrame, column: str, out: str = "embedding", factory: Callable[[], Model] | None = None) -> DataFrame:
     """Vectors of the text scaled to length 1; null without a model."""
     raw = per_distinct(df, column, out, "array<double>", factory)

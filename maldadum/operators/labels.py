@@ -28,6 +28,15 @@ def entry_label(err: Column, cor: Column, details: Column) -> Column:
     return F.when(spacing, "SPACE_FIX").when(T.punctuation_only(e, c), "KEEP").otherwise("OPEN_REPLACE")
 
 
+def entry_label_with_marks(err: Column, cor: Column, details: Column) -> Column:
+    """SPACE_FIX, PUNCT_FIX or OPEN_REPLACE: as :func:`entry_label`, but changes of punctuation have a label of their own."""
+    e, c = F.coalesce(err, F.lit("")), F.coalesce(cor, F.lit(""))
+    tagged = F.coalesce((details["kind"] == "tags") & F.array_contains(details["tags"], "문장부호"), F.lit(False))
+    counted = [F.coalesce(F.try_element_at(details["counts"], F.lit(f"mark.{k}")) > 0, F.lit(False)) for k in ("insert", "delete", "replace")]
+    marks = tagged | T.punctuation_only(e, c) | counted[0] | counted[1] | counted[2]
+    return F.when(entry_label(err, cor, details) == "SPACE_FIX", "SPACE_FIX").when(marks, "PUNCT_FIX").otherwise("OPEN_REPLACE")
+
+
 def _located(sentence: str, tokens: list[tuple[int, int]], entries: list[dict]) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
     cursor = 0
@@ -100,6 +109,32 @@ def examples(records: DataFrame) -> DataFrame:
     return noisy.unionByName(clean)
 
 
+def plain_examples(records: DataFrame) -> DataFrame:
+    """One example per record with tokens, with labels for punctuation, whether or not anything is labelled: ``id``, ``split``, ``error_type``, ``source``, ``text``, ``corrected_text``, ``tokens``,
+    ``labels``, ``token_offsets``, ``error_count`` (as given, else the number of entries), ``located_error_count``."""
+    errors = F.coalesce("errors", F.slice("errors", 1, 0))
+    entries = F.transform(errors, lambda e: F.struct(e["err_idx"].alias("err_idx"), e["err_location"].alias("err_location"), e["err_text"].alias("err_text"), entry_label_with_marks(e["err_text"], e["cor_text"], e["err_details"]).alias("label")))
+    meta = ("id", "split", "error_type", "source", "err_sentence", "cor_sentence", "error_count", "n_entries")
+    rows = records.select(*meta[:-1], F.coalesce(F.size("errors"), F.lit(0)).alias("n_entries"), entries.alias("entries"))
+    return labelled(rows, "err_sentence", "entries", *meta).where(F.size("tokens") > 0).select(
+        "id", "split", "error_type", "source", F.coalesce("err_sentence", F.lit("")).alias("text"), F.coalesce("cor_sentence", F.lit("")).alias("corrected_text"), "tokens", "labels", "token_offsets",
+        F.coalesce("error_count", F.greatest("n_entries", F.lit(0))).alias("error_count"), F.col("located").alias("located_error_count"))
+
+
+#: Label of pieces that no loss is taken of.
+IGNORED = -100
+
+
+def piece_labels(word_of_piece: Column, labels: Column, names: list[str]) -> Column:
+    """A label number per sub-word piece: that of its word for a word's first piece, IGNORED for others and for pieces of no word.
+
+    :param word_of_piece: ``array<int>``, the word each piece belongs to, null for special pieces.
+    :param names: label names in the order of their numbers."""
+    number = F.create_map(*[F.lit(x) for pair in ((n, i) for i, n in enumerate(names)) for x in pair])
+    first = lambda w, i: (i == 0) | ~F.coalesce(F.get(word_of_piece, i - 1) == w, F.lit(False))
+    return F.transform(word_of_piece, lambda w, i: F.when(w.isNotNull() & first(w, i), F.try_element_at(number, F.get(labels, w))).otherwise(IGNORED))
+
+
 def deduplicated(rows: DataFrame, order: str) -> DataFrame:
     """One example per text and labels: a noisy one before a clean one, then the first by ``order``. The digest of the key is what is shuffled with the row."""
     best = W.partitionBy("text", "labels").orderBy((F.col("variant") != "noisy").cast("int"), order)

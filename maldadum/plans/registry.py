@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maldadum.plans import label_queries, mining_queries, pipeline_queries, problems, ranking_queries, text_queries
+from maldadum.plans import group_queries, label_queries, mining_queries, pipeline_queries, problems, ranking_queries, text_queries
 
-MODULES = (problems, mining_queries, label_queries, text_queries, ranking_queries, pipeline_queries)
+MODULES = (problems, mining_queries, label_queries, text_queries, ranking_queries, pipeline_queries, group_queries)
 FLAGSHIP = "p4_pairs"
 
 

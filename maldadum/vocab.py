@@ -79,4 +79,4 @@ FAMILY_SOURCES = ("LEMMA_DATA_CONFUSION", "FAMILY_SEED", "AUTO_FAMILY_SEED", "FA
 TOKEN = r"[가-힣A-Za-z0-9]+|[^\s]"
 WORD = r"[가-힣A-Za-z0-9]+"
 CLAUSE_ENDS = "\n.?!,;"
-LABEL_PRIORITY = {"KEEP": 0, "SPACE_FIX": 1, "OPEN_REPLACE": 2}
+LABEL_PRIORITY = {"KEEP": 0, "PUNCT_FIX": 1, "SPACE_FIX": 2, "OPEN_REPLACE": 3}

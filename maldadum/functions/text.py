@@ -19,7 +19,7 @@ _TOKENS = "array<struct<tok:string,st:int,ed:int>>"
 
 def tokens(text: Column, pattern: str = vocab.TOKEN) -> Column:
     """``array<struct<tok, st, ed>>`` of tokens that only white space separates (``vocab.TOKEN`` or ``\\S+``)."""
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(rf"\s*(?:{pattern})"), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.regexp_replace(p, r"^\s+", "").alias("tok")))
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(rf"(?U)\s*(?:{pattern})"), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), F.regexp_replace(p, r"(?U)^\s+", "").alias("tok")))
     grown = F.aggregate(
         pieces,
         F.struct(F.lit(0).alias("at"), F.array().cast(_TOKENS).alias("out")),
@@ -71,7 +71,7 @@ def explode_tokens(df: DataFrame, key: str, text: str, pattern: str = vocab.TOKE
 
 def phrase(text: Column) -> Column:
     """Tokens joined by one space."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(vocab.TOKEN), F.lit(0)), " ")
+    return F.array_join(F.regexp_extract_all(text, F.lit(vocab.JVM_TOKEN), F.lit(0)), " ")
 
 
 def collapsed(text: Column) -> Column:
@@ -151,7 +151,7 @@ def near_words(tokens: Column, window: int = 3) -> Column:
 
 def span_terms(sentence: Column, target: Column, window: int = 3) -> Column:
     """Context terms as in :func:`near_words` around the first token of the sentence that equals ``target`` without noise; none without one."""
-    toks = F.regexp_extract_all(sentence, F.lit(vocab.TOKEN), F.lit(0))
+    toks = F.regexp_extract_all(sentence, F.lit(vocab.JVM_TOKEN), F.lit(0))
     at = F.array_position(toks, strip_noise(target)).cast("int")
     first = F.greatest(at - window, F.lit(1))
     near = F.concat(F.slice(toks, first, at - first), F.slice(toks, at + 1, F.lit(window)))

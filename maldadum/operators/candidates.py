@@ -25,13 +25,13 @@ def exact(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def with_head(df: DataFrame, text: str, name: str) -> DataFrame:
     """The first token of a phrase as ``name``, to join on."""
-    return df.withColumn(name, F.get(F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0)), F.lit(0)))
+    return df.withColumn(name, F.get(F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0)), F.lit(0)))
 
 
 def phrases(rows: DataFrame, key: str, text: str, memory: DataFrame) -> DataFrame:
     """Places where a phrase of ``memory`` (``src``, ``dst``, ``confidence``) stands in a row's tokens, the longest and most confident one per place:
     ``key``, ``first`` (token index), ``n_tokens``, ``src``, ``dst``, ``confidence``. Joined on the first token, then compared whole."""
-    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0))
+    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0))
     places = rows.select(key, toks.alias("toks")).select(key, "toks", F.posexplode("toks").alias("first", "head"))
     known = with_head(memory.select("src", "dst", "confidence"), "src", "head").withColumn("form", T.phrase(F.col("src"))).withColumn("n_tokens", F.size(F.split("form", " ")))
     met = places.join(known, "head").where(F.array_join(F.slice("toks", F.col("first") + 1, F.col("n_tokens")), " ") == F.col("form"))
@@ -108,7 +108,7 @@ def hint_scores(edges: DataFrame, sentences: DataFrame, text: str) -> DataFrame:
     """How the hints of edges (``edge_no``, ``replacement``, ``contextHints``) are met wherever their replacement stands in a sentence: ``edge_no``, ``score``
     and ``n``, the places with that score. Equal places of a replacement are counted before they meet its edges."""
     hinted = edges.where(F.col("replacement").isNotNull()).select("edge_no", "replacement", plain_hints(F.col("contextHints")).alias("hints"))
-    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0))
+    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0))
     wanted = hinted.select("replacement").distinct()
     places = sentences.select(T.each(T.near_words(toks)).alias("w")).where("w is not null").select(F.col("w.tok").alias("replacement"), "w.terms").join(wanted, "replacement")
     counted = places.groupBy("replacement", "terms").agg(F.count(F.lit(1)).alias("n"))

@@ -33,7 +33,7 @@ def clauses(requests: DataFrame, key: str, text: str, cursor: str, mode: str) ->
 def phrase_edits(rows: DataFrame, key: str, text: str, guarded: str, memory: DataFrame) -> DataFrame:
     """``rows`` with ``phrase_edits``: the phrases of ``memory`` (``src``, ``dst``, ``confidence``) that stand in the text's tokens outside of ``guarded`` spans, the longest and most
     confident per place, then from left to right without overlap. A row meets the phrases that begin with one of its tokens, then compares them whole."""
-    heads = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(vocab.TOKEN), F.lit(0)))).alias("head"))
+    heads = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0)))).alias("head"))
     forms = C.with_head(memory.where("src <> dst"), "src", "head").select("head", T.phrase(F.col("src")).alias("form"), "dst", F.col("confidence").cast("double").alias("confidence"))
     met = heads.join(forms, "head").groupBy(key).agg(F.collect_set(F.struct("form", "dst", "confidence")).alias("_known"))
     whole = rows.join(met, key, "left")

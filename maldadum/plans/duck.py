@@ -13,8 +13,12 @@ def words(x: str) -> str:
     return f"regexp_extract_all({x}, '[가-힣A-Za-z0-9]+')"
 
 
+#: White space, inside a class.
+SPACE = r"\s\x0B\x{85}\p{Z}"
+
+
 def all_tokens(x: str) -> str:
-    return f"regexp_extract_all({x}, '[가-힣A-Za-z0-9]+|[^\\s]')"
+    return f"regexp_extract_all({x}, '[가-힣A-Za-z0-9]+|[^{SPACE}]')"
 
 
 def strip_noise(x: str) -> str:

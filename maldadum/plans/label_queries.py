@@ -98,8 +98,8 @@ QUERIES = {f.__name__: f for f in (label_examples, clean_examples, entry_labels,
 
 _STRIP = "regexp_replace({0}, '[\\s\\p{{Z}}\\p{{P}}]', '', 'g')"
 SQL = {
-    "clean_examples": f"""WITH r AS ({duck.one_per_id("split", "cor_sentence")}), t AS (SELECT *, regexp_extract_all(cor_sentence, '\\S+') AS ws FROM r WHERE cor_sentence IS NOT NULL)
-        SELECT id || ':clean' AS id, split, len(ws)::INT AS n_tokens, ws[-1] AS last_token, length(regexp_replace(cor_sentence, '\\s+$', ''))::INT AS last_end FROM t WHERE len(ws) > 0""",
+    "clean_examples": f"""WITH r AS ({duck.one_per_id("split", "cor_sentence")}), t AS (SELECT *, regexp_extract_all(cor_sentence, '[^{duck.SPACE}]+') AS ws FROM r WHERE cor_sentence IS NOT NULL)
+        SELECT id || ':clean' AS id, split, len(ws)::INT AS n_tokens, ws[-1] AS last_token, length(regexp_replace(cor_sentence, '[{duck.SPACE}]+$', ''))::INT AS last_end FROM t WHERE len(ws) > 0""",
     "entry_labels": f"""WITH r AS ({duck.one_per_id("errors")}), x AS (SELECT unnest(errors) AS e FROM r),
         y AS (SELECT coalesce(e.err_text, '') AS a, coalesce(e.cor_text, '') AS b, e.err_details AS d FROM x)
         SELECT CASE WHEN coalesce(d.kind = 'tags' AND list_contains(d.tags, '띄어쓰기'), false) OR (a <> b AND replace(a, ' ', '') = replace(b, ' ', ''))

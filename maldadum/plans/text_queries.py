@@ -183,7 +183,7 @@ QUERIES = {f.__name__: f for f in (
     tokenize_offsets, document_tokens, phrase_forms, context_words, clause_at_cursor, text_profile, literal_spans, protected_spans, masked_texts, apply_edits, rule_edits, spacing_points, pair_similarity, change_hulls,
     token_candidates, phrase_matches, similar_words, suffix_targets, hits_at_k, channel_mix, joined_neighbours, sentence_proposals, debounce_latest, latest_request, recent_sessions, profile_cosine)}
 
-_PIECES = "regexp_extract_all({0}, '\\s*(?:[가-힣A-Za-z0-9]+|[^\\s])')"
+_PIECES = "regexp_extract_all({0}, '[" + duck.SPACE.replace("{", "{{").replace("}", "}}") + "]*(?:[가-힣A-Za-z0-9]+|[^" + duck.SPACE.replace("{", "{{").replace("}", "}}") + "])')"
 _ENDS = "list_transform(p, lambda x, i: list_sum(list_transform(p[1:i::INT], lambda y: length(y))))"
 _PARTICLES = " ".join(f"WHEN ends_with(w, '{p}') AND length(w) > {len(p) + 1} THEN left(w, length(w) - {len(p)})" for p in vocab.PARTICLES)
 _NESTED = "err_sentence"
@@ -200,7 +200,7 @@ _FIRST = duck.one_per_id("error_type", "source", "interface", "keyboard", "cor_s
 SQL = {
     "tokenize_offsets": f"""WITH t AS (SELECT rec_no, {_PIECES.format("cor_sentence")} AS p FROM corpus_records WHERE cor_sentence IS NOT NULL),
         e AS (SELECT rec_no, unnest(p) AS piece, unnest({_ENDS})::INT AS ed, generate_subscripts(p, 1)::INT - 1 AS idx FROM t)
-        SELECT rec_no, idx, regexp_replace(piece, '^\\s+', '') AS tok, (ed - length(regexp_replace(piece, '^\\s+', '')))::INT AS st, ed FROM e""",
+        SELECT rec_no, idx, regexp_replace(piece, '^[{duck.SPACE}]+', '') AS tok, (ed - length(regexp_replace(piece, '^[{duck.SPACE}]+', '')))::INT AS st, ed FROM e""",
     "document_tokens": f"""SELECT doc_id, len({duck.all_tokens("text")}) AS n_tokens, length(regexp_replace(text, '[\\s\\p{{Z}}]+$', ''))::INT AS last_end, length(regexp_replace(text, '[\\s\\p{{Z}}]', '', 'g'))::BIGINT AS chars FROM documents WHERE len({duck.all_tokens("text")}) > 0""",
     "suffix_targets": f"""WITH {_SUFFIXES}, l AS (SELECT DISTINCT replacement || '다' AS lemma, replacement AS stem, split_part(pos, '-', 1) AS pos FROM typed_confusion_graph)
         SELECT lemma, l.pos, source_suffix, target_suffix, left(stem, length(stem) - length(source_suffix)) || target_suffix || '다' AS target, score

@@ -77,6 +77,8 @@ FAMILY_SOURCES = ("LEMMA_DATA_CONFUSION", "FAMILY_SEED", "AUTO_FAMILY_SEED", "FA
 
 # What tokens are.
 TOKEN = r"[가-힣A-Za-z0-9]+|[^\s]"
+#: The same for the JVM, whose classes are of ASCII unless told.
+JVM_TOKEN = "(?U)" + TOKEN
 WORD = r"[가-힣A-Za-z0-9]+"
 CLAUSE_ENDS = "\n.?!,;"
 LABEL_PRIORITY = {"KEEP": 0, "PUNCT_FIX": 1, "SPACE_FIX": 2, "OPEN_REPLACE": 3}

@@ -1,4 +1,4 @@
-"""Every core query against its SQL, and that the others run."""
+"""Every core query against its SQL; those without are in test_brute.py."""
 
 import pytest
 from oracle import FOLDER, connection, same
@@ -16,9 +16,10 @@ def test_same_rows_as_sql(spark, con, name):
     assert same(spark, con, registry.queries()[name], registry.sql()[name]) == ({}, {})
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.sql())))
-def test_runs(spark, name):
-    assert registry.queries()[name](spark, FOLDER).count() >= 0
+def test_the_others_are_compared_elsewhere():
+    import test_brute
+
+    assert {f"test_{name}" for name in set(registry.queries()) - set(registry.sql())} <= set(dir(test_brute))
 
 
 def test_entry(spark):

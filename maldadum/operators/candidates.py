@@ -32,9 +32,11 @@ def phrases(rows: DataFrame, key: str, text: str, memory: DataFrame) -> DataFram
     """Places where a phrase of ``memory`` (``src``, ``dst``, ``confidence``) stands in a row's tokens, the longest and most confident one per place:
     ``key``, ``first`` (token index), ``n_tokens``, ``src``, ``dst``, ``confidence``. Joined on the first token, then compared whole."""
     toks = F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0))
-    places = rows.select(key, toks.alias("toks")).select(key, "toks", F.posexplode("toks").alias("first", "head"))
+    longest = memory.agg(F.max(F.size(F.split(T.phrase(F.col("src")), " ")))).first()[0] or 1
+    starts = F.transform(toks, lambda t, i: F.struct(t.alias("head"), F.slice(toks, i + 1, F.lit(longest)).alias("run")))  # no token carries more of its text
+    places = rows.select(key, F.posexplode(starts).alias("first", "x")).select(key, "first", "x.head", "x.run")
     known = with_head(memory.select("src", "dst", "confidence"), "src", "head").withColumn("form", T.phrase(F.col("src"))).withColumn("n_tokens", F.size(F.split("form", " ")))
-    met = places.join(known, "head").where(F.array_join(F.slice("toks", F.col("first") + 1, F.col("n_tokens")), " ") == F.col("form"))
+    met = places.join(known, "head").where(F.array_join(F.slice("run", F.lit(1), F.col("n_tokens")), " ") == F.col("form"))
     best = W.partitionBy(key, "first").orderBy(F.desc("n_tokens"), F.desc("confidence"), "dst")
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "first", "n_tokens", "src", "dst", "confidence")
 

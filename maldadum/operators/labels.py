@@ -141,12 +141,19 @@ def deduplicated(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+#: Ranges of the order in which clean rows are counted.
+BINS = 65_536
+
+
 def balanced(rows: DataFrame, order: str, ratio: float = 1.0) -> DataFrame:
-    """All noisy rows, and per split the first clean ones by ``order`` up to ``ratio`` times as many.
+    """All noisy rows, and per split the first clean ones by ``order`` up to ``ratio`` times as many; rows without ``order`` come last.
 
-    The cut is found without one task seeing a split: counts per hash bucket of the order give the bucket in which it falls."""
+    The cut is found without one task seeing a split: counts per range of the order, BINS of them whatever the data, give the range in which it falls."""
     noisy = rows.where("variant = 'noisy'").groupBy("split").agg(F.floor(F.count(F.lit(1)) * ratio).cast("bigint").alias("want"))
-    clean = rows.where("variant = 'clean'").withColumn("_bin", F.expr(f"`{order}` div 1024"))
+    ends = rows.where("variant = 'clean'").agg(F.min(order), F.max(order)).first()
+    low, width = ends[0] or 0, ((ends[1] or 0) - (ends[0] or 0)) // BINS + 1
+    at = F.coalesce(F.expr(f"(`{order}` - {low}L) div {width}L"), F.lit(BINS + 1).cast("bigint"))
+    clean = rows.where("variant = 'clean'").withColumn("_bin", at)
     bins = clean.groupBy("split", "_bin").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("split").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
     starts = bins.withColumn("before", F.coalesce(before, F.lit(0))).join(noisy, "split").select("split", "_bin", (F.col("want") - F.col("before")).alias("room"))

@@ -44,7 +44,8 @@ class ShardPlan:
         for x in same[1:]:
             on = on & x
         joined = df.join(F.broadcast(known), on, "left").drop(*[f"_k{i}" for i in range(len(self.keys))])
-        return joined.withColumn("_bucket_task", F.element_at(F.array(*[F.lit(t) for t in self.bucket_task]), self._bucket() + 1))
+        of_bucket = F.split(F.lit(",".join(map(str, self.bucket_task))), ",").cast("array<int>")  # folded into one constant
+        return joined.withColumn("_bucket_task", F.get(of_bucket, self._bucket()))
 
     def scatter(self, df: DataFrame, spread: Column) -> DataFrame:
         """Rows of the large side, each on one task: ``_task``. Rows with equal ``spread`` and key stay together."""
@@ -65,22 +66,18 @@ def plan_shards(df: DataFrame, keys: Sequence[str], tasks: int | None = None) ->
     cols = [F.col(k) for k in keys]
     loads = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_load"))
     bucket = F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")
-    # one pass: bucket sums, and of each bucket its heaviest keys. A key above a fair share is among the first
-    # LARGE_PER_TASK x tasks of all keys, so as many per bucket are enough
+    # one pass over the loads: bucket sums, and the keys above a fair share of the rows, at most ``fair`` of them
     fair = LARGE_PER_TASK * tasks
+    rows = df.count()
+    at_least = max(2, rows // fair)
     keyed = loads.select(bucket.alias("b"), F.col("_load"), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"))
-    total_of = keyed.groupBy("b").agg(F.sum("_load").alias("load"), F.max("_load").alias("top")).collect()
-    total = sum(r.load for r in total_of)
-    at_least = max(2, total // fair)
+    sums = keyed.groupBy("b").agg(F.sum("_load").alias("load"), F.collect_list(F.when(F.col("_load") >= at_least, F.struct("key", "_load"))).alias("large")).collect()
+    total = sum(r.load for r in sums)
     bucket_load = [0.0] * buckets
-    for r in total_of:
-        bucket_load[r.b] = float(r.load)
     large: dict[tuple, int] = {}
-    hot = [r.b for r in total_of if r.top >= at_least]
-    if hot:
-        for r in keyed.where(F.col("_load") >= at_least).collect():  # at most ``fair`` rows
-            large[tuple(r.key)] = int(r._load)
-            bucket_load[r.b] -= r._load
+    for r in sums:
+        bucket_load[r.b] = float(r.load - sum(x._load for x in r.large))
+        large |= {tuple(x.key): int(x._load) for x in r.large}
     share = max(1.0, total / tasks)
     pieces: list[tuple[float, tuple | None, int]] = [(load, None, b) for b, load in enumerate(bucket_load)]
     shard_tasks: dict[tuple, list[int]] = {k: [] for k in large}

@@ -139,9 +139,9 @@ def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def channel_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Channel counts of all edges of a replacement, maps added key by key."""
-    stats = _graph(spark, folder).groupBy("replacement").agg(F.collect_list("interfaceStats").alias("maps"), F.sum("frequency").alias("frequency"))
-    both = stats.select("replacement", "frequency", F.aggregate("maps", F.create_map().cast("map<string,bigint>"), lambda a, m: C.merge_counts(a, m)).alias("m"))
-    return both.select("replacement", "frequency", F.explode("m").alias("channel", "n"))
+    graph = _graph(spark, folder)
+    counts = graph.select("replacement", F.explode("interfaceStats").alias("channel", "n")).groupBy("replacement", "channel").agg(F.sum("n").alias("n"))
+    return counts.join(graph.groupBy("replacement").agg(F.sum("frequency").alias("frequency")), "replacement").select("replacement", "frequency", "channel", "n")
 
 
 def joined_neighbours(spark: SparkSession, folder: str) -> DataFrame:

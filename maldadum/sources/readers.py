@@ -19,7 +19,10 @@ ERRORS = f"ARRAY<STRUCT<err_idx: INT, err_location: INT, err_text: STRING, cor_t
 RECORD = ("split STRING, error_type STRING, member_name STRING, id STRING, source STRING, interface STRING, keyboard STRING, date STRING, gender STRING, age STRING, reg_date STRING, "
           f"err_sentence STRING, cor_sentence STRING, err_sentence_spell STRING, cor_sentence_spell STRING, error_count INT, errors {ERRORS}")
 #: Names under which pair files call the erroneous and the corrected text, in the order of preference (fixed values).
-PAIR_NAMES = (("err_sentence", "cor_sentence"), ("original", "corrected"), ("source", "target"), ("input", "output"), ("error", "correct"), ("before", "after"), ("wrong", "right"))
+PAIR_NAMES = (
+    ("original", "corrected"), ("source_sentence", "target_sentence"), ("input", "output"), ("text", "correction"), ("원문", "정답"), ("source", "target"),
+    ("error_sentence", "correct_sentence"), ("문장", "정답문장"), ("오류문장", "교정문장"), ("before", "after"), ("err_sentence", "cor_sentence"),
+)
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr")
 
 
@@ -81,8 +84,8 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_files(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """Rows of CSV files of unknown encoding: ``path``, ``row`` MAP<STRING, STRING>; the first encoding that decodes a whole file counts, and a
-    file that none decodes gives no rows."""
+    """Rows of CSV files of unknown encoding: ``path``, ``row`` MAP<STRING, STRING> and ``problem``; the first encoding that decodes a whole file counts, and a
+    file that none decodes gives one row with ``problem`` and no map."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,21 +101,21 @@ def csv_files(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODIN
                     except UnicodeDecodeError:
                         continue
                 else:
+                    yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([None], kind), pa.array([f"none of {', '.join(encodings)} decodes it"])], names=["path", "row", "problem"])
                     continue
                 rows = [[(k, v) for k, v in r.items() if k is not None and v is not None] for r in csv.DictReader(io.StringIO(text))]
                 for lo in range(0, len(rows), 10_000):
                     part = rows[lo : lo + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(part)), pa.array(part, kind)], names=["path", "row"])
+                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(part)), pa.array(part, kind), pa.nulls(len(part), pa.string())], names=["path", "row", "problem"])
 
-    return files.mapInArrow(run, "path STRING, row MAP<STRING, STRING>")
+    return files.mapInArrow(run, "path STRING, row MAP<STRING, STRING>, problem STRING")
 
 
 def named_pairs(rows: DataFrame, fields: str, names: Sequence[tuple[str, str]] = PAIR_NAMES) -> DataFrame:
-    """``original`` and ``corrected`` of the first pair of names that a row's map has both of; rows without one, with an empty text or equal texts are
-    left out."""
-    pair = F.coalesce(*[F.when(F.try_element_at(fields, F.lit(a)).isNotNull() & F.try_element_at(fields, F.lit(b)).isNotNull(), F.struct(F.try_element_at(fields, F.lit(a)).alias("original"), F.try_element_at(fields, F.lit(b)).alias("corrected"))) for a, b in names])
-    found = rows.withColumn("_p", pair).where("_p is not null").select(*[c for c in rows.columns if c != fields], F.trim("_p.original").alias("original"), F.trim("_p.corrected").alias("corrected"))
-    return found.where("original <> '' and corrected <> '' and original <> corrected")
+    """``original`` and ``corrected`` of the first pair of names whose texts a row's map has, not empty and not equal; rows without one are left out."""
+    of = lambda name: F.trim(F.try_element_at(fields, F.lit(name)))
+    pair = F.coalesce(*[F.when((of(a) != "") & (of(b) != "") & (of(a) != of(b)), F.struct(of(a).alias("original"), of(b).alias("corrected"))) for a, b in names])
+    return rows.withColumn("_p", pair).where("_p is not null").select(*[c for c in rows.columns if c != fields], "_p.original", "_p.corrected")
 
 
 def asset(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -18,8 +18,13 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return int(seen.get["n"])
 
 
-def write_csv(df: DataFrame, path: str, *by: str) -> None:
-    """Write CSV with a header, in folders by the columns ``by``; quotes inside values are doubled."""
+def write_csv(df: DataFrame, path: str, *by: str, mark: bool = False) -> None:
+    """Write CSV with a header, in folders by the columns ``by``; quotes inside values are doubled.
+
+    :param mark: begin every file with a byte-order mark, as spreadsheets want it (written into the first column's name)."""
+    if mark:
+        first = next(c for c in df.columns if c not in by)
+        df = df.withColumnRenamed(first, "\ufeff" + first)
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8")
     (writer.partitionBy(*by) if by else writer).csv(path)
 

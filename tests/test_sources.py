@@ -35,7 +35,9 @@ def test_csv_encodings_and_named_pairs(spark, tmp_path):
     (tmp_path / "u.csv").write_bytes("original,corrected\n되요,돼요\n같다,같다\n".encode("utf-8-sig"))
     (tmp_path / "k.csv").write_bytes("err_sentence,cor_sentence\n 안되 ,안 돼\n,x\n".encode("cp949"))
     (tmp_path / "z.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
-    got = readers.named_pairs(readers.csv_files(spark, str(tmp_path)), "row").collect()
+    rows = readers.csv_files(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 1)[1] for r in rows.where("problem is not null").collect()] == ["z.csv"]
+    got = readers.named_pairs(rows, "row").collect()
     assert sorted((r.original, r.corrected) for r in got) == [("되요", "돼요"), ("안되", "안 돼")]
 
 

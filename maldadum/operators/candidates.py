@@ -23,6 +23,12 @@ def exact(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return tokens.join(dictionary, F.col("tok") == F.col("src")).drop("src")
 
 
+def valid_surface(original: Column, candidate: Column) -> Column:
+    """Whether a word that a language model offers could be a misspelling's right form: one Hangul word, a length within one, one edit (two from five letters on)."""
+    word = (candidate != "") & (candidate != original) & ~candidate.rlike(r"[ \n\t]|^[\[#]") & (T.hangul_ratio(candidate) >= 0.5)
+    return F.coalesce(word & (F.abs(F.length(candidate) - F.length(original)) <= 1) & (F.levenshtein(original, candidate) <= F.when(F.length(original) <= 4, 1).otherwise(2)), F.lit(False))
+
+
 def with_head(df: DataFrame, text: str, name: str) -> DataFrame:
     """The first token of a phrase as ``name``, to join on."""
     return df.withColumn(name, F.get(F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0)), F.lit(0)))

@@ -32,6 +32,40 @@ def locked(label: Column, st: Column, ed: Column, spans: Column, source: Column,
     return F.when((label == "OPEN_REPLACE") & P.overlaps_any(st, ed, spans) & ~strong, "KEEP").otherwise(label)
 
 
+def tagged(tokens: DataFrame, best: DataFrame) -> DataFrame:
+    """Token rows with ``label`` and ``confidence`` from a model's ``predicted`` label and ``sure``ness, and from their best candidate.
+
+    What is guarded, has Latin letters or digits, is less than half Hangul or of one character is kept. A short Hangul token that the model keeps is opened again if it may be a predicate that is
+    often confused (``confusable``) and its best candidate is a curated predicate, good and supported enough.
+
+    :param tokens: ``key``, ``idx``, ``tok``, ``st``, ``ed``, ``guard`` (spans), ``predicted``, ``sure``, ``confusable``.
+    :param best: best candidate per (``key``, ``idx``): ``source``, ``score``, ``norm``, ``context``, ``family``, ``pos``."""
+    met = tokens.join(best.select("key", "idx", "source", "score", "norm", "context", F.size("family").alias("_family"), "pos"), ["key", "idx"], "left")
+    n, none = F.length("tok"), F.lit(0.0)
+    short = F.col("tok").rlike("^[가-힣]{2,6}$") & F.coalesce("confusable", F.lit(False)) & curated(F.col("source")) & (F.coalesce(T.coarse_pos(F.col("pos")).isin(*vocab.PREDICATE_TAGS), F.lit(False)) | (F.col("_family") > 0))
+    brief = n <= 4
+    context = F.coalesce("context", none)
+    seeded = F.col("source").isin("FAMILY_SEED", "PHRASE_MEMORY", "FAMILY_SURFACE_EXAMPLE", "AUTO_FAMILY_SEED")
+    good = (F.col("score") >= F.when(brief, 0.58).otherwise(0.66)) & (F.col("norm") >= F.when(brief, 0.72).otherwise(0.82)) & (seeded | (context >= 0.18))
+    again = (F.col("predicted") == "KEEP") & F.coalesce(short & good, F.lit(False))
+    made = lambda label, sure: F.struct(label.alias("label"), sure.cast("double").alias("confidence"))
+    keep = F.lit("KEEP")
+    label = (F.when(P.overlaps_any(F.col("st"), F.col("ed"), F.col("guard")), made(keep, F.lit(1.0))).when(F.col("tok").rlike("[A-Za-z0-9]"), made(keep, F.lit(0.99)))
+             .when((T.hangul_ratio(F.col("tok")) < 0.5) | (n < 2), made(keep, F.lit(0.98))).when(again, made(F.lit("OPEN_REPLACE"), F.greatest("sure", F.round("score", 4))))
+             .otherwise(made(F.coalesce("predicted", keep), F.coalesce("sure", none))))
+    return met.withColumn("_l", label).select(*tokens.columns, "_l.label", "_l.confidence")
+
+
+def heuristic(tokens: DataFrame, best: DataFrame, least: float = 0.72) -> DataFrame:
+    """Token rows with ``label`` and ``confidence`` without a model: opened where the best candidate's ``score`` is at least ``least``."""
+    met = tokens.join(best.select("key", "idx", "score"), ["key", "idx"], "left")
+    made = lambda label, sure: F.struct(F.lit(label).alias("label"), F.round(sure, 4).cast("double").alias("confidence"))
+    plain = (T.hangul_ratio(F.col("tok")) < 0.5) | (F.length("tok") < 2) | F.col("score").isNull()
+    label = (F.when(P.overlaps_any(F.col("st"), F.col("ed"), F.col("guard")), made("KEEP", F.lit(1.0))).when(plain, made("KEEP", F.lit(0.98)))
+             .when(F.col("score") >= least, made("OPEN_REPLACE", F.col("score"))).otherwise(made("KEEP", 1 - F.col("score") * 0.4)))
+    return met.withColumn("_l", label).select(*tokens.columns, "_l.label", "_l.confidence")
+
+
 def phrase_targets(tokens: DataFrame, memory: DataFrame, least: float = 0.98) -> DataFrame:
     """Spans (``key``, ``st``, ``ed``) whose tokens already are the right form of a sure phrase of two tokens or more (``dst``, ``confidence``)."""
     forms = with_head(memory.where(F.col("confidence") >= least), "dst", "head").withColumn("form", T.phrase(F.col("dst"))).withColumn("n", F.size(F.split("form", " "))).where("n >= 2").select("head", "form", "n").distinct()

@@ -139,6 +139,16 @@ def lemma_edges(graph: DataFrame) -> DataFrame:
     return sums.join(slots, keys, "left").join(stats, keys, "left")
 
 
+def kept_lemma_edges(edges: DataFrame, min_frequency: int = 2, per_lemma: int = 8) -> DataFrame:
+    """Edges of :func:`lemma_edges` that are frequent and alike enough for how they were put in: those heard need more similarity or frequency than those typed; with ``score`` and ``rank``."""
+    total = F.aggregate(F.map_values("interface_stats"), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    voice = F.coalesce(F.try_divide(F.try_element_at("interface_stats", F.lit("voice")), total), F.lit(0.0))
+    f, sim = F.col("frequency"), F.col("similarity")
+    kept = edges.where((f >= min_frequency) & ~((sim < 0.56) & (voice < 0.5)) & ~((voice >= 0.5) & (f < max(min_frequency + 2, 5)))).withColumn("score", X.lemma_score(f, sim))
+    rank = F.row_number().over(W.partitionBy("lemma").orderBy(F.desc("frequency"), F.desc("score"), "target", "pos"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= per_lemma)
+
+
 def _cut(edges: DataFrame) -> DataFrame:
     """Edges between lemmas with what differs at the ends of their stems, one to four characters on either side, and the irregular class of the target or else the source."""
     a, b = T.stem(F.col("lemma")), T.stem(F.col("target"))

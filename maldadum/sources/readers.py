@@ -18,6 +18,21 @@ DETAILS = "STRUCT<kind: STRING, tags: ARRAY<STRING>, counts: MAP<STRING, INT>, v
 ERRORS = f"ARRAY<STRUCT<err_idx: INT, err_location: INT, err_text: STRING, cor_text: STRING, edit_distance: INT, err_details: {DETAILS}>>"
 RECORD = ("split STRING, error_type STRING, member_name STRING, id STRING, source STRING, interface STRING, keyboard STRING, date STRING, gender STRING, age STRING, reg_date STRING, "
           f"err_sentence STRING, cor_sentence STRING, err_sentence_spell STRING, cor_sentence_spell STRING, error_count INT, errors {ERRORS}")
+#: Longest text of a request.
+REQUEST_CHARACTERS = 5_000
+
+
+def requests(lines: DataFrame, body: str = "value") -> DataFrame:
+    """Correction requests from JSON bodies, of a batch or a stream: ``text``, ``cursor_pos`` (the text's end if absent), ``mode`` ('realtime' unless 'inspect' is asked for) and ``problem`` of bodies that are no
+    request: unreadable, without a text, or with one of more than REQUEST_CHARACTERS. Other columns stay."""
+    r = F.from_json(body, "text STRING, cursor INT, mode STRING")
+    rows = lines.withColumn("_r", r).withColumn("text", F.col("_r.text"))
+    long = F.length("text") > REQUEST_CHARACTERS
+    problem = F.when(F.col("text").isNull(), "no text").when(long, f"more than {REQUEST_CHARACTERS} characters")
+    cursor = F.greatest(F.lit(0), F.least(F.coalesce("_r.cursor", F.length("text")), F.length("text")))
+    return rows.select(*[c for c in lines.columns if c not in (body, "text")], F.when(~long, F.col("text")).alias("text"), F.when(problem.isNull(), cursor).alias("cursor_pos"), F.when(F.col("_r.mode") == "inspect", "inspect").otherwise("realtime").alias("mode"), problem.alias("problem"))
+
+
 #: Names under which pair files call the erroneous and the corrected text, in the order of preference (fixed values).
 PAIR_NAMES = (
     ("original", "corrected"), ("source_sentence", "target_sentence"), ("input", "output"), ("text", "correction"), ("원문", "정답"), ("source", "target"),

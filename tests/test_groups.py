@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from maldadum import adapters
 from maldadum.functions import text as T
-from maldadum.operators import grouping as G, labels as L, light, morphology as M, pipeline as P, windows as Wn
+from maldadum.operators import candidates as C, grouping as G, labels as L, light, mining, morphology as M, pipeline as P, windows as Wn
+from maldadum.plans import assets
+from maldadum.sources import readers
+from maldadum.sources.tables import table
+from oracle import FOLDER
 
 
 def token_rows(spark, sentences):
@@ -182,6 +186,45 @@ def test_light(spark):
     assert p.p.text == "a나xyz라" and [tuple(m) for m in p.p.markers] == [(0, 1), (2, 5)] and [len(x) for x in p.d] == [1, 1, 1]
 
 
+def test_taggers(spark):
+    guard = "guard ARRAY<STRUCT<st: INT, ed: INT>>"
+    rows = [(1, 0, "나았다", 0, 3, [], "KEEP", 0.9, True), (1, 1, "나았다", 4, 7, [(0, 9)], "OPEN_REPLACE", 0.9, True), (1, 2, "A가", 8, 10, [], "OPEN_REPLACE", 0.9, True), (1, 3, "가", 11, 12, [], "OPEN_REPLACE", 0.9, True), (1, 4, "나았다", 13, 16, [], "SPACE_FIX", 0.7, True), (1, 5, "나았다", 17, 20, [], "KEEP", 0.9, False), (1, 6, "나았다고", 21, 25, [], "KEEP", 0.6, True)]
+    tokens = spark.createDataFrame(rows, f"key INT, idx INT, tok STRING, st INT, ed INT, {guard}, predicted STRING, sure DOUBLE, confusable BOOLEAN")
+    best = spark.createDataFrame([(1, i, "FAMILY_SEED", 0.75, 0.9, 0.0, ["낫다"], "VV") for i in (0, 1, 4, 5)] + [(1, 6, "DATA_CONFUSION", 0.9, 0.9, 0.17, [], "VV")], "key INT, idx INT, source STRING, score DOUBLE, norm DOUBLE, context DOUBLE, family ARRAY<STRING>, pos STRING")
+    got = [(r.label, r.confidence) for r in G.tagged(tokens, best).orderBy("idx").collect()]
+    assert got == [("OPEN_REPLACE", 0.9), ("KEEP", 1.0), ("KEEP", 0.99), ("KEEP", 0.98), ("SPACE_FIX", 0.7), ("KEEP", 0.9), ("KEEP", 0.6)]
+    got = [(r.label, r.confidence) for r in G.heuristic(tokens, best).orderBy("idx").collect()]
+    assert got == [("OPEN_REPLACE", 0.75), ("KEEP", 1.0), ("KEEP", 0.98), ("KEEP", 0.98), ("OPEN_REPLACE", 0.75), ("OPEN_REPLACE", 0.75), ("OPEN_REPLACE", 0.9)]
+    words = spark.createDataFrame([("나았다", "낳았다"), ("나았다", "나았다"), ("나았다", "나 았다"), ("나았다", "[MASK]"), ("나았다", "좋겠다"), ("나았다고", "낳았다구"), ("나았다고요", "낳았다구요"), ("나았다", None)], "a STRING, b STRING")
+    assert [r[0] for r in words.select(C.valid_surface(F.col("a"), F.col("b"))).collect()] == [True, False, False, False, False, False, True, False]
+
+
+def test_kept_lemma_edges(spark):
+    schema = "lemma STRING, target STRING, pos STRING, frequency BIGINT, similarity DOUBLE, slots ARRAY<STRING>, interface_stats MAP<STRING, BIGINT>"
+    rows = [("가다", "나다", "VV", 9, 0.55, [], {"generic": 9}), ("가다", "다다", "VV", 9, 0.55, [], {"voice": 9}), ("가다", "라다", "VV", 4, 0.9, [], {"voice": 2, "keyboard": 2}), ("가다", "마다", "VV", 4, 0.9, [], {"voice": 1, "keyboard": 3}), ("가다", "바다", "VV", 1, 0.9, [], {}), ("가다", "사다", "VV", 2, 0.9, [], None)]
+    assert [(r.target, r["rank"]) for r in mining.kept_lemma_edges(spark.createDataFrame(rows, schema)).orderBy("rank").collect()] == [("다다", 1), ("마다", 2), ("사다", 3)]
+
+
+def test_rule_tables(spark, tmp_path):
+    tables = assets.rule_tables(table(spark, FOLDER, "corpus_records"), table(spark, FOLDER, "typed_confusion_graph"), 3)
+    counts = assets.write_rules(tables, str(tmp_path))
+    assert counts["surface_fixes"] >= 25 and counts["confusion_edges"] > 0 and set(counts) == set(tables)
+    assert readers.asset(spark, str(tmp_path / "surface_fixes.json"), "src STRING, dst STRING, confidence DOUBLE").count() == counts["surface_fixes"]
+
+
+def test_requests(spark, tmp_path):
+    bodies = ['{"text":"가나","mode":"inspect"}', '{"text":"가나","cursor":9}', '{"text":""}', "{", '{"cursor":1}', '{"text":"' + "가" * 5001 + '"}']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id INT, value STRING")
+    got = [(r.text, r.cursor_pos, r.mode, r.problem) for r in readers.requests(df).orderBy("id").collect()]
+    assert got == [("가나", 2, "inspect", None), ("가나", 2, "realtime", None), ("", 0, "realtime", None), (None, None, "realtime", "no text"), (None, None, "realtime", "no text"), (None, None, "realtime", "more than 5000 characters")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(bodies), encoding="utf-8")
+    query = readers.requests(spark.readStream.text(str(tmp_path / "in"))).writeStream.format("memory").queryName("asked").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("asked").where("problem is null").count() == 3
+
+
 def test_context_terms(spark):
     df = spark.createDataFrame([("동생이 시장에서 사과를, 어제 샀다 그래 A",)], "t STRING")
     toks = F.regexp_extract_all("t", F.lit("[가-힣A-Za-z0-9]+|[^\\s]"), F.lit(0))

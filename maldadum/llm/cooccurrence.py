@@ -33,21 +33,20 @@ WORD = "[가-힣A-Za-z0-9]+"
 
 
 def memberships(baskets: DataFrame, text: str, items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(baskets with their items, item frequencies, number of baskets).
+    """(baskets with their items, item frequencies, number of all baskets).
 
-    The first has one row per basket and item (``record``, ``item``), partitioned as the baskets are when items are broadcast; both are
+    The first has one row per basket that holds an item (``record``, ``items``); words that are no items are left out before anything is shuffled. Both are
     written once."""
-    words = baskets.select("record", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("item"))
+    words = baskets.select("record", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("item"))
     items = materialize(items.where("item is not null").select("item").distinct(), "items")
     if items.count() <= BROADCAST_ITEMS:
-        tagged = words.join(F.broadcast(items.withColumn("known", F.lit(True))), "item", "left")
+        known = words.join(F.broadcast(items), "item")
     else:
-        salted = items.withColumn("known", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        tagged = words.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(_SALTS)).cast("int")).join(salted, ["item", "salt"], "left")
-    held = tagged.groupBy("record").agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.col("item")))).alias("items"))
-    held = materialize(held, "baskets")
+        salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        known = words.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(_SALTS)).cast("int")).join(salted, ["item", "salt"])
+    held = materialize(known.groupBy("record").agg(F.array_sort(F.collect_set("item")).alias("items")), "baskets")
     frequency = held.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return held, materialize(frequency, "frequency"), held.count()
+    return held, materialize(frequency, "frequency"), baskets.select("record").distinct().count()
 
 
 def _pairs(held: DataFrame, numbered: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Folder of the public vocabularies, unless a call names one (``folder``) or the session does (``spark.maldadum.tokenizers``).
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -197,7 +197,7 @@ def count_batch(texts: list[str | None], path: str) -> np.ndarray:
     return sums[ends] - sums[ends - per_text]
 
 
-def _runs(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def text_runs(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``chars`` characters, so that a batch of long texts is not held at once."""
     start = total = 0
     for i, text in enumerate(texts):
@@ -209,33 +209,32 @@ def _runs(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int
         yield start, len(texts)
 
 
-def _path(vocabulary: str, folder: str | None) -> str:
-    return os.path.join(folder or TOKENIZER_DIR, f"{vocabulary}.tiktoken")
+def rank_file(spark: SparkSession, vocabulary: str, folder: str | None = None) -> str:
+    """Where a vocabulary is: in ``folder``, else where the session says, else in TOKENIZER_DIR."""
+    return os.path.join(folder or spark.conf.get("spark.maldadum.tokenizers", None) or TOKENIZER_DIR, f"{vocabulary}.tiktoken")
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns ``keep`` and ``ids`` ARRAY<INT> of each row; one pass, no shuffle."""
-    path = _path(vocabulary, folder or df.sparkSession.conf.get("spark.maldadum.tokenizers", None))
-    names = [key, *keep]
+def encode(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """``key`` and ``ids`` ARRAY<INT> of each row; one pass, no shuffle."""
+    path = rank_file(df.sparkSession, vocabulary, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in _runs(texts):
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(len(names))], encode_batch(texts[lo:hi], path)], names=[*names, "ids"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in text_runs(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), encode_batch(texts[lo:hi], path)], names=[key, "ids"])
 
-    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return df.select(*[F.col(n) for n in names], F.col(text)).mapInArrow(run, f"{schema}, ids ARRAY<INT>")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids ARRAY<INT>")
 
 
 def token_counts(df: DataFrame, text: str, *keep: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` BIGINT of each row; 0 for null and empty texts."""
-    path = _path(vocabulary, folder or df.sparkSession.conf.get("spark.maldadum.tokenizers", None))
+    path = rank_file(df.sparkSession, vocabulary, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in _runs(texts):
+            for lo, hi in text_runs(texts):
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(count_batch(texts[lo:hi], path), pa.int64())], names=[*keep, "n_tokens"])
 

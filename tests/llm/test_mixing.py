@@ -59,15 +59,20 @@ def test_small_and_doubly_listed(spark):
     assert [len(r.ids) for r in mix.collect()] == [n]
 
 
-def test_packing_is_whole(spark):
+def test_packing_is_whole(spark, monkeypatch):
+    """Every token of every listed document once, and blocks without gaps, however places are joined."""
     docs, targets, _ = tables(spark)
-    sized = X.sized_documents(docs, "doc_id")
-    parts = X.packed(sized, "doc_id", targets, 16)
-    want = {r.doc_id: r.n_tokens for r in sized.where("source in ('big', 'small', 'tiny') and n_tokens > 0").collect()}
-    got = Counter()
-    for r in parts.collect():
-        got[r.doc_id] += r.token_to - r.token_from
-    assert dict(got) == want
+    want = {r.doc_id: r.n_tokens for r in X.sized_documents(docs, "doc_id").where("source in ('big', 'small', 'tiny') and n_tokens > 0").collect()}
+    for limit in (X.BROADCAST_PLACES, 0):
+        monkeypatch.setattr(X, "BROADCAST_PLACES", limit)
+        parts = X.packed(X.encoded_documents(docs.repartition(3), "doc_id", targets), 16).collect()
+        got, room = Counter(), {}
+        for r in parts:
+            got[r.key] += r.token_to - r.token_from
+            room.setdefault((r.source, r.block), []).append((r["at"], r["at"] + r.token_to - r.token_from))
+        assert dict(got) == want
+        for spans in room.values():
+            assert sorted(spans)[0][0] == 0 and all(a[1] == b[0] for a, b in zip(sorted(spans), sorted(spans)[1:])) and sorted(spans)[-1][1] <= 16
 
 
 def test_nothing(spark):

@@ -1,7 +1,7 @@
 """Mixtures of sources with target shares, by packed token blocks and permuted indices (p9).
 
 Tokens of each source are packed into blocks of fixed length, task by task in the order in which documents are read: a task counts the tokens of each source while it
-encodes, and a prefix sum over tasks gives every document its place, without sorting or moving documents. Tokens move once, to their block, in two or four bytes each. For each output
+encodes, and a prefix sum over tasks gives every document its place, without sorting or moving documents. Tokens move once, to their block. For each output
 shard the numbers of slots per source are drawn from a multinomial of the target shares. A source's slots run through all of its
 blocks in the order of a pseudorandom permutation before any block comes again, then in the order of another one, and at most
 ``max_repeats`` times; slots beyond that stay open and are reported. Slots and blocks meet in one equi-join on (source, block), whose rows hold the
@@ -144,21 +144,14 @@ def _slots(draws: DataFrame, seed: int) -> DataFrame:
 
 #: Places of tasks and sources that go to the executors as a broadcast table (some 30 bytes each); more are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
-#: Bytes of a token number as stored: four, or two where all of a vocabulary's numbers fit.
-_WIDTHS = {"byte_bpe_50k": 2}
-
-
-def _width(vocabulary: str) -> int:
-    return _WIDTHS.get(vocabulary, 4)
-
 
 def encoded_documents(docs: DataFrame, key: str, targets: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """``task``, ``key``, plain ``source``, ``n_tokens``, ``begin`` (tokens of the source that the task met before) and ``codes`` (packed token numbers) of every document of a listed source,
+    """``task``, ``key``, plain ``source``, ``n_tokens``, ``begin`` (tokens of the source that the task met before) and ``ids`` of every document of a listed source,
     written once."""
     spark = docs.sparkSession
     listed = spark.createDataFrame([(r.source.strip().lower(),) for r in _targets(targets)] or [("",)], "source STRING").distinct()
     named = docs.select(F.col(key).alias("key"), plain_source("source").alias("source"), F.col("text")).join(F.broadcast(listed), "source", "left_semi").select("key", "source", "text")
-    path, kind = rank_file(spark, vocabulary, folder), f"<u{_width(vocabulary)}"
+    path = rank_file(spark, vocabulary, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, met = TaskContext.get().partitionId(), {}
@@ -166,19 +159,16 @@ def encoded_documents(docs: DataFrame, key: str, targets: DataFrame, vocabulary:
             texts, sources = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_runs(texts):
                 ids = encode_batch(texts[lo:hi], path)
-                ends = np.asarray(ids.offsets)
-                flat = ids.values.to_numpy(zero_copy_only=False).astype(kind)
-                n = np.diff(ends)
+                n = np.diff(np.asarray(ids.offsets))
                 begin = []
                 for source, size in zip(sources[lo:hi], n.tolist()):
                     begin.append(met.get(source, 0))
                     met[source] = begin[-1] + size
-                codes = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([task] * (hi - lo), pa.int32()), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(begin, pa.int64()), pa.array(codes, pa.binary())],
-                                                 names=["task", "key", "source", "n_tokens", "begin", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([task] * (hi - lo), pa.int32()), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(begin, pa.int64()), ids],
+                                                 names=["task", "key", "source", "n_tokens", "begin", "ids"])
 
     kind_of_key = named.schema["key"].dataType.simpleString()
-    return materialize(named.mapInArrow(run, f"task INT, key {kind_of_key}, source STRING, n_tokens BIGINT, begin BIGINT, codes BINARY"), "encoded")
+    return materialize(named.mapInArrow(run, f"task INT, key {kind_of_key}, source STRING, n_tokens BIGINT, begin BIGINT, ids ARRAY<INT>"), "encoded")
 
 
 def packed(encoded: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -193,37 +183,17 @@ def packed(encoded: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     return parts.select(*[c for c in encoded.columns if c not in ("task", "begin", "n_tokens")], "block", (begin - F.col("lo")).alias("token_from"), (F.least(F.col("hi"), (F.col("block") + 1) * b) - F.col("lo")).alias("token_to"), (begin - F.col("block") * b).cast("int").alias("at"))
 
 
-def filled(encoded: DataFrame, block: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """The blocks of all sources: ``source``, ``block``, ``codes`` (packed token numbers of its parts) and ``parts``, which tokens of which documents they are."""
-    size = lambda a, z: ((z - a) * width).cast("int")
-    cut = packed(encoded, block).withColumn("codes", F.substring("codes", (F.col("token_from") * width).cast("int") + 1, size(F.col("token_from"), F.col("token_to"))))
-    whole = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "key", "token_from", "token_to", "codes"))).alias("p"))  # at most ``block`` tokens
-    return whole.select("source", "block", F.col("p.codes").alias("codes"), F.transform("p", lambda x: F.struct(x["key"].alias("key"), x["token_from"].alias("token_from"), x["token_to"].alias("token_to"))).alias("parts"))
-
-
-def _unpacked(df: DataFrame, codes: str, width: int) -> DataFrame:
-    """``df`` with ``ids`` ARRAY<INT> in the place of packed codes."""
-    names = [c for c in df.columns if c != codes]
-    place = df.columns.index(codes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                said = [b"".join(x) for x in part.column(place).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) // width for x in said])])
-                flat = np.frombuffer(b"".join(said), f"<u{width}").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*names, "ids"])
-
-    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return df.mapInArrow(run, f"{schema}, ids ARRAY<INT>")
+def filled(encoded: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+    """The blocks of all sources: ``source``, ``block``, ``ids`` and ``parts``, which tokens of which documents they are."""
+    n = (F.col("token_to") - F.col("token_from")).cast("int")
+    cut = packed(encoded, block).withColumn("ids", F.slice("ids", F.col("token_from").cast("int") + 1, n))
+    whole = cut.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "key", "token_from", "token_to", "ids"))).alias("p"))  # at most ``block`` tokens
+    return whole.select("source", "block", F.flatten("p.ids").alias("ids"), F.transform("p", lambda x: F.struct(x["key"].alias("key"), x["token_from"].alias("token_from"), x["token_to"].alias("token_to"))).alias("parts"))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", shards: int = 64, block: int = BLOCK_TOKENS, seed: int = 42, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, report): the mixture has one row per granted slot: ``shard``, ``source``, ``slot``, ``turn`` (repeats so far), ``block``, its tokens ``ids`` and
     ``parts``, which tokens of which documents they are (``key``, ``token_from``, ``token_to``)."""
-    width = _width(vocabulary)
     encoded = encoded_documents(docs, key, targets, vocabulary, folder)
     report, draws = mix_plan(encoded.select("source", "n_tokens"), targets, shards, block, seed)
-    met = _slots(draws, seed).join(filled(encoded, block, width), ["source", "block"]).select("shard", "source", "slot", "turn", "block", "codes", "parts")
-    return _unpacked(met, "codes", width).select("shard", "source", "slot", "turn", "block", "ids", "parts"), report
+    return _slots(draws, seed).join(filled(encoded, block), ["source", "block"]).select("shard", "source", "slot", "turn", "block", "ids", "parts"), report

@@ -140,13 +140,21 @@ def context_of(near: Column) -> Column:
 
 
 def near_words(tokens: Column, window: int = 3) -> Column:
-    """``array<struct<tok, terms>>``: each token of an array with the context terms within ``window`` tokens of it. Linear in the number of tokens."""
+    """``array<struct<tok, terms>>``: each token of an array with the context terms within ``window`` tokens of it. Every token loses its particle once, however many
+    it stands near; linear in the number of tokens."""
+    bare = F.transform(tokens, lambda w: strip_particle(w))
+    term = lambda w: F.when((F.length(w) >= 2) & (hangul_ratio(w) >= 0.5), w)
+    # bound in a struct of its own, as an expression inside a lambda is evaluated for every element
+    once = F.array(F.struct(tokens.alias("t"), F.transform(bare, term).alias("b")))
 
-    def around(tok: Column, i: Column) -> Column:
-        first = F.greatest(i + 1 - window, F.lit(1))
-        return F.struct(tok.alias("tok"), F.concat(F.slice(tokens, first, i + 1 - first), F.slice(tokens, i + 2, F.lit(window))).alias("near"))
+    def around(s: Column) -> Column:
+        def one(tok: Column, i: Column) -> Column:
+            first = F.greatest(i + 1 - window, F.lit(1))
+            return F.struct(tok.alias("tok"), F.array_compact(F.concat(F.slice(s["b"], first, i + 1 - first), F.slice(s["b"], i + 2, F.lit(window)))).alias("terms"))
 
-    return F.transform(F.transform(tokens, around), lambda x: F.struct(x["tok"].alias("tok"), context_of(x["near"]).alias("terms")))
+        return F.transform(s["t"], one)
+
+    return F.when(tokens.isNotNull(), F.get(F.transform(once, around), F.lit(0)))
 
 
 def span_terms(sentence: Column, target: Column, window: int = 3) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from maldadum.functions import text as T
 from maldadum.operators import labels
 from maldadum.plans import duck
+from maldadum.session import spread
 from maldadum.sources.tables import one_row_per_id, table
 
 _RECORD = ("id", "split", "error_type", "source", "err_sentence", "cor_sentence", "error_count", "errors")
@@ -17,12 +18,12 @@ def _dataset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_examples(spark: SparkSession, folder: str) -> DataFrame:
-    rows = labels.examples(one_row_per_id(table(spark, folder, "corpus_records"), *_RECORD))
+    rows = labels.examples(spread(one_row_per_id(table(spark, folder, "corpus_records"), *_RECORD)))
     return rows.drop("token_offsets").withColumns({"tokens": F.array_join("tokens", " "), "labels": F.array_join("labels", " ")})
 
 
 def clean_examples(spark: SparkSession, folder: str) -> DataFrame:
-    rows = labels.examples(one_row_per_id(table(spark, folder, "corpus_records"), *_RECORD)).where("variant = 'clean'")
+    rows = labels.examples(spread(one_row_per_id(table(spark, folder, "corpus_records"), *_RECORD))).where("variant = 'clean'")
     return rows.select("id", "split", F.size("tokens").alias("n_tokens"), F.element_at("tokens", -1).alias("last_token"), F.element_at(F.element_at("token_offsets", -1), -1).alias("last_end"))
 
 

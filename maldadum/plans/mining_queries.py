@@ -8,11 +8,12 @@ from maldadum import vocab
 from maldadum.functions import features as X
 from maldadum.operators import mining
 from maldadum.plans import duck
+from maldadum.session import spread
 from maldadum.sources.tables import one_row_per_id, table
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
-    return mining.entries(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS))
+    return mining.entries(spread(one_row_per_id(table(spark, folder, "corpus_records"), *mining.RECORD_COLUMNS)))
 
 
 def error_entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -118,7 +118,7 @@ def token_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 def phrase_matches(spark: SparkSession, folder: str) -> DataFrame:
     memory = spark.createDataFrame(list(vocab.MANUAL_PHRASES) + [("것같은", "것 같은", 0.95), ("한번쯤", "한 번쯤", 0.95), ("며칠 동안", "몇 날 동안", 0.5)], "src STRING, dst STRING, confidence DOUBLE")
-    return C.phrases(table(spark, folder, "corpus_records").where("err_sentence is not null"), "rec_no", "err_sentence", memory)
+    return C.phrases(spread(table(spark, folder, "corpus_records")).where("err_sentence is not null"), "rec_no", "err_sentence", memory)
 
 
 def similar_words(spark: SparkSession, folder: str) -> DataFrame:

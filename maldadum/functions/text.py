@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from maldadum import vocab
 
 _TOKENS = "array<struct<tok:string,st:int,ed:int>>"
+_NOISE, _HANGUL = regex.compile(r"^[^가-힣A-Za-z0-9]+|[^가-힣A-Za-z0-9]+$"), regex.compile("[가-힣]+")
 
 
 def tokens(text: Column, pattern: str = vocab.TOKEN) -> Column:
@@ -157,6 +158,40 @@ def near_words(tokens: Column, window: int = 3) -> Column:
     return F.when(tokens.isNotNull(), F.get(F.transform(once, around), F.lit(0)))
 
 
+def _term(token: str) -> str:
+    """The context term that a token makes, as :func:`context_of` has it, or ''."""
+    bare = _NOISE.sub("", token)
+    if _HANGUL.fullmatch(bare):
+        bare = next((bare[: -len(p)] for p in vocab.PARTICLES if bare.endswith(p) and len(bare) > len(p) + 1), bare)
+    return bare if len(bare) >= 2 and 2 * sum("가" <= c <= "힣" for c in bare) >= len(bare) else ""
+
+
+def explode_near_words(df: DataFrame, text: str, window: int = 3) -> DataFrame:
+    """One row per token: ``tok`` and ``terms``, those of :func:`near_words` joined by blanks. In Python, where a worker remembers the term of a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = regex.compile(vocab.TOKEN).findall, {}
+        for batch in batches:
+            toks: list[str] = []
+            near: list[str] = []
+            for t in batch.column(0).to_pylist():
+                found = find(t or "")
+                if len(known) > 1_000_000:
+                    known.clear()
+                for w in found:
+                    if w not in known:
+                        known[w] = _term(w)
+                bare = [known[w] for w in found]
+                toks += found
+                near += [" ".join(filter(None, bare[max(0, i - window) : i] + bare[i + 1 : i + 1 + window])) for i in range(len(bare))]
+                if len(toks) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(toks, pa.string()), pa.array(near, pa.string())], names=["tok", "terms"])
+                    toks, near = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(toks, pa.string()), pa.array(near, pa.string())], names=["tok", "terms"])
+
+    return df.select(text).mapInArrow(run, "tok STRING, terms STRING")
+
+
 def span_terms(sentence: Column, target: Column, window: int = 3) -> Column:
     """Context terms as in :func:`near_words` around the first token of the sentence that equals ``target`` without noise; none without one."""
     toks = F.regexp_extract_all(sentence, F.lit(vocab.JVM_TOKEN), F.lit(0))

@@ -12,10 +12,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maldadum import vocab
 from maldadum.functions import similarity as S, text as T
+from maldadum.session import materialize
 
 
 def exact(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -112,15 +114,104 @@ def hint_score(terms: Column, hints: Column) -> Column:
     return F.coalesce(F.round(F.least(F.lit(1.0), matched / F.when(total == 0, 1).otherwise(total)), 4), F.lit(0.0))
 
 
+#: Places of words that are scored together, and places of one word from which it is scored in shards.
+BUCKET_PLACES, SHARD_PLACES = 1 << 14, 1 << 17
+#: Meetings of a hint and a term that are held at once.
+_MEETINGS = 1 << 21
+
+
 def hint_scores(edges: DataFrame, sentences: DataFrame, text: str) -> DataFrame:
     """How the hints of edges (``edge_no``, ``replacement``, ``contextHints``) are met wherever their replacement stands in a sentence: ``edge_no``, ``score``
-    and ``n``, the places with that score. Equal places of a replacement are counted before they meet its edges."""
+    and ``n``, the places with that score.
+
+    Places are written once; those of some words and their edges meet in a task, where only terms that meet a hint are looked at: the score 0 is what remains of
+    all places. Words of many places are dealt in shards, whose counts add up."""
     hinted = edges.where(F.col("replacement").isNotNull()).select("edge_no", "replacement", plain_hints(F.col("contextHints")).alias("hints"))
-    toks = F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0))
-    wanted = hinted.select("replacement").distinct()
-    places = sentences.select(T.each(T.near_words(toks)).alias("w")).where("w is not null").select(F.col("w.tok").alias("replacement"), "w.terms").join(wanted, "replacement")
-    counted = places.groupBy("replacement", "terms").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(hinted, "replacement").groupBy("edge_no", hint_score(F.col("terms"), F.col("hints")).alias("score")).agg(F.sum("n").alias("n"))
+    near = T.explode_near_words(sentences, text).select(F.col("tok").alias("replacement"), "terms")
+    places = materialize(near.join(hinted.select("replacement").distinct(), "replacement", "left_semi"), "places")
+    counts = places.groupBy("replacement").agg(F.count(F.lit(1)).alias("n"))
+    shards = materialize(counts.select("replacement", "n", F.ceil(F.col("n") / SHARD_PLACES).cast("int").alias("shards")), "shards")
+    buckets = max(1, -(-(shards.agg(F.sum("n")).first()[0] or 0) // BUCKET_PLACES))
+    bucket = F.pmod(F.xxhash64("replacement"), F.lit(buckets)).cast("int").alias("bucket")
+    large = F.broadcast(shards.where("shards > 1").select("replacement", "shards"))  # one in SHARD_PLACES places at most
+    dealt = places.withColumn("_at", F.monotonically_increasing_id()).join(large, "replacement", "left")
+    dealt = dealt.select(bucket, F.pmod(F.col("_at"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), "replacement", "terms")
+    copies = hinted.join(shards, "replacement").select(bucket, F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "replacement", "edge_no", "hints")
+    kind = edges.schema["edge_no"].dataType.simpleString()
+    met = copies.groupBy("bucket", "shard").cogroup(dealt.groupBy("bucket", "shard")).applyInArrow(_meet, f"edge_no {kind}, matched BIGINT, total BIGINT, n BIGINT")
+    return met.groupBy("edge_no", F.round(F.least(F.lit(1.0), F.col("matched") / F.col("total")), 4).alias("score")).agg(F.sum("n").alias("n"))
+
+
+def _meet(edges: pa.Table, places: pa.Table) -> pa.Table:
+    """For edges and places of some words, how many ``n`` places meet each edge's hints by ``matched`` of ``total`` counts."""
+    words = edges["replacement"].unique()
+    of = [pc.fill_null(pc.index_in(t["replacement"], value_set=words), -1).to_numpy() for t in (edges, places)]
+    order = [np.argsort(o, kind="stable") for o in of]
+    bounds = [np.searchsorted(o[by], np.arange(len(words) + 1)) for o, by in zip(of, order)]
+    out: list[tuple[np.ndarray, ...]] = []
+    for w in range(len(words)):
+        mine, here = (by[b[w] : b[w + 1]] for by, b in zip(order, bounds))
+        if len(here):
+            out += [(mine[e], m, t, n) for e, m, t, n in _met(edges["hints"].take(pa.array(mine)), places["terms"].take(pa.array(here)))]
+    at, *columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+    return pa.table([edges["edge_no"].take(pa.array(at)), *columns], names=["edge_no", "matched", "total", "n"])
+
+
+def _met(hints: pa.ChunkedArray, terms: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of one word: (edge, matched, total, places) as arrays, for lists of hints and the context terms of places, joined by blanks."""
+    by_term: dict[str, dict[int, int]] = {}
+    total = np.zeros(len(hints), np.int64)
+    for e, some in enumerate(hints.to_pylist()):
+        for h in some:
+            total[e] += h["count"]
+            known = by_term.setdefault(h["term"], {})
+            known[e] = known.get(e, 0) + h["count"]
+    total = np.maximum(total, 1)
+    longer: dict[str, list[str]] = {}
+    for h in by_term:
+        for i in range(1, len(h)):
+            longer.setdefault(h[:i], []).append(h)
+
+    lists = [t.split(" ") if t else [] for t in terms.to_pylist()]
+    place = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    ids: dict[str, int] = {}
+    flat = np.array([ids.setdefault(t, len(ids)) for some in lists for t in some], np.int64)
+    by_id = np.argsort(flat, kind="stable")  # the places of each term, in order
+    first = np.searchsorted(flat[by_id], np.arange(len(ids) + 1))
+    rows: list[tuple[int, int, int, int]] = []  # edge, term, counts of equal hints, counts of hints that one begins the other
+    for t, i in ids.items():
+        same = by_term.get(t, {})
+        others = [by_term[t[:k]] for k in range(1, len(t)) if t[:k] in by_term] + [by_term[h] for h in longer.get(t, ())]
+        begun = dict(same)
+        for some in others:
+            for e, n in some.items():
+                begun[e] = begun.get(e, 0) + n
+        rows += [(e, i, same.get(e, 0), n) for e, n in begun.items() if n > 0 or same.get(e, 0)]
+    zero = np.full(len(hints), len(lists), np.int64)
+    edge, term, same, begun = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+    many = first[term + 1] - first[term]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(edge):
+        to = max(np.searchsorted(ends, ends[at] - many[at] + _MEETINGS), at + 1)
+        to = np.searchsorted(edge, edge[to - 1], "right")  # whole edges
+        row = np.repeat(np.arange(at, to), many[at:to])
+        where = by_id[first[term[row]] + np.arange(len(row)) - np.repeat(ends[at:to] - many[at:to] - (ends[at] - many[at]), many[at:to])]
+        sort = np.argsort(edge[row] * len(flat) + where, kind="stable")
+        row, where = row[sort], place[where[sort]]
+        new = np.flatnonzero(np.diff(edge[row] * len(lists) + where, prepend=-1))  # a place of an edge begins
+        begins = (same[row] > 0) | (begun[row] > 0)
+        so_far = np.cumsum(begins)
+        so_far -= np.repeat(so_far[new] - begins[new], np.diff(new, append=len(row)))
+        value = np.where(so_far == 0, 0, np.where(begins & (so_far == 1) & (same[row] <= 0), begun[row], same[row]))
+        levels, level = np.unique(np.add.reduceat(value, new), return_inverse=True)
+        pairs, n = np.unique(edge[row[new]] * len(levels) + level, return_counts=True)
+        e = pairs // len(levels)
+        np.subtract.at(zero, e, n)
+        yield e, levels[pairs % len(levels)], total[e], n
+        at = to
+    rest = np.flatnonzero(zero)
+    yield rest, np.zeros(len(rest), np.int64), total[rest], zero[rest]
 
 
 def interface_score(stats: Column, channel: Column, kind: Column | None = None) -> Column:

@@ -2,10 +2,15 @@
 
 import itertools
 import random
+import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from maldadum import vocab
+from maldadum.functions import text as T
 from maldadum.operators import candidates as C, decode as D, labels as L
 from maldadum.sources import readers
 from maldadum.streaming import requests as R
@@ -119,6 +124,46 @@ def test_scores(spark):
     assert got == [0.8275, 0.86, 0.94, 0.72, 0.32, 0.9, 0.2]
 
 
+_EDGE = "edge_no BIGINT, replacement STRING, contextHints ARRAY<STRUCT<term: STRING, count: BIGINT>>"
+
+
+def test_hint_scores_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(C, "BUCKET_PLACES", 50)
+    monkeypatch.setattr(C, "SHARD_PLACES", 40)
+    rng = random.Random(5)
+    words = ["책상", "책상다리", "책", "의자", "의자를", "금세", "금세라도", "공부방", "비가", "ab책", "12", ",", "😀"]
+    sentences = [*{" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(150)}, "", None]
+    edges = [(i, rng.choice(words + [None]), None if i % 9 == 0 else [(rng.choice(words + ["", None]), rng.choice((None, 0, 1, 2, 5))) for _ in range(rng.randint(0, 6))]) for i in range(40)]
+    given = spark.createDataFrame(edges, _EDGE)
+    rows = spark.createDataFrame([(s,) for s in sentences], "s STRING")
+    places = [(w.tok, w.terms) for (ws,) in rows.select(T.near_words(F.regexp_extract_all("s", F.lit(vocab.JVM_TOKEN), F.lit(0)))).collect() for w in ws or []]
+    bare = {r.edge_no: [(h.term, h["count"]) for h in r.h] for r in given.select("edge_no", C.plain_hints(F.col("contextHints")).alias("h")).collect()}
+    want = Counter((i, plain_hint_score(terms, bare[i])) for i, word, _ in edges for tok, terms in places if tok == word)
+    got = {(r.edge_no, r.score): r.n for r in C.hint_scores(given, rows, "s").collect()}
+    assert got == want and len(want) > 60 and max(Counter(t for t, _ in places).values()) > C.SHARD_PLACES
+    terms = pa.chunked_array([[" ".join(t) for _, t in places]])
+    hints = pa.chunked_array([[[{"term": t, "count": n} for t, n in bare[i]] for i, *_ in edges]])
+    whole, parts = Counter(), Counter()
+    for sums, most in ((whole, C._MEETINGS), (parts, 7)):
+        monkeypatch.setattr(C, "_MEETINGS", most)
+        for e, matched, total, n in C._met(hints, terms):
+            for k in zip(e.tolist(), matched.tolist(), total.tolist(), n.tolist()):
+                sums[k[:3]] += k[3]
+    assert whole == parts and sum(whole.values()) == len(edges) * len(places)
+
+
+def test_hint_scores_of_a_word_of_many_places_and_edges(spark):
+    rng = random.Random(6)
+    words = [a + b + c for a in "가나다라마바사아" for b in "고노도로모보소오" for c in "구누두루무부수우"]
+    edges = [(i, "금세", [(w, 1) for w in rng.sample(words, 4)]) for i in range(3_000)]
+    sentences = [(" ".join((*rng.sample(words, 3), "금세", *rng.sample(words, 3))),) for _ in range(20_000)]
+    began = time.monotonic()
+    got = C.hint_scores(spark.createDataFrame(edges, _EDGE), spark.createDataFrame(sentences, "s STRING"), "s").groupBy("edge_no").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("s")).collect()
+    assert time.monotonic() - began < 45  # when each place was scored with each edge, 60,000,000 times, it took minutes
+    near = Counter(w for (s,) in sentences for w in s.split())
+    assert {r.edge_no: (r.n, round(4 * r.s)) for r in got} == {i: (20_000, sum(near[w] for w, _ in hints)) for i, _, hints in edges}
+
+
 def test_prefilter_bounds_and_gates(spark):
     schema = "tok STRING, dst STRING, source STRING, generator DOUBLE, context DOUBLE, interface DOUBLE, support BIGINT, family ARRAY<STRING>"
     low, mid, yes, no = ("가나바사", "가나다러"), ("금새", "금세"), ["금세다"], []

@@ -19,6 +19,9 @@ from maldadum import vocab
 from maldadum.functions import similarity as S, text as T
 from maldadum.session import materialize
 
+#: Phrases of up to this many bytes go to the executors as a broadcast table; more are joined by a shuffle of both sides.
+BROADCAST_BYTES = 16 << 20
+
 
 def exact(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Tokens (``tok``) that a dictionary (``src``, ``dst``, ...) holds as they are."""
@@ -38,12 +41,17 @@ def with_head(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def phrases(rows: DataFrame, key: str, text: str, memory: DataFrame) -> DataFrame:
     """Places where a phrase of ``memory`` (``src``, ``dst``, ``confidence``) stands in a row's tokens, the longest and most confident one per place:
-    ``key``, ``first`` (token index), ``n_tokens``, ``src``, ``dst``, ``confidence``. Joined on the first token, then compared whole."""
+    ``key``, ``first`` (token index), ``n_tokens``, ``src``, ``dst``, ``confidence``. Joined on the first token, then compared whole.
+
+    Places are a row per token of files that Spark takes for small, and a memory made of rows counts as endless to it: without a hint it broadcasts the places, through the driver."""
     toks = F.regexp_extract_all(F.col(text), F.lit(vocab.JVM_TOKEN), F.lit(0))
-    longest = memory.agg(F.max(F.size(F.split(T.phrase(F.col("src")), " ")))).first()[0] or 1
+    held = F.lit(100) + 3 * F.coalesce(F.octet_length("src"), F.lit(0)) + F.coalesce(F.octet_length("dst"), F.lit(0))  # src, form and head are kept
+    longest, size = memory.agg(F.max(F.size(F.split(T.phrase(F.col("src")), " "))), F.sum(held)).first()
+    longest = longest or 1
     starts = F.transform(toks, lambda t, i: F.struct(t.alias("head"), F.slice(toks, i + 1, F.lit(longest)).alias("run")))  # no token carries more of its text
     places = rows.select(key, F.posexplode(starts).alias("first", "x")).select(key, "first", "x.head", "x.run")
     known = with_head(memory.select("src", "dst", "confidence"), "src", "head").withColumn("form", T.phrase(F.col("src"))).withColumn("n_tokens", F.size(F.split("form", " ")))
+    known = F.broadcast(known) if (size or 0) <= BROADCAST_BYTES else known.hint("merge")
     met = places.join(known, "head").where(F.array_join(F.slice("run", F.lit(1), F.col("n_tokens")), " ") == F.col("form"))
     best = W.partitionBy(key, "first").orderBy(F.desc("n_tokens"), F.desc("confidence"), "dst")
     return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "first", "n_tokens", "src", "dst", "confidence")

@@ -225,3 +225,19 @@ def test_requests_batch_and_stream_agree(spark, tmp_path):
     query.stop()
     assert sorted((str(r.writer), r.n, r["last"]) for r in spark.table("bursts").collect()) == batch
     assert R.newest(df, "ts", "id", 3).count() == 3 and R.newest_per_key(df, "writer", "ts", "id", 1).count() == 4
+
+
+def test_phrases_never_broadcast_the_texts(spark, tmp_path, monkeypatch):
+    """Small files hold many tokens: the driver gets the phrases or, where those are large, nothing."""
+    texts = ["며칠 동안 것같은 일", "한번쯤 것같은, 며칠 동안 며칠", "며칠", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "rec_no BIGINT, t STRING").write.parquet(str(tmp_path / "rows.parquet"))
+    memory = spark.createDataFrame([("것같은", "것 같은", 0.95), ("것같은", "것 같던", 0.9), ("며칠 동안", "몇 날 동안", 0.5), ("며칠", "몇 일", 0.9), (None, "x", 0.9)], "src STRING, dst STRING, confidence DOUBLE")
+    expected = [(0, 0, 2, "몇 날 동안"), (0, 2, 1, "것 같은"), (1, 1, 1, "것 같은"), (1, 3, 2, "몇 날 동안"), (1, 5, 1, "몇 일"), (2, 0, 1, "몇 일")]
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+        got = C.phrases(spark.read.parquet(str(tmp_path / "rows.parquet")), "rec_no", "t", memory)
+        assert sorted((r.rec_no, r.first, r.n_tokens, r.dst) for r in got.select("rec_no", "first", "n_tokens", "dst").collect()) == expected
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == small and ("SortMergeJoin" in plan) != small
+    assert C.phrases(spark.read.parquet(str(tmp_path / "rows.parquet")), "rec_no", "t", memory.where("false")).count() == 0
